@@ -1,0 +1,11 @@
+"""Operators for preparing large text corpora and vector tables.
+
+Functions that run on executors are pickled by value, so workers need
+neither this package nor a shared source folder.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
