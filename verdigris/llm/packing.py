@@ -32,58 +32,64 @@ CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 PLAN_ROWS = 1_000_000
 
 
+class _Kept(dict):
+    """Computed values by key; those of the last full generation come back without being computed again."""
+
+    def __init__(self, make, old: dict):
+        self.make, self.old = make, old
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit numbers, equal to the tokenizer's own.
 
     The tokenizer drops white space and splits there, so blank-separated words
     can be encoded one at a time and kept. Words of Latin letters, perhaps with
     full stops or commas behind, go straight to the BPE model; any other word
-    takes the tokenizer's whole way. Both caches are emptied when they reach
-    `most` words.
+    takes the tokenizer's whole way. Words and their letters are kept, at most
+    about `most` of each in two generations.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model, self.most = self.whole.model, most
+        self.tokenize, self.most = self.whole.model.tokenize, most
+        self.packed = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
         # the usual printable stand-ins for bytes in byte-level BPE
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
-        self.stand_in = {b: chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)}
-        self.words: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b""}
+        self.stand_in = [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+        self.words, self.cores = _Kept(self._word, {}), _Kept(self._core, {})
 
     def _other(self, word: str) -> bytes:
-        return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([self.packed[i] for i in self.whole.encode(word, add_special_tokens=False).ids])
+
+    def _core(self, core: str) -> bytes:
+        """core: lower-case Latin letters."""
+        shown = core if core.isascii() else "".join([self.stand_in[b] for b in core.encode()])
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(shown)])
 
     def _word(self, word: str) -> bytes:
         core = word.rstrip(".,")
-        if not core.isalpha() or max(core) > "\xff":
-            return self._other(word)
-        key = core.lower()
-        if (ids := self.cores.get(key)) is None:
-            if len(self.cores) >= self.most:
-                self.cores = {"": b""}
-            shown = "".join(map(self.stand_in.__getitem__, key.encode()))
-            ids = self.cores[key] = np.array([x.id for x in self.model.tokenize(shown)], "<u4").tobytes()
-        tail = word[len(core):]
-        if tail and tail not in self.cores:
-            self.cores[tail] = self._other(tail)
-        return ids + self.cores[tail] if tail else ids
+        if not core.isalpha() or not (core.isascii() or max(core) <= "\xff"):
+            return self._other(word) if word else b""
+        ids = self.cores[core.lower()]
+        return ids + self.words[word[len(core) :]] if len(core) < len(word) else ids
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) + len(words) >= self.most:
-                known = self.words = {"": b""}
-            for w in words:
-                if w not in known:
-                    known[w] = self._word(w)
-            return b"".join(map(known.__getitem__, words))
+        if len(self.words) > self.most:
+            self.words = _Kept(self._word, dict(self.words))
+        if len(self.cores) > self.most:
+            self.cores = _Kept(self._core, dict(self.cores))
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
