@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from verdigris.llm.common import small_batches
 
 #: At most so many labelled documents, those with the smallest hash of their id, are fetched to fit the model.
-FIT_ROWS = 6000
+FIT_ROWS = 4000
 #: A document whose P(grade >= 1) reaches this is toxic.
 REJECT_AT = 0.25
 
