@@ -66,6 +66,11 @@ def drop_written(*frames: DataFrame) -> None:
             _written[:] = [x for x in _written if x[1] != path]
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """df, to be joined by sorting on the key at every size: a side that grows with the data must not be sent to all tasks where it happens to be small, and the plan stays the same."""
+    return df.hint("merge")
+
+
 def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
     """A number in [0, 1) from a seeded hash of the columns."""
     return (F.xxhash64(F.lit(seed), *cols).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).cast("double")
@@ -88,13 +93,13 @@ def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> Data
     edges = both
     for _ in range(max_rounds):
         # The smallest label among a node's neighbours and itself, offered to the node and to its present label.
-        near = edges.join(labels.withColumnRenamed("id", "b").withColumnRenamed("label", "lb"), "b").groupBy("a").agg(F.min("lb").alias("lb"))
-        seen = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", "label", F.least("label", "lb").alias("to"))
+        near = edges.join(by_key(labels.withColumnRenamed("id", "b").withColumnRenamed("label", "lb")), "b").groupBy("a").agg(F.min("lb").alias("lb"))
+        seen = labels.join(by_key(near.withColumnRenamed("a", "id")), "id").select("id", "label", F.least("label", "lb").alias("to"))
         offers = seen.select("id", "to").unionByName(seen.where("to < label").select(F.col("label").alias("id"), "to"))
         hooked = written(offers.groupBy("id").agg(F.min("to").alias("label")), "hooked")
-        jumped = hooked.join(hooked.select(F.col("id").alias("label"), F.col("label").alias("next")), "label", "left").select("id", F.least(F.coalesce("next", "label"), "label").alias("label"))
+        jumped = hooked.join(by_key(hooked.select(F.col("id").alias("label"), F.col("label").alias("next"))), "label", "left").select("id", F.least(F.coalesce("next", "label"), "label").alias("label"))
         new = written(jumped, "labels")
-        moved = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).isEmpty()
+        moved = new.join(by_key(labels.withColumnRenamed("label", "old")), "id").where("label <> old").limit(1).isEmpty()
         drop_written(labels, hooked)
         labels = new
         if moved:
@@ -102,4 +107,4 @@ def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> Data
     else:
         raise RuntimeError("components: no fixed point")
     drop_written(edges)
-    return nodes.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+    return nodes.join(by_key(labels), "id", "left").select("id", F.coalesce("label", "id").alias("component"))

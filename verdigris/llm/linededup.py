@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import drop_written, small_batches, written
+from verdigris.llm.common import by_key, drop_written, small_batches, written
 
 #: Blocks under so many words stay.
 MIN_WORDS = 30
@@ -168,10 +168,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = lines.select("id", "th", F.explode("runs").alias("run"))
     doc = F.struct("id", "th")
     owners = written(runs.groupBy("run").agg(F.min(doc).alias("own"), F.max(doc).alias("last")).where("own <> last").select("run", "own"), "owners")
-    pairs = written(runs.join(owners, "run").where(F.col("own") < doc).select("id", "th", F.col("own.id").alias("o_id"), F.col("own.th").alias("o_th")).distinct(), "pairs")
+    pairs = written(runs.join(by_key(owners), "run").where(F.col("own") < doc).select("id", "th", F.col("own.id").alias("o_id"), F.col("own.th").alias("o_th")).distinct(), "pairs")
     later = lines.select("id", "th", "hashes", "words", "places")
     earlier = lines.select(F.col("id").alias("o_id"), F.col("th").alias("o_th"), F.col("hashes").alias("o_hashes")).dropDuplicates(["o_id", "o_th"])
-    both = pairs.join(later, ["id", "th"]).join(written(earlier.join(pairs.select("o_id", "o_th").distinct(), ["o_id", "o_th"], "left_semi"), "earlier"), ["o_id", "o_th"])
+    both = pairs.join(by_key(later), ["id", "th"]).join(by_key(written(earlier.join(by_key(pairs.select("o_id", "o_th").distinct()), ["o_id", "o_th"], "left_semi"), "earlier")), ["o_id", "o_th"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,7 +193,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = both.mapInArrow(align, "id long, th long, gone array<int>").select("id", "th", F.explode("gone").alias("i"))
     masks = written(gone.groupBy("id", "th").agg(F.collect_set("i").alias("gone")).mapInArrow(mask, "_id long, _mth long, _keep array<boolean>"), "masks")
     drop_written(lines, owners, pairs)
-    joined = keyed.join(masks, (F.col(id_col).cast("long") == F.col("_id")) & (F.col("_th") == F.col("_mth")), "left")
+    joined = keyed.join(by_key(masks), (F.col(id_col).cast("long") == F.col("_id")) & (F.col("_th") == F.col("_mth")), "left")
     kept = F.filter(F.split(text_col, "\n", -1), lambda x, i: F.coalesce(F.try_element_at("_keep", (i + 1).cast("int")), F.lit(True)))
     removed = F.coalesce(F.size(F.filter("_keep", lambda x: ~x)), F.lit(0))
     return joined.withColumn(text_col, F.when(F.col("_keep").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).withColumn("lines_removed", removed).drop("_th", "_id", "_mth", "_keep")

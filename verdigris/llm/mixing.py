@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import drop_written, written
+from verdigris.llm.common import by_key, drop_written, written
 
 BUCKET_ROWS = 1000
 MISSING = "<null>"
@@ -100,6 +100,6 @@ def mix(docs: DataFrame, levels: list[str], weights: dict[str, dict[str, int]],
     earlier = Window.partitionBy(*levels, "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*place, F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("bucket_start"))
     inside = Window.partitionBy(*place).orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(starts, place).withColumn("start", (F.col("epoch") * F.col("tokens") + F.col("bucket_start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).cast("long"))
+    placed = rows.join(by_key(starts), place).withColumn("start", (F.col("epoch") * F.col("tokens") + F.col("bucket_start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).cast("long"))
     drop_written(leaves)
     return placed.where("start < budget").select("doc_id", *levels, "epoch", "start", "n_tokens", F.least("n_tokens", F.col("budget") - F.col("start")).alias("take_tokens"))

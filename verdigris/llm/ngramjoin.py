@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import components, drop_written, small_batches, written
+from verdigris.llm.common import by_key, components, drop_written, small_batches, written
 
 BLOCK, SKETCH_BITS = 256, 1024
 #: Rounds that compare each node with one hub; then all pairs, of small groups first and at last (None) of any.
@@ -108,7 +108,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 def _verify(sets: DataFrame, pairs: DataFrame, rule: Threshold) -> DataFrame:
     """Those of pairs (a, b) that link."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("tokens").alias(f"t_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(by_key(side("a")), "a").join(by_key(side("b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +139,7 @@ def _residual(members: DataFrame, rule: Threshold) -> DataFrame:
     blocked = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     lists = written(blocked.groupBy("token", "blocks", "block").agg(F.collect_list(F.struct("node", "n", "component", "pos", "sketch")).alias("of")), "blocks")
     mates = lists.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
-    both = mates.join(lists.select("token", F.col("block").alias("other"), F.col("of").alias("with")), ["token", "other"])
+    both = mates.join(by_key(lists.select("token", F.col("block").alias("other"), F.col("of").alias("with"))), ["token", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,8 +195,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Several tasks may have told a node's prefix; its hits then count more than once, which only lets more through.
     partner = F.ceil(F.col("n") * num / den)
     enough = partner - F.ceil(partner * num / den) + 1
-    hits = told.join(shared, "token", "left_semi").groupBy("node").agg(F.count("*").alias("hits"), F.first("n").alias("n")).where(F.col("hits") >= enough)
-    survivors = written(hits.select("node").join(nodes, "node").select("node", F.col("first_id").alias("id")), "survivors")
+    hits = told.join(by_key(shared), "token", "left_semi").groupBy("node").agg(F.count("*").alias("hits"), F.first("n").alias("n")).where(F.col("hits") >= enough)
+    survivors = written(hits.select("node").join(by_key(nodes), "node").select("node", F.col("first_id").alias("id")), "survivors")
     drop_written(shared)
 
     # Whole sets of the survivors only, one document for each node.
@@ -206,13 +206,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             tokens = [shingler.tokens(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_node(t) for t in tokens], pa.int64()), pa.array([len(t) for t in tokens], pa.int64()), _lists(tokens), pa.array([_sketch(t) for t in tokens], pa.binary())], ["node", "n", "tokens", "sketch"])
 
-    texts = source.join(survivors.select("id").distinct(), "id", "left_semi").select("text")
-    sets = written(texts.mapInArrow(whole, "node long, n long, tokens array<long>, sketch binary").join(survivors.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    texts = source.join(by_key(survivors.select("id").distinct()), "id", "left_semi").select("text")
+    sets = written(texts.mapInArrow(whole, "node long, n long, tokens array<long>, sketch binary").join(by_key(survivors.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     # Order 2: rare first among the survivors.
     own = sets.select("node", "n", F.explode("tokens").alias("token"))
     df = written(own.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "df")
-    ranked = own.join(df, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by_df"))
+    ranked = own.join(by_key(df), "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by_df"))
     spare = F.col("n") - F.ceil(F.col("n") * num / den)
     alone = F.col("n") - F.size("by_df")
     met = ranked.where(alone <= spare).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("by_df", F.lit(1), (spare + 1 - alone).cast("int"))).alias("nth", "x")).select("node", "n", F.col("x.token").alias("token"), (F.col("alone") + F.col("nth")).alias("pos"))
@@ -224,20 +224,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = members.select("node").distinct().select("node", F.col("node").alias("component"))
     keep: list[DataFrame] = []
     for at in range(HUB_ROUNDS + len(WAVES)):
-        now = members.join(labels, "node")
+        now = members.join(by_key(labels), "node")
         groups = now.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(at))).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high")
         groups = written(groups.select("token", "hub", "m"), "groups")
         if groups.isEmpty():
             break
         if at < HUB_ROUNDS:
             hubs = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-            offers = now.join(groups, "token").join(hubs, "hub").where("component <> hub_component").groupBy("node", "hub").agg(F.count("*").alias("common"))
+            offers = now.join(by_key(groups), "token").join(by_key(hubs), "hub").where("component <> hub_component").groupBy("node", "hub").agg(F.count("*").alias("common"))
             best = offers.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("common"), "hub"))).where("at = 1")
             pairs = best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         else:
             wave = groups.where(F.col("m") <= most) if (most := WAVES[at - HUB_ROUNDS]) else groups
-            pairs = _residual(written(now.join(wave.select("token", "m"), "token").join(sets.select("node", "sketch"), "node"), "active"), rule)
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            pairs = _residual(written(now.join(by_key(wave.select("token", "m")), "token").join(by_key(sets.select("node", "sketch")), "node"), "active"), rule)
+        pairs = written(pairs.join(by_key(tried), ["a", "b"], "left_anti"), "pairs")
         keep.append(written(_verify(sets, pairs, rule), "links"))
         links = keep[0]
         for x in keep[1:]:
@@ -247,14 +247,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     drop_written(sets, members)
 
     # Each node's component, and the smallest id in it.
-    whole_nodes = nodes.join(labels, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
+    whole_nodes = nodes.join(by_key(labels), "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     smallest = whole_nodes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    mapped = written(whole_nodes.join(smallest, "component").select("node", "component_id"), "mapped")
-    return scanned.select("id", "n", "node").join(mapped, "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    mapped = written(whole_nodes.join(by_key(smallest), "component").select("node", "component_id"), "mapped")
+    return scanned.select("id", "n", "node").join(by_key(mapped), "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one document of each component: that of the smallest id. Rows with a null id, and texts without words, stay."""
     found = jaccard_components(docs, id_col, text_col, words, num, den)
     losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(losers, F.col(id_col).cast("long") == F.col("_id"), "left_anti")
+    return docs.join(by_key(losers), F.col(id_col).cast("long") == F.col("_id"), "left_anti")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import small_batches, written
+from verdigris.llm.common import by_key, small_batches, written
 
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 #: A plan has a few runs for each length; more than this would be a defect, and it is sent to every worker.
@@ -263,7 +263,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     keys = runs[:, 0] * (1 << 50) + runs[:, 1]
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = pieces.join(starts, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("idx")).alias("rank"))
+    ranked = pieces.join(by_key(starts), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("idx")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import drop_written, written
+from verdigris.llm.common import by_key, drop_written, written
 
 KINDS = ["email", "ip", "card", "phone", "context"]
 _LOCAL, _HOST, _PART = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]", "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -77,12 +77,12 @@ def _shape(token: Column) -> Column:
 
 def _bootstrap(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """instance, score of those that are no seeds. edges: pattern, instance (distinct); seeds: instance."""
-    edges = written(edges.join(seeds.withColumn("seed", F.lit(1.0)), "instance", "left").select("pattern", "instance", F.coalesce("seed", F.lit(0.0)).alias("seed")), "edges")
+    edges = written(edges.join(by_key(seeds.withColumn("seed", F.lit(1.0))), "instance", "left").select("pattern", "instance", F.coalesce("seed", F.lit(0.0)).alias("seed")), "edges")
     scores = edges.select("instance", F.col("seed").alias("score")).where("score > 0").distinct()
     for _ in range(ROUNDS):
-        scored = edges.join(scores, "instance", "left")
+        scored = edges.join(by_key(scores), "instance", "left")
         patterns = written(scored.groupBy("pattern").agg((F.sum(F.coalesce("score", F.lit(0.0))) / (F.count("*") + 1)).alias("confidence"), F.count("*").alias("n")).where((F.col("n") >= MIN_SUPPORT) & (F.col("confidence") > 0)).select("pattern", "confidence"), "patterns")
-        scores = written(edges.join(patterns, "pattern", "left").groupBy("instance").agg(F.max("seed").alias("seed"), F.max("confidence").alias("best")).select("instance", "seed", F.when(F.col("seed") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score")).where("score > 0"), "scores")
+        scores = written(edges.join(by_key(patterns), "pattern", "left").groupBy("instance").agg(F.max("seed").alias("seed"), F.max("confidence").alias("best")).select("instance", "seed", F.when(F.col("seed") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score")).where("score > 0"), "scores")
         last, scores = scores, scores.select("instance", "score")
     return last.where("seed = 0").select("instance", "score")
 
@@ -110,19 +110,19 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     skin = "[^\\p{L}\\p{N}+]"
     tokens = placed.where("kind = 4").withColumn("lead", F.length(F.regexp_extract("hit", f"^{skin}*+", 0))).withColumn("instance", F.regexp_replace(F.regexp_replace("hit", f"^{skin}*+", ""), f"{skin}++$", ""))
     same = [placed["doc_id"].eqNullSafe(F.col("c_id")), placed["th"] == F.col("c_th")]
-    tokens = tokens.join(covered.select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th"), "base"), same, "left").drop("c_id", "c_th")
+    tokens = tokens.join(by_key(covered.select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th"), "base")), same, "left").drop("c_id", "c_th")
     tokens = tokens.withColumn("start", F.col("start") + F.col("lead")).withColumn("end", F.col("start") + F.length("instance"))
     tokens = tokens.withColumn("seed", F.coalesce(F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"])), F.lit(False)))
     word = lambda gap, n: F.lower(F.substring_index(F.trim(F.translate(gap, "\n\t\r", "   ")), " ", n))
     tokens = written(tokens.select(*key, "start", "end", "instance", "seed", F.concat(F.lit("<"), word(F.col("before"), -1), F.lit(" "), _shape(F.col("instance"))).alias("left_pattern"), F.concat(F.lit(">"), _shape(F.col("instance")), F.lit(" "), word(F.col("after"), 1)).alias("right_pattern")), "tokens")
     edges = tokens.select("instance", F.explode(F.array("left_pattern", "right_pattern")).alias("pattern")).where("length(instance) > 0").distinct()
     known = _bootstrap(edges, tokens.where("seed").select("instance").distinct()).where(F.col("score") >= CONFIDENT)
-    added = tokens.where("not seed").join(known, "instance").select(*key, F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("end")).alias("span"))
+    added = tokens.where("not seed").join(by_key(known), "instance").select(*key, F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("end")).alias("span"))
 
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.count_if(F.col("span.kind") == k).alias(f"n_{KINDS[k]}")
     per_doc = base.unionByName(added).groupBy(*key).agg(F.sort_array(F.collect_list("span")).alias("all"), *[count(k) for k in range(5)])
     per_doc = per_doc.select(F.col("doc_id").alias("p_id"), F.col("th").alias("p_th"), *[f"n_{k}" for k in KINDS], text(F.filter("all", lambda s: s["kind"] < 4)).alias("base_text"), text(F.col("all")).alias("spans"))
-    out = source.select(*key).join(per_doc, [F.col("doc_id").eqNullSafe(F.col("p_id")), F.col("th") == F.col("p_th")], "left")
+    out = source.select(*key).join(by_key(per_doc), [F.col("doc_id").eqNullSafe(F.col("p_id")), F.col("th") == F.col("p_th")], "left")
     nothing = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return out.select("doc_id", *[nothing(f"n_{k}") for k in KINDS[:4]], F.sha2(F.coalesce("base_text", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), nothing("n_context"))

@@ -4,9 +4,8 @@ Documents of equal text are one unit (a group larger than an eighth of a shard
 is dealt into several). Units are linked where they share a line of at least
 MIN_LINE characters: each to the line's owner, the smallest unit that has it, so
 a line in m units makes m - 1 links. Labels start from a hash of the
-text. In each round a
-unit votes for the shard in which most of its links' weight lies; the moves
-are counted by (from, to, gain), and a shard takes them by falling gain until
+text. In each round a unit votes for the shard in which most of its links'
+weight lies; the moves are counted by (from, to, gain), and a shard takes them by falling gain until
 it is SLACK above its quota. Odd rounds move up, even rounds down, so linked
 units don't swap places.
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import drop_written, unit_hash, written
+from verdigris.llm.common import by_key, drop_written, unit_hash, written
 
 SHARDS, ROUNDS, SLACK, MIN_LINE, GAINS = 24, 4, 0.02, 40, 16
 
@@ -32,9 +31,9 @@ SHARDS, ROUNDS, SLACK, MIN_LINE, GAINS = 24, 4, 0.02, 40, 16
 def _links(lines: DataFrame, units: DataFrame) -> DataFrame:
     """a, b, weight in both directions. lines: line, unit (distinct); units: unit, th, part."""
     owners = written(lines.groupBy("line").agg(F.min("unit").alias("owner"), F.max("unit").alias("last")).where("owner <> last").select("line", "owner"), "owners")
-    shared = lines.join(owners, "line").where("unit <> owner").groupBy("unit", "owner").agg(F.count("*").alias("weight"))
+    shared = lines.join(by_key(owners), "line").where("unit <> owner").groupBy("unit", "owner").agg(F.count("*").alias("weight"))
     first = units.where("part = 0").select("th", F.col("unit").alias("owner"))
-    parts = units.where("part > 0").join(first, "th").select("unit", "owner", F.lit(4).cast("long").alias("weight"))
+    parts = units.where("part > 0").join(by_key(first), "th").select("unit", "owner", F.lit(4).cast("long").alias("weight"))
     one = written(shared.unionByName(parts), "links")
     return one.select(F.col("unit").alias("a"), F.col("owner").alias("b"), "weight").unionByName(one.select(F.col("owner").alias("a"), F.col("unit").alias("b"), "weight"))
 
@@ -55,9 +54,9 @@ def propagate(units: DataFrame, links: DataFrame, shards: int, rows: int, rounds
     spark = units.sparkSession
     labels = units.select("unit", "rows", "shard")
     for at in range(rounds):
-        votes = links.join(labels.select(F.col("unit").alias("b"), F.col("shard").alias("to")), "b").groupBy("a", "to").agg(F.sum("weight").alias("weight"))
+        votes = links.join(by_key(labels.select(F.col("unit").alias("b"), F.col("shard").alias("to"))), "b").groupBy("a", "to").agg(F.sum("weight").alias("weight"))
         best = votes.groupBy("a").agg(F.max(F.struct("weight", -F.col("to"), "to"))["to"].alias("to"), F.max("weight").alias("most"), F.map_from_entries(F.collect_list(F.struct("to", "weight"))).alias("by"))
-        wish = labels.join(best.withColumnRenamed("a", "unit"), "unit").withColumn("gain", F.col("most") - F.coalesce(F.try_element_at("by", F.col("shard")), F.lit(0)))
+        wish = labels.join(by_key(best.withColumnRenamed("a", "unit")), "unit").withColumn("gain", F.col("most") - F.coalesce(F.try_element_at("by", F.col("shard")), F.lit(0)))
         wish = wish.where((F.col("gain") > 0) & ((F.col("to") > F.col("shard")) if at % 2 == 0 else (F.col("to") < F.col("shard"))))
         wish = written(wish.select("unit", "rows", "shard", "to", F.least("gain", F.lit(GAINS)).cast("int").alias("gain")), "wishes")
         counted = wish.groupBy("shard", "to", "gain").agg(F.sum("rows").alias("rows")).collect()
@@ -68,7 +67,7 @@ def propagate(units: DataFrame, links: DataFrame, shards: int, rows: int, rounds
             break
         part = _accepted(spark, counted, load, rows / shards * (1 + SLACK))
         moved = wish.join(F.broadcast(part), ["shard", "to", "gain"]).where(unit_hash("unit", seed=at + 1) < F.col("part")).select("unit", "to")
-        labels = written(labels.join(moved, "unit", "left").select("unit", "rows", F.coalesce("to", "shard").alias("shard")), "labels")
+        labels = written(labels.join(by_key(moved), "unit", "left").select("unit", "rows", F.coalesce("to", "shard").alias("shard")), "labels")
     return labels.select("unit", "shard")
 
 
@@ -99,7 +98,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     labels = written(propagate(units, links, shards, n, rounds), "labels")
 
     # The order by label, group and id, over range partitions.
-    ordered = placed.join(labels.withColumnRenamed("shard", "label"), "unit").select("doc_id", "size", "text_crc32", "label", "th")
+    ordered = placed.join(by_key(labels.withColumnRenamed("shard", "label")), "unit").select("doc_id", "size", "text_crc32", "label", "th")
     ordered = ordered.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "label", "th", "doc_id").sortWithinPartitions("label", "th", "doc_id")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
