@@ -66,6 +66,14 @@ def drop_written(*frames: DataFrame) -> None:
             _written[:] = [x for x in _written if x[1] != path]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with underscores behind it a name that no column of df has."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def by_key(df: DataFrame) -> DataFrame:
     """df, to be joined by sorting on the key at every size: a side that grows with the data must not be sent to all tasks where it happens to be small, and the plan stays the same."""
     return df.hint("merge")

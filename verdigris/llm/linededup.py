@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import by_key, drop_written, small_batches, written
+from verdigris.llm.common import by_key, drop_written, fresh, small_batches, written
 
 #: Blocks under so many words stay.
 MIN_WORDS = 30
@@ -154,7 +154,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.drop("lines_removed")
-    keyed = docs.withColumn("_th", F.xxhash64(text_col))
+    th, own_id, own_th, keep = (fresh(docs, x) for x in ("_th", "_id", "_mth", "_keep"))
+    keyed = docs.withColumn(th, F.xxhash64(text_col))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,7 +164,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             long, short = pa.list_(pa.int64()), pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((long, short, short))), pa.array(runs, long)], ["id", "th", "hashes", "words", "places", "runs"])
 
-    source = keyed.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col("_th").alias("th"), text_col)
+    source = keyed.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(th).alias("th"), text_col)
     lines = written(source.mapInArrow(scan, "id long, th long, hashes array<long>, words array<int>, places array<int>, runs array<long>"), "lines")
     runs = lines.select("id", "th", F.explode("runs").alias("run"))
     doc = F.struct("id", "th")
@@ -184,16 +185,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             out = []
             for gone in b.column("gone").to_pylist():
-                keep = [True] * (max(gone) + 1)
+                kept = [True] * (max(gone) + 1)
                 for i in gone:
-                    keep[i] = False
-                out.append(keep)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(out, pa.list_(pa.bool_()))], ["_id", "_mth", "_keep"])
+                    kept[i] = False
+                out.append(kept)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(out, pa.list_(pa.bool_()))], [own_id, own_th, keep])
 
     gone = both.mapInArrow(align, "id long, th long, gone array<int>").select("id", "th", F.explode("gone").alias("i"))
-    masks = written(gone.groupBy("id", "th").agg(F.collect_set("i").alias("gone")).mapInArrow(mask, "_id long, _mth long, _keep array<boolean>"), "masks")
+    masks = written(gone.groupBy("id", "th").agg(F.collect_set("i").alias("gone")).mapInArrow(mask, f"{own_id} long, {own_th} long, {keep} array<boolean>"), "masks")
     drop_written(lines, owners, pairs)
-    joined = keyed.join(by_key(masks), (F.col(id_col).cast("long") == F.col("_id")) & (F.col("_th") == F.col("_mth")), "left")
-    kept = F.filter(F.split(text_col, "\n", -1), lambda x, i: F.coalesce(F.try_element_at("_keep", (i + 1).cast("int")), F.lit(True)))
-    removed = F.coalesce(F.size(F.filter("_keep", lambda x: ~x)), F.lit(0))
-    return joined.withColumn(text_col, F.when(F.col("_keep").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).withColumn("lines_removed", removed).drop("_th", "_id", "_mth", "_keep")
+    joined = keyed.join(by_key(masks), (F.col(id_col).cast("long") == F.col(own_id)) & (F.col(th) == F.col(own_th)), "left")
+    kept = F.filter(F.split(text_col, "\n", -1), lambda x, i: F.coalesce(F.try_element_at(keep, (i + 1).cast("int")), F.lit(True)))
+    removed = F.coalesce(F.size(F.filter(keep, lambda x: ~x)), F.lit(0))
+    return joined.withColumn(text_col, F.when(F.col(keep).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).withColumn("lines_removed", removed).drop(th, own_id, own_th, keep)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import by_key, components, drop_written, small_batches, written
+from verdigris.llm.common import by_key, components, drop_written, fresh, small_batches, written
 
 BLOCK, SKETCH_BITS = 256, 1024
 #: Rounds that compare each node with one hub; then all pairs, of small groups first and at last (None) of any.
@@ -221,7 +221,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     links = spark.createDataFrame([], "a long, b long")
     tried = links
-    labels = members.select("node").distinct().select("node", F.col("node").alias("component"))
+    labels = written(members.select("node").distinct().select("node", F.col("node").alias("component")), "labels")
     keep: list[DataFrame] = []
     for at in range(HUB_ROUNDS + len(WAVES)):
         now = members.join(by_key(labels), "node")
@@ -256,5 +256,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one document of each component: that of the smallest id. Rows with a null id, and texts without words, stay."""
     found = jaccard_components(docs, id_col, text_col, words, num, den)
-    losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(by_key(losers), F.col(id_col).cast("long") == F.col("_id"), "left_anti")
+    loser = fresh(docs, "_id")
+    losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias(loser)).distinct()
+    return docs.join(by_key(losers), F.col(id_col).cast("long") == F.col(loser), "left_anti")

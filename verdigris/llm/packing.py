@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from verdigris.llm.common import by_key, small_batches, written
 
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
+#: Numbers of groups that are planned; the plan of the fewest sequences holds.
+GROUPS = (64, 128)
 #: A plan has a few runs for each length; more than this would be a defect, and it is sent to every worker.
 PLAN_ROWS = 1_000_000
 
@@ -259,7 +261,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = written(counts, "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs, _ = plan(histogram, capacity)
+    runs, _ = min((plan(histogram, capacity, groups) for groups in GROUPS), key=lambda p: p[1])
     keys = runs[:, 0] * (1 << 50) + runs[:, 1]
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

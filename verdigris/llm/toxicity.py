@@ -93,6 +93,8 @@ def fit_ordinal(docs: list[list[bytes]], grades: list[int], min_docs: int = 5, m
         return abs(math.log(a * b_not / (a_not * b))) >= min_z * math.sqrt(1 / a + 1 / a_not + 1 / b + 1 / b_not)
 
     vocabulary = {w: i for i, w in enumerate(sorted(w for w, c in seen.items() if c >= min_docs and telling(w, c)))}
+    if not vocabulary:  # nothing tells toxic documents from others
+        return OrdinalModel({}, np.array([np.inf]))
     row = np.array([r for r, d in enumerate(counts) for w in d if w in vocabulary], np.int64)
     col = np.array([vocabulary[w] for d in counts for w in d if w in vocabulary], np.int64)
     val = np.log2(1 + np.array([c for d in counts for w, c in d.items() if w in vocabulary], float))
