@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import linededup, mixing, ngramjoin, packing, queries, toxicity
-from verdigris.llm.common import by_key, shared_dir, table
+from verdigris.llm.common import by_key, fresh, shared_dir, table
 
 #: The mix takes this part of all tokens that reach it.
 MIX_SHARE = 0.75
@@ -36,7 +36,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of each leaf's prefix stay, whole, the one at its end too."""
     taken = mixing.mix(queries.with_domain(docs), queries.LEVELS, queries.WEIGHTS, mixing.word_count(F.col("text")), F.floor(F.col("all_tokens") * MIX_SHARE), 1, queries.MIX_SEED)
-    return docs.join(by_key(taken.select(F.col("doc_id").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi").select(*docs.columns)
+    taken_id = fresh(docs, "_id")
+    return docs.join(by_key(taken.select(F.col("doc_id").alias(taken_id)).distinct()), F.col("doc_id") == F.col(taken_id), "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
