@@ -12,6 +12,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 #: Records handed to a Python worker at once; texts can be long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 1000
+FILE_ROWS, MIN_FILES = 50_000, 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,11 +48,15 @@ def _remove_all() -> None:
             _remove(spark, path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    rows: about how many there will be, where that is known; they are then
+    written by a task for each FILE_ROWS of them, not by each shuffle partition.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/verdigris-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(MIN_FILES, rows // FILE_ROWS))).write.parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._verdigris_path = path
@@ -85,34 +90,32 @@ def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
 
 
 def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components by distributed min-label hooking and pointer jumping.
+    """Connected components by distributed min labels and pointer jumping.
 
     nodes: id long (distinct); links: a, b long. Returns id, component (the
-    smallest id that links reach). Each round is written to the shared folder.
-    Every node keeps one outgoing pointer; a round hooks each pointer to the
-    smallest label next to it and then jumps, so the rounds grow with the
-    logarithm of the longest path.
+    smallest id that links reach). In a round every node takes the smallest
+    label among its own and its neighbours', then the label of its label; the
+    reach of a label about doubles, so the rounds grow with the logarithm of
+    the longest path. Each round is written to the shared folder, and the
+    labels' change is noted in the row, so it ends without another join.
     """
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    if both.isEmpty():
+    n = both.count()
+    if not n:
         return nodes.select("id", F.col("id").alias("component"))
-    touched = both.select(F.col("a").alias("id")).distinct()
-    labels = written(touched.select("id", F.col("id").alias("label")), "labels")
-    edges = both
+    labels = written(both.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("label")), "labels", n)
     for _ in range(max_rounds):
-        # The smallest label among a node's neighbours and itself, offered to the node and to its present label.
-        near = edges.join(by_key(labels.withColumnRenamed("id", "b").withColumnRenamed("label", "lb")), "b").groupBy("a").agg(F.min("lb").alias("lb"))
-        seen = labels.join(by_key(near.withColumnRenamed("a", "id")), "id").select("id", "label", F.least("label", "lb").alias("to"))
-        offers = seen.select("id", "to").unionByName(seen.where("to < label").select(F.col("label").alias("id"), "to"))
-        hooked = written(offers.groupBy("id").agg(F.min("to").alias("label")), "hooked")
-        jumped = hooked.join(by_key(hooked.select(F.col("id").alias("label"), F.col("label").alias("next"))), "label", "left").select("id", F.least(F.coalesce("next", "label"), "label").alias("label"))
-        new = written(jumped, "labels")
-        moved = new.join(by_key(labels.withColumnRenamed("label", "old")), "id").where("label <> old").limit(1).isEmpty()
-        drop_written(labels, hooked)
+        offers = both.join(by_key(labels.select(F.col("id").alias("b"), "label")), "b").select(F.col("a").alias("id"), "label", F.lit(None).cast("long").alias("old"))
+        own = labels.select("id", "label", F.col("label").alias("old"))
+        near = written(offers.unionByName(own).groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old")), "near", n)
+        ahead = near.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        new = written(near.join(by_key(ahead), "label").select("id", F.least("next", "label").alias("label"), "old"), "labels", n)
+        done = new.where("label <> old").isEmpty()
+        drop_written(labels, near)
         labels = new
-        if moved:
+        if done:
             break
     else:
         raise RuntimeError("components: no fixed point")
-    drop_written(edges)
-    return nodes.join(by_key(labels), "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+    drop_written(both)
+    return nodes.join(by_key(labels.select("id", "label")), "id", "left").select("id", F.coalesce("label", "id").alias("component"))

@@ -16,13 +16,14 @@ longer by l - 1. The join uses three orders:
   order before its sets are intersected.
 
 Documents of equal sets are one node. The result is components, so pairs inside
-a known component need no test: two rounds compare each node with one hub (the
-smallest node it shares most prefix tokens with), which joins a group of m near
-copies by m - 1 pairs. Then every remaining pair of nodes in different
-components that share a prefix token at places which leave room for the whole
-overlap, and whose parity sketches do not differ in more bits than linked sets
-differ in tokens, is compared, in blocks of BLOCK nodes, small groups first.
-Nothing is capped, so no link between components is lost.
+a known component need no test: a first round compares each node with one hub,
+that of most of its prefix tokens, which joins a group of m near copies by at
+most m - 1 pairs. Then pairs of nodes in different components are compared that
+share a prefix token at places which leave room for the whole overlap, and
+whose parity sketches do not differ in more bits than linked sets differ in
+tokens: first a hashed part of them, which joins most of what is left of large
+groups, then all that remain. A token's nodes meet in blocks of BLOCK. Nothing
+is capped, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -32,14 +33,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import by_key, components, drop_written, fresh, small_batches, written
 
 BLOCK, SKETCH_BITS = 256, 1024
-#: Rounds that compare each node with one hub; then all pairs, of small groups first and at last (None) of any.
-HUB_ROUNDS, WAVES = 2, (32, None)
+#: A round that compares each node with one hub (None), then rounds over a part of all pairs, the last one over all that are left.
+#: The part joins most of a large group, whose inner pairs then need no test.
+ROUNDS = (None, 16, 1)
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -134,8 +136,8 @@ def _columns(members: pa.StructArray) -> list[np.ndarray]:
     return [*(members.field(k).to_numpy(zero_copy_only=False) for k in range(4)), sketch]
 
 
-def _residual(members: DataFrame, rule: Threshold) -> DataFrame:
-    """All pairs a < b of one token's members (token, node, n, pos, component, sketch, m) in different components whose places of the token and sketches leave room for a link."""
+def _residual(members: DataFrame, rule: Threshold, part: int) -> DataFrame:
+    """All pairs a < b of one token's members (token, node, n, pos, component, sketch, m) in different components whose places of the token and sketches leave room for a link: of each `part` pairs the one that their hash picks."""
     blocked = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     lists = written(blocked.groupBy("token", "blocks", "block").agg(F.collect_list(F.struct("node", "n", "component", "pos", "sketch")).alias("of")), "blocks")
     mates = lists.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
@@ -146,10 +148,13 @@ def _residual(members: DataFrame, rule: Threshold) -> DataFrame:
             for x, y in zip(batch.column("of"), batch.column("with")):
                 (a, na, ca, pa_, sa), (b, nb, cb, pb, sb) = (_columns(v.values) for v in (x, y))
                 for s in range(0, len(a), 64):
-                    part = slice(s, s + 64)
+                    here = slice(s, s + 64)
                     # the first token in common passes: what follows it on either side must hold the whole overlap
-                    room, both_n = np.minimum((na - pa_)[part, None], nb - pb), na[part, None] + nb
-                    i, j = np.nonzero((ca[part, None] != cb) & ((rule.den + rule.num) * room >= rule.num * both_n))
+                    room, both_n = np.minimum((na - pa_)[here, None], nb - pb), na[here, None] + nb
+                    i, j = np.nonzero((ca[here, None] != cb) & ((rule.den + rule.num) * room >= rule.num * both_n))
+                    if part > 1:
+                        picked = _mixed((a[s + i] ^ b[j]).view(np.uint64) * _ODD) % np.uint64(part) == 0
+                        i, j = i[picked], j[picked]
                     differ = np.bitwise_count(sa[s + i] ^ sb[j]).sum(1, dtype=np.int64)
                     fits = (rule.den + rule.num) * differ <= (rule.den - rule.num) * both_n[i, j]
                     i, j = i[fits], j[fits]
@@ -219,31 +224,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = written(met, "members")
     drop_written(df)
 
-    links = spark.createDataFrame([], "a long, b long")
-    tried = links
-    labels = written(members.select("node").distinct().select("node", F.col("node").alias("component")), "labels")
-    keep: list[DataFrame] = []
-    for at in range(HUB_ROUNDS + len(WAVES)):
+    n = max(1, members.select("node").distinct().count())
+    labels = written(members.select("node").distinct().select("node", F.col("node").alias("component")), "labels", n)
+    tried: list[DataFrame] = []
+    links: list[DataFrame] = []
+    for at, part in enumerate(ROUNDS):
         now = members.join(by_key(labels), "node")
         groups = now.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(at))).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high")
-        groups = written(groups.select("token", "hub", "m"), "groups")
+        groups = written(groups.select("token", "hub", "m"), "groups", n)
         if groups.isEmpty():
             break
-        if at < HUB_ROUNDS:
-            hubs = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-            offers = now.join(by_key(groups), "token").join(by_key(hubs), "hub").where("component <> hub_component").groupBy("node", "hub").agg(F.count("*").alias("common"))
-            best = offers.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("common"), "hub"))).where("at = 1")
+        if part is None:
+            offers = now.select("node", "token").join(by_key(groups), "token").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("common"))
+            best = offers.groupBy("node").agg(F.max_by("hub", F.struct("common", "hub")).alias("hub"))
             pairs = best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         else:
-            wave = groups.where(F.col("m") <= most) if (most := WAVES[at - HUB_ROUNDS]) else groups
-            pairs = _residual(written(now.join(by_key(wave.select("token", "m")), "token").join(by_key(sets.select("node", "sketch")), "node"), "active"), rule)
-        pairs = written(pairs.join(by_key(tried), ["a", "b"], "left_anti"), "pairs")
-        keep.append(written(_verify(sets, pairs, rule), "links"))
-        links = keep[0]
-        for x in keep[1:]:
-            links = links.unionByName(x)
-        tried = tried.unionByName(pairs)
-        labels = written(components(members.select(F.col("node").alias("id")).distinct(), links).withColumnRenamed("id", "node"), "labels")
+            pairs = _residual(written(now.join(by_key(groups.select("token", "m")), "token").join(by_key(sets.select("node", "sketch")), "node"), "active", n), rule, part)
+        for t in tried:
+            pairs = pairs.join(by_key(t), ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs", n)
+        tried.append(pairs)
+        links.append(written(_verify(sets, pairs, rule), "links", n))
+        found = links[0]
+        for x in links[1:]:
+            found = found.unionByName(x)
+        labels = written(components(members.select(F.col("node").alias("id")).distinct(), found).withColumnRenamed("id", "node"), "labels", n)
     drop_written(sets, members)
 
     # Each node's component, and the smallest id in it.
