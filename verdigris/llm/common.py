@@ -58,6 +58,8 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/verdigris-{uuid.uuid4().hex}/{name}"
     (df if rows is None else df.coalesce(max(MIN_FILES, rows // FILE_ROWS))).write.parquet(path)
     _written.append((spark, path))
+    if rows is None:  # Spark deletes the shuffle files of finished steps when their plans are collected as garbage
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._verdigris_path = path
     return out

@@ -195,13 +195,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = written(scanned.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.first("n").alias("n")), "nodes")
 
     # Order 1: enough shared tokens in the long prefix by hash.
-    told = scanned.where("size(prefix) > 0").select("node", "n", F.explode("prefix").alias("token"))
+    told = scanned.where("size(prefix) > 0").select("node", F.explode("prefix").alias("token"))
     shared = written(told.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token"), "shared")
     # Several tasks may have told a node's prefix; its hits then count more than once, which only lets more through.
     partner = F.ceil(F.col("n") * num / den)
     enough = partner - F.ceil(partner * num / den) + 1
-    hits = told.join(by_key(shared), "token", "left_semi").groupBy("node").agg(F.count("*").alias("hits"), F.first("n").alias("n")).where(F.col("hits") >= enough)
-    survivors = written(hits.select("node").join(by_key(nodes), "node").select("node", F.col("first_id").alias("id")), "survivors")
+    hits = told.join(by_key(shared), "token", "left_semi").groupBy("node").agg(F.count("*").alias("hits"))
+    survivors = written(hits.join(by_key(nodes), "node").where(F.col("hits") >= enough).select("node", F.col("first_id").alias("id")), "survivors")
     drop_written(shared)
 
     # Whole sets of the survivors only, one document for each node.
