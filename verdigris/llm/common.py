@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import sys
+import types
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 _written: list[tuple[SparkSession, str]] = []
 
 #: Records handed to a Python worker at once; texts can be long, so far fewer than Spark's 10,000.
@@ -26,6 +31,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def kept_in_worker(key: tuple, make: Callable[[], T]) -> T:
+    """make()'s value, made once in a Python worker process and kept for its later tasks."""
+    kept = sys.modules.setdefault("_verdigris_kept", types.ModuleType("_verdigris_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; a folder of our own only where that is unset (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import by_key, small_batches, written
+from verdigris.llm.common import by_key, kept_in_worker, small_batches, written
 
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 #: Numbers of groups that are planned; the plan of the fewest sequences holds.
@@ -58,7 +58,7 @@ class WordEncoder:
     about `most` of each in two generations.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -105,12 +105,12 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if tokenizer is None:
+        file = tokenizer
+        if file is None:
             import public_tokenizers
 
-            encoder = WordEncoder(public_tokenizers.path(TOKENIZER))
-        else:
-            encoder = WordEncoder(tokenizer)
+            file = public_tokenizers.path(TOKENIZER)
+        encoder = kept_in_worker(("WordEncoder", file), lambda: WordEncoder(file))
         part, seen, end = TaskContext.get().partitionId(), {}, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
