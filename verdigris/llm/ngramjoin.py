@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import by_key, components, drop_written, fresh, small_batches, written
+from verdigris.llm.common import by_key, components, drop_written, fresh, kept_in_worker, small_batches, written
 
 BLOCK, SKETCH_BITS = 256, 1024
 #: A round that compares each node with one hub (None), then rounds over a part of all pairs, the last one over all that are left.
@@ -178,7 +178,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(words), set()
+        shingler, seen = kept_in_worker(("Shingler", words), lambda: Shingler(words)), set()
         for batch in batches:
             n, nodes, prefixes = [], [], []
             for text in batch.column("text").to_pylist():
@@ -206,7 +206,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # Whole sets of the survivors only, one document for each node.
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler = kept_in_worker(("Shingler", words), lambda: Shingler(words))
         for batch in batches:
             tokens = [shingler.tokens(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_node(t) for t in tokens], pa.int64()), pa.array([len(t) for t in tokens], pa.int64()), _lists(tokens), pa.array([_sketch(t) for t in tokens], pa.binary())], ["node", "n", "tokens", "sketch"])
