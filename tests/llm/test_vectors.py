@@ -57,3 +57,19 @@ def test_recall(table):
     same = got[got.query_id == 1000].sort_values("rank")
     assert same.vec_id.tolist() == list(range(900, 910))  # equal vectors: the smallest ids
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_recall_where_codes_are_coarse(spark):
+    x = np.random.default_rng(3).standard_normal((12000, 96)).astype(np.float32)
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>").cache()
+    got = ann.search(df, df.where("vec_id % 200 = 0")).toPandas()
+    hits = 0
+    for q in range(0, len(x), 200):
+        d = ((x.astype(float) - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(got[got.query_id == q].vec_id) & set(np.argsort(d)[:10]))
+    assert hits / (60 * 10) >= 0.93
+
+
+def test_codes_tied_at_the_cut_stay():
+    assert ann.smallest(np.array([3.0, 1.0, 2.0, 2.0, 2.0]), 2).tolist() == [1, 2, 3, 4]

@@ -3,15 +3,17 @@
 Vectors go to the list of their nearest coarse centroid; the residual is coded
 by one centroid number for each of PARTS subspaces. A query probes its nearest
 lists, adds up asymmetric distances from a table for each list (its own
-residual against every centroid of every subspace), keeps the RERANK nearest
-codes and orders these by exact distance.
+residual against every centroid of every subspace), keeps the nearest codes up
+to a depth, all codes tied there too, and orders these by exact distance.
 
 Centroids and codebooks are fitted on a bounded sample; every row is indexed.
 Equal vectors share one code, and of each such group only the k + 1 smallest
 ids can be among k nearest (ties go to the smaller id, a query is not its own
 neighbour), so a group of any size takes one place. Lists meet queries in
 blocks of at most about BLOCK codes and QUERY_BLOCK queries. How many lists a
-query probes is set on the sample, so that its recall there reaches AIM.
+query probes and how deep it reranks is set on TRIALS queries of the sample:
+their k nearest of all rows are found exactly, and lists and depth are the
+fewest that hold AIM of these. So both grow with the rows as they must.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import written
 
-FIT_ROWS, MAX_LISTS, PARTS, CENTROIDS, RERANK, AIM = 20_000, 1024, 16, 256, 64, 0.97
+FIT_ROWS, MAX_LISTS, PARTS, CENTROIDS, TRIALS, AIM = 20_000, 1024, 16, 256, 100, 0.97
 BLOCK, QUERY_BLOCK = 4096, 256
 
 
@@ -34,7 +36,8 @@ BLOCK, QUERY_BLOCK = 4096, 256
 class Index:
     coarse: np.ndarray  # (lists, d)
     books: list[np.ndarray]  # a (centroids, width) for each subspace
-    probes: int
+    probes: int = 0
+    depth: int = 0
 
     def edges(self) -> np.ndarray:
         return np.concatenate([[0], np.cumsum([b.shape[1] for b in self.books])])
@@ -44,6 +47,9 @@ class Index:
         rest, e = x - self.coarse[lists], self.edges()
         return lists, np.stack([nearest(rest[:, a:b], book) for a, b, book in zip(e, e[1:], self.books)], 1).astype(np.uint8)
 
+    def decode(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return self.coarse[lists] + np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], 1)
+
     def tables(self, q: np.ndarray, at: int) -> np.ndarray:
         """(queries, subspaces, centroids) squared distances of the queries' residuals in list `at`."""
         rest, e = q - self.coarse[at], self.edges()
@@ -81,49 +87,69 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
 
 
 def smallest(d: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k smallest, equal ones by position."""
+    """Positions of the k smallest and of all equal to the last of these."""
     if len(d) <= k:
-        return np.argsort(d, kind="stable")
-    bound = np.partition(d, k - 1)[k - 1]
-    few = np.flatnonzero(d <= bound)
-    return few[np.argsort(d[few], kind="stable")[:k]]
+        return np.arange(len(d))
+    return np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
 
 
-def fit_index(sample: np.ndarray, rows: int, k: int = 10) -> Index:
+def fit_index(sample: np.ndarray, rows: int) -> Index:
     """sample: distinct vectors. The number of lists follows the root of `rows`, up to MAX_LISTS and an eighth of the sample."""
     lists = max(1, min(MAX_LISTS, int(2 * rows**0.5), len(sample) // 8))
     coarse = kmeans(sample, lists)
-    own = nearest(sample, coarse)
-    rest = sample - coarse[own]
+    rest = sample - coarse[nearest(sample, coarse)]
     widths = np.array_split(np.arange(sample.shape[1]), min(PARTS, sample.shape[1]))
-    index = Index(coarse, [kmeans(rest[:, w], min(CENTROIDS, len(sample))) for w in widths], len(coarse))
-    # The fewest lists whose recall on the sample reaches AIM.
-    queries = np.random.default_rng(2).permutation(len(sample))[:100]
-    true = squared(sample[queries], sample)
-    true[np.arange(len(queries)), queries] = np.inf
-    truth = [set(smallest(t, k).tolist()) for t in true]
-    _, codes = index.encode(sample)
-    near = squared(sample[queries], coarse).argsort(1, kind="stable")
-    place = near.argsort(1)
-    guess = np.empty((len(queries), len(sample)))
-    for at in range(len(coarse)):
-        mine = np.flatnonzero(own == at)
-        if len(mine):
-            guess[:, mine] = index.distances(sample[queries], at, codes[mine])
-    guess[np.arange(len(queries)), queries] = np.inf
-    probes = 1
-    while probes < len(coarse):
-        seen = np.where(place[:, own] < probes, guess, np.inf)
-        hits = 0
-        for q, t in enumerate(truth):
-            few = smallest(seen[q], RERANK)
-            few = few[np.isfinite(seen[q][few])]
-            hits += len(t & set(few[smallest(true[q][few], k)].tolist()))
-        if hits >= AIM * sum(map(len, truth)):
-            break
-        probes = probes + max(1, probes // 4)
-    index.probes = min(len(coarse), max(probes, 1))
-    return index
+    return Index(coarse, [kmeans(rest[:, w], min(CENTROIDS, len(sample))) for w in widths])
+
+
+def set_reach(index: Index, reps: DataFrame, codes: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int) -> None:
+    """Sets the fewest lists that hold half of what AIM leaves, then the depth that holds AIM, of the k nearest of all `reps` to the vectors `asked` (rows of reps with these ids)."""
+    near = squared(asked, index.coarse).argsort(1, kind="stable").argsort(1)  # (queries, lists): the list's place
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, asked.shape[1])))] * len(asked)
+        for b in batches:
+            if b.num_rows:
+                x, own = _matrix(b.column("v")), b.column("vec_id").to_numpy()
+                for q, d in enumerate(squared(asked, x)):
+                    d[own == ids[q]] = np.inf
+                    few = smallest(d, k)
+                    few = few[np.isfinite(d[few])]
+                    d, i, v = (np.concatenate(p) for p in zip(best[q], (d[few], own[few], x[few])))
+                    first = np.lexsort((i, d))[:k]
+                    best[q] = d[first], i[first], v[first]
+        for q, (d, i, v) in enumerate(best):
+            if len(d):
+                lists, own_codes = index.encode(v)
+                guess = squared(asked[q : q + 1], index.decode(lists, own_codes))[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), q, np.int32)), pa.array(i), pa.array(d), pa.array(near[q, lists].astype(np.int32)), pa.array(guess)], ["q", "rep", "near", "place", "guess"])
+
+    by_distance = Window.partitionBy("q").orderBy("near", "rep")
+    truth = reps.mapInArrow(exact, "q int, rep long, near double, place int, guess double").withColumn("at", F.row_number().over(by_distance)).where(F.col("at") <= k).collect()  # at most TRIALS * k rows
+    index.probes, index.depth = len(index.coarse), k
+    if not truth:
+        return
+    place = np.array([r["place"] for r in truth])
+    index.probes = int(np.quantile(place, (1 + AIM) / 2, method="higher")) + 1
+    # What rounding can move a sum by doesn't change who comes first.
+    bounds = [np.sort([r["guess"] for r in truth if r["q"] == q and r["place"] < index.probes]) * (1 + 1e-9) + 1e-9 for q in range(len(asked))]
+
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        under = [np.zeros(len(t), np.int64) for t in bounds]
+        for b in batches:
+            if b.num_rows:
+                lists = b.column("list").to_numpy()
+                own = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(lists), -1)
+                for q, d in enumerate(squared(asked, index.decode(lists, own))):
+                    at = np.searchsorted(bounds[q], d[near[q, lists] < index.probes])
+                    under[q] += np.bincount(at, minlength=len(bounds[q]) + 1)[:-1].cumsum()
+        for q, counts in enumerate(under):
+            if len(counts):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), q, np.int32)), pa.array(np.arange(len(counts), dtype=np.int32)), pa.array(counts)], ["q", "at", "under"])
+
+    found = codes.mapInArrow(ranks, "q int, at int, under long").groupBy("q", "at").agg(F.sum("under").alias("under")).collect()  # at most TRIALS * k rows
+    depths = np.sort([r["under"] for r in found])
+    index.depth = max(k, int(depths[min(len(depths), int(np.ceil(AIM * len(truth)))) - 1]))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -153,8 +179,9 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     same = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
     members = written(rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).withColumn("rep", F.first("vec_id").over(same)).select("vec_id", "v", "nth", "rep"), "members")
     reps = members.where("nth = 1").select("vec_id", "v")
-    sample = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").collect()
-    index = fit_index(np.array([r["v"] for r in sample]), reps.count(), k)
+    sample = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()
+    fitted = np.array([r["v"] for r in sample])
+    index = fit_index(fitted, reps.count())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,6 +198,8 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
                 yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(at)), pa.array(lists.ravel().astype(np.int32)), pa.array([q[i].tobytes() for i in at], pa.binary())], ["query_id", "list", "q"])
 
     codes = written(reps.mapInArrow(encode, "rep long, list int, code binary"), "codes")
+    trials = np.random.default_rng(2).permutation(len(sample))[:TRIALS]
+    set_reach(index, reps, codes, np.array([sample[i]["vec_id"] for i in trials]), fitted[trials], k)
     asks = written(asked.mapInArrow(probe, "query_id long, list int, q binary"), "asks")
 
     def blocks(df: DataFrame, key: str, size: int, what: str) -> DataFrame:
@@ -190,13 +219,13 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
                 ids = asks.values.field(0).to_numpy()
                 dist = index.distances(q, at, codes)
                 # one place more, for the query itself
-                best = [smallest(row, RERANK + 1) for row in dist]
+                best = [smallest(row, index.depth + 1) for row in dist]
                 who = np.repeat(ids, [len(x) for x in best])
                 yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(reps[np.concatenate(best)]), pa.array(np.concatenate([row[x] for row, x in zip(dist, best)]))], ["query_id", "rep", "near"])
 
     found = pairs.mapInArrow(scan, "query_id long, rep long, near double")
-    by_code = Window.partitionBy("query_id").orderBy("near", "rep")
-    few = written(found.withColumn("at", F.row_number().over(by_code)).where(F.col("at") <= RERANK + 1).select("query_id", "rep"), "few")
+    by_code = Window.partitionBy("query_id").orderBy("near")
+    few = written(found.withColumn("at", F.rank().over(by_code)).where(F.col("at") <= index.depth + 1).select("query_id", "rep"), "few")
     target = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"])
     exact = few.join(members.select("rep", "vec_id", "v"), "rep").where("vec_id <> query_id").join(target, "query_id")
     scored = exact.select("query_id", "vec_id", F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)).alias("score"))
