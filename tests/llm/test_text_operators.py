@@ -166,6 +166,39 @@ def test_pii_bootstrap_discovers_by_context(spark):
     assert got[200] == "context:24:34" and all("context" not in got[i] for i in range(100, 120))
 
 
+def _card(i):
+    body = f"4111-1111-11{i:02d}-333"
+    return next(c for c in (f"{body}{x}" for x in range(10)) if any(kind.startswith("card") for _, _, kind in base_spans(c)))
+
+
+@pytest.mark.parametrize(
+    ("seed", "unseen"),
+    [
+        (lambda i: f"{'abcdefghij'[i % 10]}{'klmno'[i // 10]}@site.example.com", "jo@sit\u00e9.example.com"),
+        (lambda i: f"10.{i % 10}.{i // 10}.77", "999.9.9.9"),
+        (_card, _card(77)[:-1] + str((int(_card(77)[-1]) + 1) % 10)),
+        (lambda i: f"+1-555-77-{10000 + i}", "+1----555-77-12"),
+    ],
+    ids=["email", "ip", "card", "phone"],
+)
+def test_pii_bootstrap_of_each_kind(spark, seed, unseen):
+    rows = [(i, f"reach me under {seed(i)} from now on") for i in range(50)] + [(200, f"reach me under {unseen} from now on"), (201, f"we never said {unseen}x to anyone")]
+    assert not base_spans(unseen)
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[200] == f"context:15:{15 + len(unseen)}" and got[201] == ""
+
+
+def test_pii_words_around_come_from_the_text(spark):
+    # the word before holds a digit; that of the last row is another one
+    rows = [(i, f"at r7 10.{i % 10}.{i // 10}.77 q{i}") for i in range(50)] + [(200, "at r7 999.9.9.8 z"), (201, "at r8 999.9.9.9 y")]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[200] == "context:6:15" and got[201] == ""
+    # a phone with blanks is one instance, so its parts aren't tokens of their own
+    rows = [(i, f"call +1 555 {100 + i} {7000 + i} now") for i in range(50)] + [(200, "call 7999 now")]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[200] == "" and got[0] == "phone:5:20"
+
+
 def test_packing_is_whole_and_gapless(spark):
     from public_tokenizers import path
     from tokenizers import Tokenizer

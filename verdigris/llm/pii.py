@@ -2,11 +2,14 @@
 
 Base spans come from four patterns. They are the seeds of a bootstrap:
 
-1. Every blank-free token with a digit is an instance. Each occurrence induces
-   two lexical patterns: the word before with the token's shape, and the shape
-   with the word after (shape: letters a, digits 9, runs counted).
-2. Instances and patterns make a bipartite graph of distinct edges. An instance
-   that a base span covers scores 1, others start at 0. In each round a
+1. Each base span, whole and with its blanks, and each blank-free token outside
+   them is an instance. Each occurrence induces two lexical patterns: the word
+   before with the instance's shape, and the shape with the word after (shape:
+   letters a, digits 9, runs as one, then the length). Every base span has an @
+   or a digit, which its shape keeps, so a token with neither shares no pattern
+   with any seed and scores 0: such tokens are left out, which changes nothing.
+2. Instances and patterns make a bipartite graph of distinct edges. A base span
+   scores 1, others start at 0. In each round a
    pattern's confidence is the sum of its instances' scores over their number
    plus one, if it has at least MIN_SUPPORT of them; then an instance that is
    no seed scores the highest confidence of its patterns.
@@ -34,11 +37,11 @@ PATTERNS = {
     "ip": "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++",
     "card": "(?<![0-9])[0-9](?:[\\x20-]?[0-9])++",
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
-    "context": "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9]*+[0-9][^\\x20\\x09-\\x0D]*+",
+    "context": "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9@]*+[0-9@][^\\x20\\x09-\\x0D]*+",
 }
 #: Texts without this character have no match.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-MIN_SUPPORT, CONFIDENT, ROUNDS, MIN_DIGITS = 5, 0.9, 2, 4
+MIN_SUPPORT, CONFIDENT, ROUNDS = 5, 0.9, 2
 
 
 def _luhn(digits: Column) -> Column:
@@ -53,7 +56,6 @@ def _holds(kind: Column, hit: Column) -> Column:
         F.when(kind == 1, hit.rlike(f"^{_PART}\\.{_PART}\\.{_PART}\\.{_PART}$"))
         .when(kind == 2, F.when((n >= 14) & (n <= 19), _luhn(digits)).otherwise(False))
         .when(kind == 3, (n >= 10) & (n <= 15))
-        .when(kind == 4, n >= MIN_DIGITS)
         .otherwise(True)
     )
 
@@ -61,12 +63,17 @@ def _holds(kind: Column, hit: Column) -> Column:
 def _matches(text: Column, kind: int) -> Column:
     """An array of (kind, i, gap, hit, before, after) for the matches of one kind, and one last element without hit."""
     pattern = PATTERNS[KINDS[kind]]
-    gaps = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("then"))
-    near = (lambda x: (F.substring(x["gap"], -80, 80), F.left(x["then"], F.lit(80)))) if kind == 4 else (lambda x: (F.lit(None).cast("string"),) * 2)
-    found = F.transform(zipped, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), x["hit"].alias("hit"), near(x)[0].alias("before"), near(x)[1].alias("after")))
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    shifted = lambda a, n: F.slice(a, F.lit(1 + n), F.size(a)) if n > 0 else F.concat(F.array(F.lit("")), a)
+    zipped = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), shifted(gaps, 1).alias("gap1"), shifted(gaps, 2).alias("gap2"), shifted(hits, 1).alias("hit1"), shifted(gaps, -1).alias("gap0"), shifted(hits, -1).alias("hit0"))
+    end = lambda c: F.substring(F.coalesce(c, F.lit("")), -80, 80)
+    begin = lambda c: F.left(F.coalesce(c, F.lit("")), F.lit(80))
+    # the text around a match, matches beside it included
+    before = lambda x: end(F.concat(end(x["gap0"]), end(x["hit0"]), end(x["gap"])))
+    after = lambda x: begin(F.concat(begin(x["gap1"]), begin(x["hit1"]), begin(x["gap2"])))
+    found = F.transform(zipped, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), x["hit"].alias("hit"), before(x).alias("before"), after(x).alias("after")))
     needs = _NEEDS.get(KINDS[kind])
-    tried = text.contains(needs) if needs else text.rlike("[0-9]")
+    tried = text.contains(needs) if needs else text.rlike("[0-9@]" if kind == 4 else "[0-9]")
     return F.when(tried, F.filter(found, lambda x: x["hit"].isNotNull())).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,hit:string,before:string,after:string>>"))
 
 
@@ -106,15 +113,18 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = placed.where("kind < 4").select(*key, F.struct("start", "kind", "end").alias("span"))
     covered = base.groupBy(*key).agg(F.collect_list("span").alias("base"))
 
-    # Tokens with a digit: value, patterns, and whether a base span touches them.
+    # Instances: the base spans, and the tokens that no base span touches.
     skin = "[^\\p{L}\\p{N}+]"
     tokens = placed.where("kind = 4").withColumn("lead", F.length(F.regexp_extract("hit", f"^{skin}*+", 0))).withColumn("instance", F.regexp_replace(F.regexp_replace("hit", f"^{skin}*+", ""), f"{skin}++$", ""))
     same = [placed["doc_id"].eqNullSafe(F.col("c_id")), placed["th"] == F.col("c_th")]
     tokens = tokens.join(by_key(covered.select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th"), "base")), same, "left").drop("c_id", "c_th")
     tokens = tokens.withColumn("start", F.col("start") + F.col("lead")).withColumn("end", F.col("start") + F.length("instance"))
-    tokens = tokens.withColumn("seed", F.coalesce(F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"])), F.lit(False)))
-    word = lambda gap, n: F.lower(F.substring_index(F.trim(F.translate(gap, "\n\t\r", "   ")), " ", n))
-    tokens = written(tokens.select(*key, "start", "end", "instance", "seed", F.concat(F.lit("<"), word(F.col("before"), -1), F.lit(" "), _shape(F.col("instance"))).alias("left_pattern"), F.concat(F.lit(">"), _shape(F.col("instance")), F.lit(" "), word(F.col("after"), 1)).alias("right_pattern")), "tokens")
+    tokens = tokens.where(~F.coalesce(F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"])), F.lit(False)))
+    spans = placed.where("kind < 4").withColumn("instance", F.col("hit"))
+    names = [*key, "start", "end", "instance", "before", "after"]
+    both = tokens.select(*names, F.lit(False).alias("seed")).unionByName(spans.select(*names, F.lit(True).alias("seed")))
+    word = lambda text, n: F.lower(F.substring_index(F.trim(F.translate(text, "\n\t\r\x0b\f", "     ")), " ", n))
+    tokens = written(both.select(*key, "start", "end", "instance", "seed", F.concat(F.lit("<"), word(F.col("before"), -1), F.lit(" "), _shape(F.col("instance"))).alias("left_pattern"), F.concat(F.lit(">"), _shape(F.col("instance")), F.lit(" "), word(F.col("after"), 1)).alias("right_pattern")), "tokens")
     edges = tokens.select("instance", F.explode(F.array("left_pattern", "right_pattern")).alias("pattern")).where("length(instance) > 0").distinct()
     known = _bootstrap(edges, tokens.where("seed").select("instance").distinct()).where(F.col("score") >= CONFIDENT)
     added = tokens.where("not seed").join(by_key(known), "instance").select(*key, F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("end")).alias("span"))
