@@ -65,6 +65,12 @@ def test_jaccard_edges(spark):
     assert sorted((r.n_shingles, r.component_id or -1) for r in got) == [(0, -1), (2, 7), (2, 7), (2, 7)]
 
 
+def test_jaccard_text_without_id_is_a_bridge(spark):
+    text = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    df = spark.createDataFrame([(1, text(0, 6)), (None, text(2, 8)), (2, text(4, 10))], DOCS)
+    assert {r.component_id for r in ngramjoin.jaccard_components(df, words=1, num=50).collect()} == {1}
+
+
 def test_one_of_each_group_stays(spark):
     df = spark.createDataFrame([(3, "a b c d e f", 1), (1, "a b c d e f", 2), (2, "other words", 3), (4, None, 4), (None, "a b c d e f", 5)], f"{DOCS}, _id int")
     got = ngramjoin.drop_near_copies(df)

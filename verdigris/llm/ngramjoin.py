@@ -176,6 +176,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(spark)
     rule = Threshold(num, den)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # Where a text is read again: its id, or for a null id its hash. An id equal to a hash only reads one text more.
+    source = source.withColumn("place", F.coalesce("id", F.xxhash64("text")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = kept_in_worker(("Shingler", words), lambda: Shingler(words)), set()
@@ -189,10 +191,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 # a set's prefix is told once in a task, however many copies it has there
                 prefixes.append(tokens[: 2 * rule.spare(len(tokens)) + 1 if len(tokens) and node not in seen else 0])
                 seen.add(node)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), _lists(prefixes)], ["id", "n", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("place"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), _lists(prefixes)], ["id", "place", "n", "node", "prefix"])
 
-    scanned = written(source.mapInArrow(scan, "id long, n long, node long, prefix array<long>"), "scanned")
-    nodes = written(scanned.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.first("n").alias("n")), "nodes")
+    scanned = written(source.mapInArrow(scan, "id long, place long, n long, node long, prefix array<long>"), "scanned")
+    nodes = written(scanned.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.min("place").alias("any_place"), F.first("n").alias("n")), "nodes")
 
     # Order 1: enough shared tokens in the long prefix by hash.
     told = scanned.where("size(prefix) > 0").select("node", F.explode("prefix").alias("token"))
@@ -201,7 +203,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     partner = F.ceil(F.col("n") * num / den)
     enough = partner - F.ceil(partner * num / den) + 1
     hits = told.join(by_key(shared), "token", "left_semi").groupBy("node").agg(F.count("*").alias("hits"))
-    survivors = written(hits.join(by_key(nodes), "node").where(F.col("hits") >= enough).select("node", F.col("first_id").alias("id")), "survivors")
+    survivors = written(hits.join(by_key(nodes), "node").where(F.col("hits") >= enough).select("node", F.coalesce("first_id", "any_place").alias("place")), "survivors")
     drop_written(shared)
 
     # Whole sets of the survivors only, one document for each node.
@@ -211,7 +213,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             tokens = [shingler.tokens(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_node(t) for t in tokens], pa.int64()), pa.array([len(t) for t in tokens], pa.int64()), _lists(tokens), pa.array([_sketch(t) for t in tokens], pa.binary())], ["node", "n", "tokens", "sketch"])
 
-    texts = source.join(by_key(survivors.select("id").distinct()), "id", "left_semi").select("text")
+    texts = source.join(by_key(survivors.select("place").distinct()), "place", "left_semi").select("text")
     sets = written(texts.mapInArrow(whole, "node long, n long, tokens array<long>, sketch binary").join(by_key(survivors.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     # Order 2: rare first among the survivors.
