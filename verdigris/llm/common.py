@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import sys
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,8 @@ _written: list[tuple[SparkSession, str]] = []
 
 #: Records handed to a Python worker at once; texts can be long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 1000
-FILE_ROWS, MIN_FILES = 50_000, 12
+#: With this setting Spark removes an action's shuffle files when the action ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +42,11 @@ def kept_in_worker(key: tuple, make: Callable[[], T]) -> T:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a folder of our own only where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a folder of our own in local mode, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not found and master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
 
 
@@ -55,24 +60,36 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 @atexit.register
-def _remove_all() -> None:
+def remove_all_written() -> None:
+    """Removes every table of written() that is left. Frames that read them can't be used any more."""
     for spark, path in _written:
         if spark.sparkContext._jsc is not None:
             _remove(spark, path)
+    _written.clear()
 
 
-def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Actions inside leave no shuffle files behind; the session's own setting comes back."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
 
-    rows: about how many there will be, where that is known; they are then
-    written by a task for each FILE_ROWS of them, not by each shuffle partition.
+    It is removed by drop_written, or else when the interpreter ends: a lazy
+    result still reads its last tables.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/verdigris-{uuid.uuid4().hex}/{name}"
-    (df if rows is None else df.coalesce(max(MIN_FILES, rows // FILE_ROWS))).write.parquet(path)
+    path = f"{folder or f'{shared_dir(spark)}/verdigris-{uuid.uuid4().hex}'}/{name}"
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     _written.append((spark, path))
-    if rows is None:  # Spark deletes the shuffle files of finished steps when their plans are collected as garbage
-        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._verdigris_path = path
     return out
@@ -104,27 +121,26 @@ def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
     return (F.xxhash64(F.lit(seed), *cols).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).cast("double")
 
 
-def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components by distributed min labels and pointer jumping.
+def linked_components(links: DataFrame, max_rounds: int = 60) -> DataFrame | None:
+    """id, component (the smallest id that links reach) of all ids in links (a, b long); None without links.
 
-    nodes: id long (distinct); links: a, b long. Returns id, component (the
-    smallest id that links reach). In a round every node takes the smallest
-    label among its own and its neighbours', then the label of its label; the
-    reach of a label about doubles, so the rounds grow with the logarithm of
-    the longest path. Each round is written to the shared folder, and the
-    labels' change is noted in the row, so it ends without another join.
+    Distributed min labels and pointer jumping: in a round every id takes the
+    smallest label among its own and its neighbours', then the label of its
+    label; the reach of a label about doubles, so the rounds grow with the
+    logarithm of the longest path. Each round is written to the shared folder,
+    and the labels' change is noted in the row, so it ends without another join.
     """
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    n = both.count()
-    if not n:
-        return nodes.select("id", F.col("id").alias("component"))
-    labels = written(both.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("label")), "labels", n)
+    if both.isEmpty():
+        drop_written(both)
+        return None
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("label")), "labels")
     for _ in range(max_rounds):
         offers = both.join(by_key(labels.select(F.col("id").alias("b"), "label")), "b").select(F.col("a").alias("id"), "label", F.lit(None).cast("long").alias("old"))
         own = labels.select("id", "label", F.col("label").alias("old"))
-        near = written(offers.unionByName(own).groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old")), "near", n)
+        near = written(offers.unionByName(own).groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old")), "near")
         ahead = near.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        new = written(near.join(by_key(ahead), "label").select("id", F.least("next", "label").alias("label"), "old"), "labels", n)
+        new = written(near.join(by_key(ahead), "label").select("id", F.least("next", "label").alias("label"), "old"), "labels")
         done = new.where("label <> old").isEmpty()
         drop_written(labels, near)
         labels = new
@@ -133,4 +149,4 @@ def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> Data
     else:
         raise RuntimeError("components: no fixed point")
     drop_written(both)
-    return nodes.join(by_key(labels.select("id", "label")), "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+    return labels.select("id", F.col("label").alias("component"))

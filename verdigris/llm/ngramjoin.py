@@ -2,18 +2,18 @@
 
 A document is its set of word shingles (64-bit hashes). If two sets reach the
 Jaccard threshold, they share a token among the first n - ceil(t n) + 1 of each
-under *any* order of all tokens, and at least l tokens if both prefixes are
-longer by l - 1. The join uses three orders:
-
-* by hash: prefixes of length 2 (n - ceil(t n)) + 1 must share n - ceil(t n) + 1
-  tokens. Documents with too few tokens that another set has, drop out here,
-  before anything is counted over whole texts;
-* by document frequency among those left, rare first: tokens of one set only
-  come first and use up the prefix, so what remains is a short list of tokens
-  by which documents meet;
-* by a second hash, tested together with the first one when the two sets of a
-  candidate pair come together: a pair must share a prefix token under each
-  order before its sets are intersected.
+under *any* order of all tokens. Three orders are used, each of them settled by
+a document's early tokens, those whose hash lies under a fixed bound that takes
+EARLY times as many tokens as a prefix needs:
+
+* by document frequency: early tokens come first, rare before frequent, then
+  the others by hash. Tokens of one set alone use up the prefix, so what
+  remains is a short list of tokens by which documents meet. Only early tokens
+  are counted and only they move, a quarter of all for the usual threshold;
+* by hash, and by a second hash: the pairs that the first order offers must
+  share a token in both of these prefixes too. Only early tokens are compared
+  for it, and a pair whose early tokens leave no room for the overlap goes as
+  well. The other tokens move for the pairs alone that all three orders keep.
 
 Documents of equal sets are one node. The result is components, so pairs inside
 a known component need no test: a first round compares each node with one hub,
@@ -22,8 +22,8 @@ most m - 1 pairs. Then pairs of nodes in different components are compared that
 share a prefix token at places which leave room for the whole overlap, and
 whose parity sketches do not differ in more bits than linked sets differ in
 tokens: first a hashed part of them, which joins most of what is left of large
-groups, then all that remain. A token's nodes meet in blocks of BLOCK. Nothing
-is capped, so no link between components is lost.
+groups, then all others. A token's nodes meet in blocks of BLOCK. Nothing is
+capped, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -36,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import by_key, components, drop_written, fresh, kept_in_worker, small_batches, written
+from verdigris.llm.common import by_key, drop_written, fresh, kept_in_worker, linked_components, small_batches, written
 
-BLOCK, SKETCH_BITS = 256, 1024
-#: A round that compares each node with one hub (None), then rounds over a part of all pairs, the last one over all that are left.
+BLOCK, SKETCH_BITS, EARLY = 256, 1024, 1.6
+#: After the hubs, rounds over this part of all pairs, and over the other pairs.
 #: The part joins most of a large group, whose inner pairs then need no test.
-ROUNDS = (None, 16, 1)
+PART = 16
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -91,6 +91,10 @@ class Threshold:
     def linked(self, overlap: int, a: int, b: int) -> bool:
         return self.den * overlap >= self.num * (a + b - overlap)
 
+    def early(self) -> int:
+        """Tokens under this hash are early; an even number."""
+        return min(int(EARLY * (self.den - self.num) / self.den * (1 << 64)), (1 << 64) - 2) & ~1
+
 
 def _node(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
@@ -107,28 +111,49 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def _values(column: pa.Array) -> list[np.ndarray]:
+    return [v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in column]
+
+
+def _meet(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
+
+
+def _in_all_orders(x: np.ndarray, y: np.ndarray, px: int, py: int) -> bool:
+    """Whether prefixes of px and py tokens of two sets meet by hash and by a second hash. x, y: their early tokens, by hash."""
+    if len(x) < px or len(y) < py:  # a prefix reaches beyond the early tokens: nothing is known
+        return True
+    if not _meet(x[:px], y[:py]):
+        return False
+    u, v = _mixed(x * _ODD), _mixed(y * _ODD)
+    return _meet(np.partition(u, px - 1)[:px], np.partition(v, py - 1)[:py]) > 0
+
+
 def _verify(sets: DataFrame, pairs: DataFrame, rule: Threshold) -> DataFrame:
-    """Those of pairs (a, b) that link."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("tokens").alias(f"t_{x}"))
-    both = pairs.join(by_key(side("a")), "a").join(by_key(side("b")), "b")
+    """Those of pairs (a, b, ca, cb) that link. The late tokens of the sets move only for pairs that all orders keep."""
+    side = lambda x, part: sets.select(F.col("node").alias(x), *([F.col("n").alias(f"n_{x}")] if part == "early" else []), F.col(part).alias(f"t_{x}"))
+    met = lambda pairs, part: pairs.join(by_key(side("a", part)), "a").join(by_key(side("b", part)), "b")
+    names = ["a", "b", "ca", "cb"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("t_a"), batch.column("t_b")):
-                x, y = (v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in (x, y))
-                px, py = rule.spare(len(x)) + 1, rule.spare(len(y)) + 1
-                ok = len(y) >= rule.least(len(x)) and len(x) >= rule.least(len(y))
-                if ok:  # by hash: the sets are sorted so
-                    ok = len(np.intersect1d(x[:px], y[:py], assume_unique=True)) > 0
-                if ok:  # by the second hash
-                    u, v = x * _ODD, y * _ODD
-                    ok = len(np.intersect1d(np.partition(u, px - 1)[:px], np.partition(v, py - 1)[:py], assume_unique=True)) > 0
-                keep.append(ok and rule.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+            keep, seen = [], []
+            for n, m, x, y in zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), _values(batch.column("t_a")), _values(batch.column("t_b"))):
+                ok = m >= rule.least(n) and n >= rule.least(m) and _in_all_orders(x, y, rule.spare(n) + 1, rule.spare(m) + 1)
+                overlap = _meet(x, y) if ok else 0
+                keep.append(ok and rule.linked(overlap + min(n - len(x), m - len(y)), n, m))
+                seen.append(overlap)
             kept = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(kept) for c in [*names, "n_a", "n_b"]), pa.array(seen, pa.int64()).filter(kept)], [*names, "n_a", "n_b", "seen"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "seen")), _values(batch.column("t_a")), _values(batch.column("t_b")))
+            kept = pa.array([rule.linked(seen + _meet(x, y), n, m) for n, m, seen, x, y in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in names], names)
 
-    return both.mapInArrow(run, "a long, b long")
+    ids = "a long, b long, ca long, cb long"
+    return met(met(pairs, "early").mapInArrow(filters, f"{ids}, n_a long, n_b long, seen long"), "late").mapInArrow(run, ids)
 
 
 def _columns(members: pa.StructArray) -> list[np.ndarray]:
@@ -136,8 +161,8 @@ def _columns(members: pa.StructArray) -> list[np.ndarray]:
     return [*(members.field(k).to_numpy(zero_copy_only=False) for k in range(4)), sketch]
 
 
-def _residual(members: DataFrame, rule: Threshold, part: int) -> DataFrame:
-    """All pairs a < b of one token's members (token, node, n, pos, component, sketch, m) in different components whose places of the token and sketches leave room for a link: of each `part` pairs the one that their hash picks."""
+def _residual(members: DataFrame, rule: Threshold, first: bool) -> DataFrame:
+    """Pairs a < b, and their components, of one token's members (token, node, n, pos, component, sketch, m) in different components whose places of the token and sketches leave room for a link: the PART-th of them that their hash picks first, or all others."""
     blocked = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     lists = written(blocked.groupBy("token", "blocks", "block").agg(F.collect_list(F.struct("node", "n", "component", "pos", "sketch")).alias("of")), "blocks")
     mates = lists.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
@@ -152,15 +177,32 @@ def _residual(members: DataFrame, rule: Threshold, part: int) -> DataFrame:
                     # the first token in common passes: what follows it on either side must hold the whole overlap
                     room, both_n = np.minimum((na - pa_)[here, None], nb - pb), na[here, None] + nb
                     i, j = np.nonzero((ca[here, None] != cb) & ((rule.den + rule.num) * room >= rule.num * both_n))
-                    if part > 1:
-                        picked = _mixed((a[s + i] ^ b[j]).view(np.uint64) * _ODD) % np.uint64(part) == 0
-                        i, j = i[picked], j[picked]
-                    differ = np.bitwise_count(sa[s + i] ^ sb[j]).sum(1, dtype=np.int64)
-                    fits = (rule.den + rule.num) * differ <= (rule.den - rule.num) * both_n[i, j]
+                    i = i + s
+                    picked = (_mixed((a[i] ^ b[j]).view(np.uint64) * _ODD) % np.uint64(PART) == 0) == first
+                    i, j = i[picked], j[picked]
+                    differ = np.bitwise_count(sa[i] ^ sb[j]).sum(1, dtype=np.int64)
+                    fits = (rule.den + rule.num) * differ <= (rule.den - rule.num) * (na[i] + nb[j])
                     i, j = i[fits], j[fits]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[s + i], b[j])), pa.array(np.maximum(a[s + i], b[j]))], ["a", "b"])
+                    less = a[i] < b[j]
+                    out = [np.where(less, a[i], b[j]), np.where(less, b[j], a[i]), np.where(less, ca[i], cb[j]), np.where(less, cb[j], ca[i])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "ca", "cb"])
+
+    return both.select("of", "with").mapInArrow(run, "a long, b long, ca long, cb long").distinct()
 
-    return both.select("of", "with").mapInArrow(run, "a long, b long").distinct()
+
+def _groups(members: DataFrame) -> DataFrame:
+    """token, hub, m of the tokens whose members (token, node, component) lie in different components."""
+    ends = members.groupBy("token").agg(F.min_by("node", F.xxhash64("node")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
+    return ends.where("low <> high").select("token", "hub", "m")
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) after links between components (ca, cb)."""
+    joined = linked_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    if joined is None:
+        return labels
+    into = joined.select(F.col("id").alias("component"), F.col("component").alias("into"))
+    return written(labels.join(by_key(into), "component", "left").select("node", F.coalesce("into", "component").alias("component")), "labels")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -179,78 +221,71 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Where a text is read again: its id, or for a null id its hash. An id equal to a hash only reads one text more.
     source = source.withColumn("place", F.coalesce("id", F.xxhash64("text")))
 
+    early = rule.early()
+    lists = "array<long>"
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = kept_in_worker(("Shingler", words), lambda: Shingler(words)), set()
         for batch in batches:
-            n, nodes, prefixes = [], [], []
+            n, under, nodes, told = [], [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = shingler.tokens(text)
                 node = _node(tokens) if len(tokens) else None
                 n.append(len(tokens))
+                under.append(int(np.searchsorted(tokens, np.uint64(early))))
                 nodes.append(node)
-                # a set's prefix is told once in a task, however many copies it has there
-                prefixes.append(tokens[: 2 * rule.spare(len(tokens)) + 1 if len(tokens) and node not in seen else 0])
+                # what settles a set's prefixes is told once in a task, however many copies it has there
+                told.append(tokens[: max(under[-1], rule.spare(len(tokens)) + 1) if len(tokens) and node not in seen else 0])
                 seen.add(node)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("place"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), _lists(prefixes)], ["id", "place", "n", "node", "prefix"])
-
-    scanned = written(source.mapInArrow(scan, "id long, place long, n long, node long, prefix array<long>"), "scanned")
-    nodes = written(scanned.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.min("place").alias("any_place"), F.first("n").alias("n")), "nodes")
-
-    # Order 1: enough shared tokens in the long prefix by hash.
-    told = scanned.where("size(prefix) > 0").select("node", F.explode("prefix").alias("token"))
-    shared = written(told.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token"), "shared")
-    # Several tasks may have told a node's prefix; its hits then count more than once, which only lets more through.
-    partner = F.ceil(F.col("n") * num / den)
-    enough = partner - F.ceil(partner * num / den) + 1
-    hits = told.join(by_key(shared), "token", "left_semi").groupBy("node").agg(F.count("*").alias("hits"))
-    survivors = written(hits.join(by_key(nodes), "node").where(F.col("hits") >= enough).select("node", F.coalesce("first_id", "any_place").alias("place")), "survivors")
-    drop_written(shared)
-
-    # Whole sets of the survivors only, one document for each node.
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("place"), pa.array(n, pa.int64()), pa.array(under, pa.int64()), pa.array(nodes, pa.int64()), _lists(told)], ["id", "place", "n", "under", "node", "told"])
+
+    scanned = written(source.mapInArrow(scan, f"id long, place long, n long, under long, node long, told {lists}"), "scanned")
+    nodes = written(scanned.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.min("place").alias("place"), F.max("n").alias("n"), F.max("under").alias("under"), F.max(F.size("told")).alias("n_told")), "nodes")
+
+    # By document frequency. Several tasks may have told a node's tokens: that changes the order, not that there is one.
+    told = scanned.where("size(told) > 0").select("node", F.explode("told").alias("token"))
+    df = written(told.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("df")).where("low <> high").select("token", "df"), "df")
+    late = F.shiftrightunsigned("token", 1) >= F.lit(early >> 1)
+    shared = told.join(by_key(df), "token").groupBy("node").agg(F.sort_array(F.collect_set(F.struct(late.alias("late"), "df", "token"))).alias("by_df")).join(by_key(nodes), "node")
+    n_late = F.size(F.filter("by_df", lambda x: x["late"]))
+    alone = F.col("under") - (F.size("by_df") - n_late)
+    late_alone = F.col("n_told") - F.col("under") - n_late
+    spare = F.col("n") - F.ceil(F.col("n") * num / den)
+    kept = F.slice("by_df", F.lit(1), F.greatest(spare + 1 - alone, F.lit(0)).cast("int"))
+    met = shared.select("node", "n", spare.alias("spare"), alone.alias("alone"), late_alone.alias("late_alone"), F.posexplode(kept).alias("nth", "x"))
+    met = met.select("node", "n", "spare", F.col("x.token").alias("token"), (F.col("alone") + F.col("nth") + F.when(F.col("x.late"), F.col("late_alone")).otherwise(0)).alias("pos")).where("pos <= spare").drop("spare")
+    met = written(met, "met")
+    drop_written(df)
+    groups = written(_groups(met.withColumn("component", F.col("node"))), "groups")
+    members = written(met.join(by_key(groups), "token"), "members")
+    drop_written(met)
+
+    # Whole sets of the members only, one document for each node.
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = kept_in_worker(("Shingler", words), lambda: Shingler(words))
         for batch in batches:
             tokens = [shingler.tokens(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(t) for t in tokens], pa.int64()), pa.array([len(t) for t in tokens], pa.int64()), _lists(tokens), pa.array([_sketch(t) for t in tokens], pa.binary())], ["node", "n", "tokens", "sketch"])
-
-    texts = source.join(by_key(survivors.select("place").distinct()), "place", "left_semi").select("text")
-    sets = written(texts.mapInArrow(whole, "node long, n long, tokens array<long>, sketch binary").join(by_key(survivors.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-    # Order 2: rare first among the survivors.
-    own = sets.select("node", "n", F.explode("tokens").alias("token"))
-    df = written(own.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "df")
-    ranked = own.join(by_key(df), "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by_df"))
-    spare = F.col("n") - F.ceil(F.col("n") * num / den)
-    alone = F.col("n") - F.size("by_df")
-    met = ranked.where(alone <= spare).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("by_df", F.lit(1), (spare + 1 - alone).cast("int"))).alias("nth", "x")).select("node", "n", F.col("x.token").alias("token"), (F.col("alone") + F.col("nth")).alias("pos"))
-    members = written(met, "members")
-    drop_written(df)
-
-    n = max(1, members.select("node").distinct().count())
-    labels = written(members.select("node").distinct().select("node", F.col("node").alias("component")), "labels", n)
-    tried: list[DataFrame] = []
-    links: list[DataFrame] = []
-    for at, part in enumerate(ROUNDS):
-        now = members.join(by_key(labels), "node")
-        groups = now.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(at))).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high")
-        groups = written(groups.select("token", "hub", "m"), "groups", n)
+            cuts = [int(np.searchsorted(t, np.uint64(early))) for t in tokens]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(t) for t in tokens], pa.int64()), pa.array([len(t) for t in tokens], pa.int64()), _lists([t[:c] for t, c in zip(tokens, cuts)]), _lists([t[c:] for t, c in zip(tokens, cuts)]), pa.array([_sketch(t) for t in tokens], pa.binary())], ["node", "n", "early", "late", "sketch"])
+
+    wanted = written(members.select("node").distinct().join(by_key(nodes.select("node", "place")), "node"), "wanted")
+    texts = source.join(by_key(wanted.select("place").distinct()), "place", "left_semi").select("text")
+    sets = written(texts.mapInArrow(whole, f"node long, n long, early {lists}, late {lists}, sketch binary").join(by_key(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+    # Each node and the hub of most of its tokens.
+    offers = members.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("common"))
+    best = offers.groupBy("node").agg(F.max_by("hub", F.struct("common", "hub")).alias("hub"))
+    pairs = best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    links = written(_verify(sets, written(pairs.withColumn("ca", F.col("a")).withColumn("cb", F.col("b")), "pairs"), rule), "links")
+    labels = _relabelled(wanted.select("node", F.col("node").alias("component")), links)
+    for first in (True, False):
+        now = members.drop("hub", "m").join(by_key(labels), "node")
+        groups = written(_groups(now), "groups")
         if groups.isEmpty():
             break
-        if part is None:
-            offers = now.select("node", "token").join(by_key(groups), "token").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("common"))
-            best = offers.groupBy("node").agg(F.max_by("hub", F.struct("common", "hub")).alias("hub"))
-            pairs = best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        else:
-            pairs = _residual(written(now.join(by_key(groups.select("token", "m")), "token").join(by_key(sets.select("node", "sketch")), "node"), "active", n), rule, part)
-        for t in tried:
-            pairs = pairs.join(by_key(t), ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs", n)
-        tried.append(pairs)
-        links.append(written(_verify(sets, pairs, rule), "links", n))
-        found = links[0]
-        for x in links[1:]:
-            found = found.unionByName(x)
-        labels = written(components(members.select(F.col("node").alias("id")).distinct(), found).withColumnRenamed("id", "node"), "labels", n)
+        active = written(now.join(by_key(groups.select("token", "m")), "token").join(by_key(sets.select("node", "sketch")), "node"), "active")
+        links = written(_verify(sets, written(_residual(active, rule, first), "pairs"), rule), "links")
+        labels = _relabelled(labels, links)
     drop_written(sets, members)
 
     # Each node's component, and the smallest id in it.
