@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -92,45 +93,79 @@ def test_pair_filters_agree_with_the_overlap():
             assert set(x[: rule.spare(len(x)) + 1]) & set(y[: rule.spare(len(y)) + 1])
 
 
-def test_line_dedup_removes_every_shared_run(spark):
+def lines_of(text):
+    hashes, words, broken, _ = linededup.hashed_lines([text])
+    return hashes, words, broken
+
+
+def test_line_dedup_removes_every_shared_run(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SALT_ROWS", 3)  # frequent lines have owners in several salts
     random.seed(1)
     pool = ["", "a b", "c d e", "f g h i j", "k l m n o p q", "r s", "t u v w x y z 1"]
     texts = ["\n".join(random.choice(pool) for _ in range(random.randint(0, 9))) for _ in range(60)]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, "a b", None), (100, None, "y")], f"{DOCS}, lines_removed string")
-    got = {r.doc_id: r for r in linededup.dedup_lines(df, min_words=8).collect()}
-    assert len(got) == 62 and got[100].text is None and got[None].text == "a b"
-    parsed = [linededup.line_hashes(t) for t in texts]
-    for d, (h, w, places) in enumerate(parsed):
+    got = {r.doc_id: r for r in linededup.dedup_lines(df, min_words=8, line_words=6, block_words=5).collect()}
+    assert len(got) == 62 and got[100].text is None and got[None].text == "a b" and got[100].lines_removed == 0
+    parsed = [[x.tolist() for x in lines_of(t)] for t in texts]
+    for d, (h, w, broken) in enumerate(parsed):
         need, allowed = set(), set()
-        for i, e in linededup.runs_of(h, w, 8):
-            if any(o[j : j + e - i] == h[i:e] for o, _, _ in parsed[:d] for j in range(len(o))):
-                need.update(places[k] for k in range(i, e))
-        for o, _, _ in parsed[:d]:
-            for i in range(len(h)):
-                for j in range(len(o)):
-                    k = 0
-                    while i + k < len(h) and j + k < len(o) and h[i + k] == o[j + k]:
-                        k += 1
-                    if sum(w[i : i + k]) >= 8:
-                        allowed.update(places[x] for x in range(i, i + k))
-        left = texts[d].split("\n")
-        assert len(need) <= got[d].lines_removed <= len(allowed)
-        assert len(got[d].text.split("\n") if got[d].text or len(left) > got[d].lines_removed else []) == len(left) - got[d].lines_removed
-        assert need <= allowed
+        for i in range(len(h)):
+            for e in range(i + 1, len(h) + 1):
+                size, whole = sum(w[i:e]), broken[i] and (e == len(h) or broken[e])
+                for o, _, ob in parsed[:d]:
+                    for j in range(len(o) - (e - i) + 1):
+                        if o[j : j + e - i] == h[i:e]:
+                            if size >= 8 > sum(w[i : e - 1]) or whole and size >= 6 and not any(broken[i + 1 : e]) and ob[j] and (j + e - i == len(o) or ob[j + e - i]) and not any(ob[j + 1 : j + e - i]):
+                                need.update(range(i, e))
+                            if size >= 5:
+                                allowed.update(range(i, e))
+        assert len(need) <= got[d].lines_removed <= len(allowed) and need <= allowed
+        kept = [x.tolist() for x in lines_of(got[d].text)][0]
+        rest = iter(h)
+        assert len(kept) == len(h) - got[d].lines_removed and all(x in rest for x in kept)
 
 
 def test_line_dedup_finds_moved_and_repeated_blocks():
+    blocks = lambda later, words, earlier, m: linededup.aligned_blocks(np.array(later), np.array(words), np.zeros(len(later), bool), np.array(earlier), np.zeros(len(earlier), bool), m, m, m).tolist()
     a, b = [1, 2, 3], [7, 8, 9]
-    assert linededup.aligned_blocks([*a, 50, *b], [4] * 7, [*b, 60, *a], 10) == [0, 1, 2, 4, 5, 6]
-    assert linededup.aligned_blocks([0, 5, 5, 6, 5, 5, 9], [6] * 7, [4, 5, 5, 3], 10) == [1, 2, 4, 5]
+    assert blocks([*a, 50, *b], [4] * 7, [*b, 60, *a], 10) == [0, 1, 2, 4, 5, 6]
+    assert blocks([0, 5, 5, 6, 5, 5, 9], [6] * 7, [4, 5, 5, 3], 10) == [1, 2, 4, 5]
+    assert blocks([], [], [1, 2], 4) == [] and blocks([1, 2], [9, 9], [], 4) == []
     assert linededup.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
 
 
+def test_line_dedup_of_long_repetitive_texts_takes_seconds():
+    rng = np.random.default_rng(1)
+    for a, b in ((rng.integers(0, 3, 100_000), rng.integers(0, 3, 100_000)), (np.tile([1, 2], 50_000), np.tile([2, 1, 1], 33_000)), (np.arange(100_000), np.arange(100_000)[::-1].copy())):
+        began = time.process_time()
+        linededup.aligned_blocks(a, np.full(len(a), 4), np.ones(len(a), bool), b, np.ones(len(b), bool))
+        assert time.process_time() - began < 10
+
+
+def test_line_dedup_finds_a_passage_within_sentences(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    rows, passages = [], []
+    for k in range(60):
+        passages.append(words(60))
+        rows += [(k, f"{words(33)} {passages[k]} {words(20)}."), (100 + k, f"{words(21)}\n{words(4)} {passages[k]}\n{words(37)}")]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i] == t for i, t in rows[::2])
+    left = [len(set(passages[k].split()) & set(got[100 + k].split())) for k in range(60)]
+    assert sum(x > 50 for x in left) <= 1 and sum(left) < 0.4 * 60 * 60
+    for i, t in rows[1::2]:  # own words stay
+        assert len(got[i].split()) >= 62
+
+
 def test_line_dedup_of_copies_and_empty_table(spark):
     text = "\n".join(f"line {i} with some words in it" for i in range(9))
+    n = len(lines_of(text)[0])
     df = spark.createDataFrame([(1, text), (2, text), (2, text), (3, text + "\nown end")], DOCS)
-    assert sorted((r.doc_id, r.lines_removed, r.text) for r in linededup.dedup_lines(df).collect()) == [(1, 0, text), (2, 9, ""), (2, 9, ""), (3, 9, "own end")]
+    assert sorted((r.doc_id, r.lines_removed, r.text) for r in linededup.dedup_lines(df).collect()) == [(1, 0, text), (2, n, ""), (2, n, ""), (3, n, "own end")]
     assert linededup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
+    odd = linededup.dedup_lines(spark.createDataFrame([(1, " \n ", 1, 2), (2, "", 3, 4), (3, "\u00a0", 5, 6)], "doc_id int, text string, _id int, _gone int"))
+    assert sorted(map(tuple, odd.collect())) == [(1, " \n ", 1, 2, 0), (2, "", 3, 4, 0), (3, "\u00a0", 5, 6, 0)]
 
 
 def base_spans(text):
