@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -42,6 +44,66 @@ def test_all_candidates_if_fewer(spark):
     assert [(r.rank, r.vec_id) for r in ann.search(df, df.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 5), (2, 3)]
 
 
+def exact_top(rows, q_id, q, k=10):
+    v = lambda x: [math.floor(1024 * c) for c in x]
+    scored = sorted((-sum(a * b for a, b in zip(v(x), v(q))), i) for i, x in rows if i != q_id)[:k]
+    return [(r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+
+
+def test_repeated_rows_and_ids(spark):
+    r = np.random.default_rng(4)
+    rows = [(i % 90, [float(v) for v in r.standard_normal(5)], 0) for i in range(100)]  # ten ids have two vectors each
+    rows += [rows[0], rows[7]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    asked = df.where("vec_id in (0, 20)")
+    top, near = topk.top_k(df, asked).toPandas(), ann.search(df, asked).toPandas()
+    for q in (0, 20):
+        vector = min(x for i, x, _ in rows if i == q)
+        assert list(top[top.query_id == q].sort_values("rank")[["rank", "vec_id", "score"]].itertuples(index=False, name=None)) == exact_top([x[:2] for x in rows], q, vector)
+        d = sorted((float(np.sqrt(((np.float32(x).astype(float) - np.float32(vector).astype(float)) ** 2).sum())), i) for i, x, _ in rows if i != q)[:10]
+        own = near[near.query_id == q].sort_values("rank")
+        assert own.vec_id.tolist() == [i for _, i in d] and np.allclose(own.score, [x for x, _ in d]) and own["rank"].tolist() == list(range(1, 11))
+
+
+def test_vectors_without_components_score_zero(spark):
+    df = spark.createDataFrame([(i, [], 0) for i in range(40)] + [(50, [1.0], 0)], SCHEMA)
+    got = topk.top_k(df, df.where("vec_id in (0, 3)"), head=4).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, i, 0) for i in range(1, 11)] + [(3, i, 0) for i in (0, 1, 2, *range(4, 11))]
+    assert ann.search(df, df.where("vec_id = 0")).count() == 0
+
+
+@pytest.mark.parametrize("head", [1, 8])
+def test_top_k_through_heads_and_floors(spark, head, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.exponential(size=(400, 6)) ** 4 * r.choice([-1, 1], (400, 6)), np.zeros((50, 6)), np.ones((50, 6))]).astype(np.float32)
+    rows = [(i, [float(v) for v in row], 0) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = topk.top_k(df, df.where("vec_id % 10 = 0"), head=head).toPandas()
+    for q in range(0, 500, 10):
+        assert list(got[got.query_id == q].sort_values("rank")[["rank", "vec_id", "score"]].itertuples(index=False, name=None)) == exact_top([x[:2] for x in rows], q, rows[q][1])
+
+
+def test_heads_stop_skewed_queries():
+    r = np.random.default_rng(6)
+    share = {}
+    for power in (1, 6):
+        x = np.floor(1000 * r.exponential(size=(5000, 8)) ** power).astype(np.int64)
+        ids = np.arange(len(x))
+        few = topk._heads(x, ids, 32)
+        rising = np.sort(x[few], axis=0)
+        done = scored = 0
+        for own in range(0, 5000, 100):
+            best, scores, ended = topk._start(x[few], few, (rising[31], rising[-32]), x[own], own, 10)
+            others = ids[ids != own]
+            rows, exact, n = topk.SortedLists(x).top(x[own], 10, np.array([own]), int(scores[-1]))
+            assert rows.tolist() == others[np.lexsort((others, -(x[others] @ x[own])))[:10]].tolist()
+            assert not ended or few[best].tolist() == rows.tolist()
+            done, scored = done + ended, scored + n
+        share[power] = done, scored
+    assert share[6][0] > 40 and share[6][1] < share[1][1] / 2
+
+
 def test_recall(table):
     x, df = table
     got = ann.search(df, df.where("vec_id % 50 = 0")).toPandas()

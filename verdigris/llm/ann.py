@@ -10,7 +10,8 @@ Centroids and codebooks are fitted on a bounded sample; every row is indexed.
 Equal vectors share one code, and of each such group only the k + 1 smallest
 ids can be among k nearest (ties go to the smaller id, a query is not its own
 neighbour), so a group of any size takes one place. Lists meet queries in
-blocks of at most about BLOCK codes and QUERY_BLOCK queries. How many lists a
+blocks of at most about BLOCK codes and QUERY_BLOCK queries, joined by list and
+block, so a long list is dealt to many tasks. How many lists a
 query probes and how deep it reranks is set on TRIALS queries of the sample:
 their k nearest of all rows are found exactly, and lists and depth are the
 fewest that hold AIM of these. So both grow with the rows as they must.
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import written
+from verdigris.llm.common import by_key, written
 
 FIT_ROWS, MAX_LISTS, PARTS, CENTROIDS, TRIALS, AIM = 20_000, 1024, 16, 256, 100, 0.97
-BLOCK, QUERY_BLOCK = 4096, 256
+BLOCK, QUERY_BLOCK = 16_384, 256
 
 
 @dataclass
@@ -94,8 +95,8 @@ def smallest(d: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit_index(sample: np.ndarray, rows: int) -> Index:
-    """sample: distinct vectors. The number of lists follows the root of `rows`, up to MAX_LISTS and an eighth of the sample."""
-    lists = max(1, min(MAX_LISTS, int(2 * rows**0.5), len(sample) // 8))
+    """sample: distinct vectors. The number of lists follows the root of `rows`, up to MAX_LISTS and an eighth of the sample: lists long enough that a query's table for one costs less than its codes."""
+    lists = max(1, min(MAX_LISTS, int(rows**0.5 / 2), len(sample) // 8))
     coarse = kmeans(sample, lists)
     rest = sample - coarse[nearest(sample, coarse)]
     widths = np.array_split(np.arange(sample.shape[1]), min(PARTS, sample.shape[1]))
@@ -160,10 +161,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest of `vectors` found, by Euclidean distance, ties to the smaller id.
 
-    queries: rows of vectors. Vectors that are null, all zeros, of another
+    queries: rows of vectors, repeated ones asked once; of several vectors with
+    one id the smallest by its components is the query. Vectors that are null, all zeros, of another
     length than the most frequent one or hold a null or non-finite component
-    take no part, neither do null ids. Of rows with one id each counts. Other
-    columns are left out. An empty table gives no rows.
+    take no part, neither do null ids. As candidates rows count each, repeated
+    ones too. Other columns are left out. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     fine = lambda v: v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
@@ -173,7 +175,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = dims[0]["d"]
-    rows, asked = rows.where(F.size("v") == d), clean(queries).where(F.size("v") == d)
+    rows, asked = rows.where(F.size("v") == d), clean(queries).where(F.size("v") == d).groupBy("vec_id").agg(F.min("v").alias("v"))
 
     # Groups of equal vectors: the k + 1 smallest ids, the first of which stands for all.
     same = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
@@ -206,9 +208,11 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
         counts = df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
         return df.join(F.broadcast(counts), "list").withColumn(f"{what}_block", F.pmod(F.xxhash64(key), "blocks").cast("int"))  # at most MAX_LISTS rows
 
-    data = blocks(codes, "rep", BLOCK, "data").groupBy("list", "data_block").agg(F.sort_array(F.collect_list(F.struct("rep", "code"))).alias("codes"))
+    dealt = written(blocks(codes, "rep", BLOCK, "data").groupBy("list", "data_block", "blocks").agg(F.sort_array(F.collect_list(F.struct("rep", "code"))).alias("codes")), "data")
     wanted = blocks(asks, "query_id", QUERY_BLOCK, "query").groupBy("list", "query_block").agg(F.collect_list(F.struct("query_id", "q")).alias("asks"))
-    pairs = written(data, "data").join(written(wanted, "wanted"), "list").select("list", "codes", "asks")
+    # Each block of queries goes to every block of its list.
+    sent = written(wanted, "wanted").join(F.broadcast(dealt.select("list", "blocks").distinct()), "list").withColumn("data_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # at most MAX_LISTS rows
+    pairs = sent.select("list", "data_block", "asks").join(by_key(dealt.select("list", "data_block", "codes")), ["list", "data_block"]).select("list", "codes", "asks")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,8 +229,8 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
 
     found = pairs.mapInArrow(scan, "query_id long, rep long, near double")
     by_code = Window.partitionBy("query_id").orderBy("near")
-    few = written(found.withColumn("at", F.rank().over(by_code)).where(F.col("at") <= index.depth + 1).select("query_id", "rep"), "few")
-    target = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"])
+    few = written(found.withColumn("at", F.rank().over(by_code)).where(F.col("at") <= index.depth + 1).select("query_id", "rep").distinct(), "few")
+    target = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     exact = few.join(members.select("rep", "vec_id", "v"), "rep").where("vec_id <> query_id").join(target, "query_id")
     scored = exact.select("query_id", "vec_id", F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int"))
