@@ -240,6 +240,46 @@ def test_pii_words_around_come_from_the_text(spark):
     assert got[200] == "" and got[0] == "phone:5:20"
 
 
+def brute_bootstrap(edges, seeds):
+    """Scores by plain loops until nothing more gets confident."""
+    of = {}
+    for pattern, instance in edges:
+        of.setdefault(pattern, set()).add(instance)
+    of = {p: i for p, i in of.items() if len(i) >= pii.MIN_SUPPORT}
+    every = {i for x in of.values() for i in x}
+    score, found = {i: float(i in seeds) for i in every}, 0
+    while True:
+        confidence = {p: sum(score[i] for i in x) / (len(x) + 1) for p, x in of.items()}
+        score = {i: 1.0 if i in seeds else max((c for p, c in confidence.items() if i in of[p]), default=0.0) for i in every}
+        before, found = found, sum(x >= pii.CONFIDENT for x in score.values())
+        if found == before:
+            return {i for i, x in score.items() if x >= pii.CONFIDENT and i not in seeds}, {p for p, c in confidence.items() if c >= pii.CONFIDENT}
+
+
+def test_pii_bootstrap_equals_brute_force(spark):
+    rng = random.Random(6)
+    edges = {(rng.randrange(12) if rng.random() < 0.7 else 12 + k % 5, f"i{k if rng.random() < 0.8 else rng.randrange(300)}") for k in range(300) for _ in range(3)}
+    edges |= {(100, f"i{k}") for k in range(40)} | {(101, f"i{k}") for k in range(30, 45)} | {(102, f"i{k}") for k in range(60)}
+    seeds = {f"i{k}" for k in range(39)}
+    known, confident = pii._bootstrap(spark.createDataFrame(sorted(edges), "pattern long, instance string"), spark.createDataFrame([(x,) for x in sorted(seeds)], "instance string"))
+    expected = brute_bootstrap(edges, seeds)
+    assert ({r.instance for r in known.collect()}, {r.pattern for r in confident.collect()}) == expected and len(expected[0]) > 0
+
+
+def test_pii_secrets_need_a_context(spark):
+    rng = random.Random(7)
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = [(i, f'{word()} {word()} key = "{secret()}" {word()} {word()}') for i in range(100)]
+    rows += [(100, f'{word()} key = "{"ab12" * 8 + "cdefabcd"}" {word()}'), (101, f"{word()} {secret()} {word()}"), (102, f'{word()} KEY = "{"fedcba" * 6}1234"!! {word()}'), (103, None), (None, rows[0][1])]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[i].n_context for i in (0, 39, 100, 101, 102, 103, None)] == [1, 1, 1, 0, 1, 0, 1] and got[103].n_spans == 0
+    text = rows[0][1]
+    assert got[0].spans == f"context:{text.index(chr(34)) + 1}:{text.rindex(chr(34))}"
+    back = {r.kind: (r.n_held, r.n_found) for r in pii.recovered(spark.createDataFrame(rows, DOCS)).collect()}
+    assert back["context"][0] > 1 and back["context"][1] == back["context"][0]
+
+
 def test_packing_is_whole_and_gapless(spark):
     from public_tokenizers import path
     from tokenizers import Tokenizer
