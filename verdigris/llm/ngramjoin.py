@@ -32,13 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import by_key, drop_written, fresh, kept_in_worker, linked_components, small_batches, written
 
-BLOCK, SKETCH_BITS, EARLY = 256, 1024, 1.6
+BLOCK, SKETCH_BITS, EARLY = 256, 512, 1.6
 #: After the hubs, rounds over this part of all pairs, and over the other pairs.
 #: The part joins most of a large group, whose inner pairs then need no test.
 PART = 16
@@ -156,38 +157,55 @@ def _verify(sets: DataFrame, pairs: DataFrame, rule: Threshold) -> DataFrame:
     return met(met(pairs, "early").mapInArrow(filters, f"{ids}, n_a long, n_b long, seen long"), "late").mapInArrow(run, ids)
 
 
-def _columns(members: pa.StructArray) -> list[np.ndarray]:
+def _columns(lists: pa.ListArray) -> list[np.ndarray]:
+    """node, n, component, pos and sketch of all members in the lists."""
+    members = lists.flatten()
     sketch = np.frombuffer(b"".join(members.field(4).to_pylist()), np.uint64).reshape(len(members), -1)
     return [*(members.field(k).to_numpy(zero_copy_only=False) for k in range(4)), sketch]
 
 
+def _products(sizes: np.ndarray, others: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in two flat columns of lists: every member of each list with every one of its other list, about `most` pairs at a time."""
+    rows = np.repeat(np.arange(len(sizes)), sizes)  # a row for each member of the first lists
+    each = others[rows]
+    first = (np.cumsum(others) - others)[rows]
+    upto = np.cumsum(each)
+    for s in np.flatnonzero(np.diff(upto // most, prepend=-1)) if len(each) else ():
+        e = np.searchsorted(upto, (upto[s] // most + 1) * most)
+        at = np.arange(s, min(e, len(each)))
+        i = np.repeat(at, each[at])
+        nth = np.arange(len(i)) - np.repeat(np.cumsum(each[at]) - each[at], each[at])
+        yield i, first[i] + nth
+
+
 def _residual(members: DataFrame, rule: Threshold, first: bool) -> DataFrame:
     """Pairs a < b, and their components, of one token's members (token, node, n, pos, component, sketch, m) in different components whose places of the token and sketches leave room for a link: the PART-th of them that their hash picks first, or all others."""
     blocked = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     lists = written(blocked.groupBy("token", "blocks", "block").agg(F.collect_list(F.struct("node", "n", "component", "pos", "sketch")).alias("of")), "blocks")
-    mates = lists.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
-    both = mates.join(by_key(lists.select("token", F.col("block").alias("other"), F.col("of").alias("with"))), ["token", "other"])
+    # Most tokens have one block, which needs no join to meet itself.
+    parts = lists.where("blocks > 1")
+    mates = parts.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    both = mates.join(by_key(parts.select("token", F.col("block").alias("other"), F.col("of").alias("with"))), ["token", "other"]).select("of", "with")
+    both = both.unionByName(lists.where("blocks = 1").select("of", F.col("of").alias("with")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column("of"), batch.column("with")):
-                (a, na, ca, pa_, sa), (b, nb, cb, pb, sb) = (_columns(v.values) for v in (x, y))
-                for s in range(0, len(a), 64):
-                    here = slice(s, s + 64)
-                    # the first token in common passes: what follows it on either side must hold the whole overlap
-                    room, both_n = np.minimum((na - pa_)[here, None], nb - pb), na[here, None] + nb
-                    i, j = np.nonzero((ca[here, None] != cb) & ((rule.den + rule.num) * room >= rule.num * both_n))
-                    i = i + s
-                    picked = (_mixed((a[i] ^ b[j]).view(np.uint64) * _ODD) % np.uint64(PART) == 0) == first
-                    i, j = i[picked], j[picked]
-                    differ = np.bitwise_count(sa[i] ^ sb[j]).sum(1, dtype=np.int64)
-                    fits = (rule.den + rule.num) * differ <= (rule.den - rule.num) * (na[i] + nb[j])
-                    i, j = i[fits], j[fits]
-                    less = a[i] < b[j]
-                    out = [np.where(less, a[i], b[j]), np.where(less, b[j], a[i]), np.where(less, ca[i], cb[j]), np.where(less, cb[j], ca[i])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "ca", "cb"])
-
-    return both.select("of", "with").mapInArrow(run, "a long, b long, ca long, cb long").distinct()
+            (a, na, ca, pa_, sa), (b, nb, cb, pb, sb) = (_columns(batch.column(k)) for k in ("of", "with"))
+            sizes, others = (pc.list_value_length(batch.column(k)).to_numpy() for k in ("of", "with"))
+            for i, j in _products(sizes, others):
+                # the first token in common passes: what follows it on either side must hold the whole overlap
+                room, both_n = np.minimum(na[i] - pa_[i], nb[j] - pb[j]), na[i] + nb[j]
+                fits = (ca[i] != cb[j]) & ((rule.den + rule.num) * room >= rule.num * both_n)
+                fits &= (_mixed((a[i] ^ b[j]).view(np.uint64) * _ODD) % np.uint64(PART) == 0) == first
+                i, j, both_n = i[fits], j[fits], both_n[fits]
+                differ = np.bitwise_count(sa[i] ^ sb[j]).sum(1, dtype=np.int64)
+                fits = (rule.den + rule.num) * differ <= (rule.den - rule.num) * both_n
+                i, j = i[fits], j[fits]
+                less = a[i] < b[j]
+                out = np.unique(np.stack([np.where(less, a[i], b[j]), np.where(less, b[j], a[i]), np.where(less, ca[i], cb[j]), np.where(less, cb[j], ca[i])]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "ca", "cb"])
+
+    return both.mapInArrow(run, "a long, b long, ca long, cb long").distinct()
 
 
 def _groups(members: DataFrame) -> DataFrame:
