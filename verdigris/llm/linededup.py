@@ -192,35 +192,54 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 def aligned_blocks(later: np.ndarray, words: np.ndarray, broken: np.ndarray, earlier: np.ndarray, earlier_broken: np.ndarray, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS) -> np.ndarray:
     """Positions in `later` of the lines that an aligned block, a run or a whole line of `earlier` holds."""
-    rest, gone = np.arange(len(later)), np.zeros(len(later) + 1, bool)
-    there = earlier.tolist()
+    own, there = later.tolist(), earlier.tolist()
+    both = set(there).intersection(own)
+    common = [i for i, h in enumerate(own) if h in both]
+    at = [j for j, h in enumerate(there) if h in both]
+    there = [there[j] for j in at]
+    size, rest, gone = words.tolist(), common, set()
     for _ in range(PASSES):
-        pairs = np.array(patience(later[rest].tolist(), there), int).reshape(-1, 2)
-        if not len(pairs):
+        pairs = patience([own[i] for i in rest], there)
+        found: list[int] = []
+        k = 0
+        while k < len(pairs):
+            i, j = rest[pairs[k][0]], at[pairs[k][1]]
+            total, e = size[i], k + 1
+            # a block ends where either side leaves lines out
+            while e < len(pairs) and rest[pairs[e][0]] - i == e - k == at[pairs[e][1]] - j:
+                total += size[rest[pairs[e][0]]]
+                e += 1
+            if total >= block_words:
+                found += range(i, i + e - k)
+            k = e
+        if not found:
             break
-        i, j = rest[pairs[:, 0]], pairs[:, 1]
-        # a block ends where either side leaves lines out
-        first = np.append(0, np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1)) + 1)
-        size = np.add.reduceat(words[i], first)
-        found = np.repeat(size >= block_words, np.diff(np.append(first, len(i))))
-        if not found.any():
-            break
-        gone[i[found]] = True
-        rest = np.flatnonzero(~gone[:-1])
+        gone.update(found)
+        rest = [i for i in rest if i not in gone]
+    # What else is shared is a stretch of common lines that holds one of the rest.
+    least, k, more = min(min_words, line_words), 0, False
+    while rest and k < len(common) and not more:
+        e, total = k + 1, size[common[k]]
+        while e < len(common) and common[e] == common[e - 1] + 1:
+            total += size[common[e]]
+            e += 1
+        more = total >= least and not gone.issuperset(common[k:e])
+        k = e
+    if not more:
+        return np.array(sorted(gone), np.int64)
+    taken = np.zeros(len(later), bool)
+    taken[list(gone)] = True
     # Patience needs lines that are unique and in order; what else is shared is found by the hashes of the earlier document's stretches.
-    if not len(later):
-        return later
     order = np.argsort(later, kind="stable")
-    at = order[np.minimum(np.searchsorted(later[order], earlier), len(later) - 1)]
+    nearest = order[np.minimum(np.searchsorted(later[order], earlier), len(later) - 1)]
     # lines that `later` lacks end any stretch, so they may count as one that is long enough alone
-    known = np.where(later[at] == earlier, words[at], max(min_words, line_words))
+    known = np.where(later[nearest] == earlier, words[nearest], max(min_words, line_words))
     cover = np.zeros(len(later) + 1, int)
-    for seed, own, other in ((0, runs_of(words, min_words), runs_of(known, min_words)), (1, whole_lines(words, broken, line_words), whole_lines(known, earlier_broken, line_words))):
-        same = np.isin(stretch_hashes(later, *own, seed), stretch_hashes(earlier, *other, seed))
-        np.add.at(cover, own[0][same], 1)
-        np.add.at(cover, own[1][same], -1)
-    gone |= np.cumsum(cover) > 0
-    return np.flatnonzero(gone[:-1])
+    for seed, mine, other in ((0, runs_of(words, min_words), runs_of(known, min_words)), (1, whole_lines(words, broken, line_words), whole_lines(known, earlier_broken, line_words))):
+        same = np.isin(stretch_hashes(later, *mine, seed), stretch_hashes(earlier, *other, seed))
+        np.add.at(cover, mine[0][same], 1)
+        np.add.at(cover, mine[1][same], -1)
+    return np.flatnonzero(taken | (np.cumsum(cover)[:-1] > 0))
 
 
 def _values(row: pa.ListScalar) -> np.ndarray:
