@@ -5,6 +5,7 @@ import random
 import re
 import time
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -351,6 +352,51 @@ def test_mix_keeps_budgets_and_prefixes(spark):
     assert mixing.mix(spark.createDataFrame([], f"{DOCS}, kind string"), ["kind"], {}, mixing.word_count(F.col("text")), F.col("all_tokens")).count() == 0
 
 
+def level_out(budget, nodes):
+    """Plain water-filling of a budget over (capacity, weight): no node above its capacity."""
+    out, rest, some = [Fraction(0)] * len(nodes), Fraction(budget), {i for i, (_, w) in enumerate(nodes) if w}
+    while some:
+        level = rest / sum(nodes[i][1] for i in some)
+        full = {i for i in some if nodes[i][1] * level >= nodes[i][0]}
+        for i in full or some:
+            out[i] = Fraction(nodes[i][0]) if full else nodes[i][1] * level
+        if not full:
+            return out
+        rest, some = rest - sum(nodes[i][0] for i in full), some - full
+    return out
+
+
+@pytest.mark.parametrize("part", [0.2, 0.7, 1.0])
+def test_mix_of_fractional_and_zero_weights_equals_plain_levelling(spark, part):
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(0, 9), rng.choice("aabcd")) for i in range(300)] + [(None, "w w w", "b")] * 5 + [(7, "w w", "d")] * 3
+    weights = {"a": Fraction("0.3"), "b": Fraction("0.05"), "c": Fraction(0), "d": Fraction("2.5")}
+    df = spark.createDataFrame(rows, f"{DOCS}, kind string")
+    got = mixing.mix(df, ["kind"], {"kind": {k: float(w) for k, w in weights.items()}}, mixing.word_count(F.col("text")), F.floor(F.col("all_tokens") * part)).toPandas()
+    capacity = {k: sum(t.count("w") for _, t, x in rows if x == k) for k in weights}
+    budget = min(int(sum(capacity.values()) * part), sum(capacity[k] for k in "abd"))
+    expected = level_out(budget, [(capacity[k], weights[k]) for k in weights])
+    taken = [int(got[got.kind == k].take_tokens.sum()) for k in weights]
+    assert sum(taken) == budget and all(abs(t - e) < 1 for t, e in zip(taken, expected))
+    for _, g in got.groupby("kind"):  # a stream without gaps, repeated rows and rows without id each in their own place
+        g = g[g.n_tokens > 0].sort_values("start")
+        assert g.start.tolist() == [0, *g.n_tokens.cumsum().tolist()[:-1]]
+    with pytest.raises(ValueError):
+        mixing.mix(df, ["kind"], {"kind": {"a": -1}}, mixing.word_count(F.col("text")), F.col("all_tokens"))
+
+
+def test_mixed_documents_lose_nothing_that_costs_nothing(spark):
+    rows = [(None if i % 3 == 0 else i % 20, "w " * (i % 5), "ab"[i % 2], i) for i in range(120)] + [(1, None, "e", 0), (2, "", "e", 0), (None, " ", None, 0)] + [(5, "w", "a", 1)] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string, _doc int")
+    whole = mixing.mixed_documents(df, {"kind": F.col("kind")}, {}, mixing.word_count(F.col("text")), F.col("all_tokens"))
+    key = lambda rows: sorted(map(repr, map(tuple, rows)))
+    assert whole.columns == df.columns and key(whole.collect()) == key(rows)
+    half = mixing.mixed_documents(df, {"kind": F.col("kind")}, {"kind": {"a": 3}}, mixing.word_count(F.col("text")), F.floor(F.col("all_tokens") * 0.5)).collect()
+    total = sum((t or "").count("w") for _, t, _, _ in rows)
+    assert total * 0.5 - 1 <= sum((r.text or "").count("w") for r in half) <= total * 0.5 + 8 and not set(key(half)) - set(key(rows))
+    assert mixing.mixed_documents(df.limit(0), {"kind": F.col("kind")}, {}, mixing.word_count(F.col("text")), F.col("all_tokens")).count() == 0
+
+
 def test_shards_differ_by_one_row_at_most(spark):
     rows = [(i, None if i % 50 == 0 else f"text {i % 60} with a line that is long enough to be a link", i) for i in range(500)] + [(900 + i, "hot", 0) for i in range(250)]
     got = sharding.shard_documents(spark.createDataFrame(rows, f"{DOCS}, shard int"), shards=7).toPandas()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import ann, langid, linededup, mixing, ngramjoin, packing, pii, sharding, topk, toxicity
@@ -16,13 +16,13 @@ WEIGHTS = {"domain": {"web": 2, "reference": 3, "forum": 1}, "lang": {"en": 5, "
 MIX_EPOCHS, MIX_SEED = 2, 7
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
-    """A domain for each document from its source: the hot source is the web, sources with an even last digit are reference works."""
-    return docs.withColumn("domain", F.when(F.col("source") == "src0", "web").when(F.col("source").rlike("[02468]$"), "reference").otherwise("forum"))
+def domain_of(source: Column) -> Column:
+    """A document's domain from its source: the hot source is the web, sources with an even last digit are reference works."""
+    return F.when(source == "src0", "web").when(source.rlike("[02468]$"), "reference").otherwise("forum")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_domain(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").withColumn("domain", domain_of(F.col("source")))
     return mixing.mix(docs, LEVELS, WEIGHTS, mixing.word_count(F.col("text")), F.col("all_tokens"), MIX_EPOCHS, MIX_SEED)
 
 
