@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import linededup, mixing, ngramjoin, packing, queries, toxicity
-from verdigris.llm.common import by_key, fresh, shared_dir, table
+from verdigris.llm.common import drop_written, shared_dir, table, written
 
 #: The mix takes this part of all tokens that reach it.
 MIX_SHARE = 0.75
@@ -34,10 +34,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of each leaf's prefix stay, whole, the one at its end too."""
-    taken = mixing.mix(queries.with_domain(docs), queries.LEVELS, queries.WEIGHTS, mixing.word_count(F.col("text")), F.floor(F.col("all_tokens") * MIX_SHARE), 1, queries.MIX_SEED)
-    taken_id = fresh(docs, "_id")
-    return docs.join(by_key(taken.select(F.col("doc_id").alias(taken_id)).distinct()), F.col("doc_id") == F.col(taken_id), "left_semi").select(*docs.columns)
+    """The documents of each leaf's prefix stay, whole, the one at its end too. Rows are taken one by one, null ids too; documents without words cost nothing and stay where their leaf is taken whole or has no words."""
+    levels = {"domain": queries.domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+    return mixing.mixed_documents(docs, levels, queries.WEIGHTS, mixing.word_count(F.col("text")), F.floor(F.col("all_tokens") * MIX_SHARE), queries.MIX_SEED).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents. The tables between stages stay in the shared folder until the session's end."""
+    """Applies STAGES to documents. The table of each stage goes when the next one is written, the last one with the session."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+        docs = written(stage(spark, docs, sf_dir), name, base)
+        if before is not None:
+            drop_written(before)
+        before = docs
     return docs
