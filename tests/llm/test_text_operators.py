@@ -416,6 +416,46 @@ def test_propagation_gathers_linked_documents(spark):
     assert cut(6) > cut(0) * 1.3
 
 
+def brute_propagation(lines, labels, shards, rounds):
+    """Rounds in which every wish is granted, by plain loops."""
+    labels = dict(labels)
+    for at in range(rounds):
+        spread = {line: [sum(labels[u] == s for u in us) for s in range(shards)] for line, us in lines.items()}
+        moves = {}
+        for u, own in labels.items():
+            weight = [0] * shards
+            for line, us in lines.items():
+                if u in us:
+                    for s in range(shards):
+                        weight[s] += (spread[line][s] - (s == own)) * sharding.UNIT // (len(us) - 1) if spread[line][s] else 0
+            to = max(range(shards), key=lambda s: (weight[s], -s))
+            if weight[to] > weight[own] and (to > own) == (at % 2 == 0):
+                moves[u] = to
+        labels |= moves
+    return labels
+
+
+def test_propagation_equals_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ENOUGH", -1.0)
+    rng = random.Random(8)
+    lines = {line: set(rng.sample(range(60), rng.choice([2, 2, 3, 5, 30]))) for line in range(50)}
+    labels = {u: rng.randrange(5) for u in range(60)}
+    units = spark.createDataFrame([(u, 1, s) for u, s in labels.items()], "unit long, rows long, shard int")
+    shared = spark.createDataFrame([(line, u) for line, us in lines.items() for u in us], "line long, unit long")
+    got = {r.unit: r["shard"] for r in sharding.propagate(units, shared, 5, 60, rounds=4, slack=10).collect()}
+    assert got == brute_propagation(lines, labels, 5, 4)
+
+
+def test_shards_of_long_texts_and_a_line_in_all_documents(spark):
+    common = "this line stands in every one of the documents there are"
+    rows = [(i, f"{common}\nline {i // 4} that four documents of this table have in common") for i in range(400)] + [(1000, "\n".join([f"{common}{k % 7}" for k in range(20000)])), (1001, "x" * 300000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, DOCS), shards=5).toPandas()
+    counts = got["shard"].value_counts()
+    assert len(got) == 402 and counts.max() - counts.min() <= 1
+    fours = got[got.doc_id < 400].assign(four=lambda d: d.doc_id // 4).groupby("four")["shard"].agg(lambda s: s.value_counts().max())
+    assert fours.mean() > 3
+
+
 def test_language_gradients_are_right():
     m = langid.new_model(["a", "b", "c"], 4)
     x, y = np.random.default_rng(0).integers(0, 256, (10, 6)).astype(np.uint8), np.array([0, 1, 2, 0, 1, 2])

@@ -2,12 +2,17 @@
 
 Documents of equal text are one unit (a group larger than an eighth of a shard
 is dealt into several). Units are linked where they share a line of at least
-MIN_LINE characters: each to the line's owner, the smallest unit that has it, so
-a line in m units makes m - 1 links. Labels start from a hash of the
-text. In each round a unit votes for the shard in which most of its links'
-weight lies; the moves are counted by (from, to, gain), and a shard takes them by falling gain until
-it is SLACK above its quota. Odd rounds move up, even rounds down, so linked
-units don't swap places.
+MIN_LINE characters; a line in m units links each to the m - 1 others, with a
+weight of UNIT / (m - 1), so a line that all documents have pulls nowhere. The
+links are never listed: a line sums up the labels of its units, and a unit votes
+over its lines' sums without its own part, so a frequent line is one row of at
+most as many counts as there are shards. Labels start from a hash of the text.
+In each round a unit wishes to go where most of its links' weight lies; the
+wishes are counted by (from, to, power of the gain), and a shard takes them by
+falling gain until it is SLACK above its quota. Odd rounds move up, even rounds
+down, so linked units don't swap places. The rounds end when two of them raise
+the part of all shared lines that stands in its line's largest shard by less
+than ENOUGH, after ROUNDS at the latest.
 
 At last all rows are put in order of label, group and id, and the order is cut
 into shards whose counts differ by at most one: law `rows`. A cut parts at most
@@ -25,21 +30,30 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import by_key, drop_written, unit_hash, written
 
-SHARDS, ROUNDS, SLACK, MIN_LINE, GAINS = 24, 4, 0.02, 40, 16
+SHARDS, ROUNDS, ENOUGH, SLACK, MIN_LINE, UNIT = 24, 16, 0.005, 0.02, 40, 1000
 
 
-def _links(lines: DataFrame, units: DataFrame) -> DataFrame:
-    """a, b, weight in both directions. lines: line, unit (distinct); units: unit, th, part."""
-    owners = written(lines.groupBy("line").agg(F.min("unit").alias("owner"), F.max("unit").alias("last")).where("owner <> last").select("line", "owner"), "owners")
-    shared = lines.join(by_key(owners), "line").where("unit <> owner").groupBy("unit", "owner").agg(F.count("*").alias("weight"))
-    first = units.where("part = 0").select("th", F.col("unit").alias("owner"))
-    parts = units.where("part > 0").join(by_key(first), "th").select("unit", "owner", F.lit(4).cast("long").alias("weight"))
-    one = written(shared.unionByName(parts), "links")
-    return one.select(F.col("unit").alias("a"), F.col("owner").alias("b"), "weight").unionByName(one.select(F.col("owner").alias("a"), F.col("unit").alias("b"), "weight"))
+def _shared(lines: DataFrame, units: DataFrame) -> DataFrame:
+    """line, unit of the lines that several units have. lines: line, unit (distinct); units: unit, th, part. The parts of a group share one more line, that of the group."""
+    often = written(lines.groupBy("line").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low <> high").select("line"), "often")
+    split = units.where("part > 0").select("th").distinct()
+    parts = units.join(by_key(split), "th", "left_semi").select(F.xxhash64("th", F.lit(-1)).alias("line"), "unit")
+    return written(lines.join(by_key(often), "line", "left_semi").select("line", "unit").unionByName(parts), "shared")
+
+
+def _spread(labelled: DataFrame) -> DataFrame:
+    """line, m, most, by: how many units have the line, in the largest shard, and in each shard (shard, n). labelled: line, unit, shard."""
+    return labelled.groupBy("line", "shard").agg(F.count("*").alias("n")).groupBy("line").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.collect_list(F.struct("shard", "n")).alias("by"))
+
+
+def kept_share(shared: DataFrame, labels: DataFrame) -> float:
+    """The part of all (line, unit) that stand in their line's largest shard; 1 without shared lines."""
+    r = _spread(shared.join(by_key(labels.select("unit", "shard")), "unit")).agg(F.sum("most").alias("most"), F.sum("m").alias("m")).collect()[0]
+    return r["most"] / r["m"] if r["m"] else 1.0
 
 
 def _accepted(spark: SparkSession, wishes: list, load: np.ndarray, most: float) -> DataFrame:
-    """The part of each (shard, to, gain) that moves. wishes: at most shards x shards x GAINS rows (shard, to, gain, rows)."""
+    """The part of each (shard, to, gain) that moves. wishes: rows (shard, to, gain, rows), at most shards x shards for each power of a gain."""
     room = most - load
     out = []
     for w in sorted(wishes, key=lambda w: (-w["gain"], w["to"], w["shard"])):
@@ -49,28 +63,45 @@ def _accepted(spark: SparkSession, wishes: list, load: np.ndarray, most: float)
     return spark.createDataFrame(out, "shard int, to int, gain int, part double")
 
 
-def propagate(units: DataFrame, links: DataFrame, shards: int, rows: int, rounds: int = ROUNDS) -> DataFrame:
-    """unit, shard after the rounds. units: unit, rows, shard; links as from _links."""
+def propagate(units: DataFrame, shared: DataFrame, shards: int, rows: int, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
+    """unit, shard after the rounds. units: unit, rows, shard; shared: as from _shared."""
     spark = units.sparkSession
-    labels = units.select("unit", "rows", "shard")
+    labels, kept = units.select("unit", "rows", "shard"), []
     for at in range(rounds):
-        votes = links.join(by_key(labels.select(F.col("unit").alias("b"), F.col("shard").alias("to"))), "b").groupBy("a", "to").agg(F.sum("weight").alias("weight"))
-        best = votes.groupBy("a").agg(F.max(F.struct("weight", -F.col("to"), "to"))["to"].alias("to"), F.max("weight").alias("most"), F.map_from_entries(F.collect_list(F.struct("to", "weight"))).alias("by"))
-        wish = labels.join(by_key(best.withColumnRenamed("a", "unit")), "unit").withColumn("gain", F.col("most") - F.coalesce(F.try_element_at("by", F.col("shard")), F.lit(0)))
-        wish = wish.where((F.col("gain") > 0) & ((F.col("to") > F.col("shard")) if at % 2 == 0 else (F.col("to") < F.col("shard"))))
-        wish = written(wish.select("unit", "rows", "shard", "to", F.least("gain", F.lit(GAINS)).cast("int").alias("gain")), "wishes")
-        counted = wish.groupBy("shard", "to", "gain").agg(F.sum("rows").alias("rows")).collect()
-        load = np.zeros(shards)
-        for r in labels.groupBy("shard").agg(F.sum("rows").alias("rows")).collect():
-            load[r["shard"]] = r["rows"]
-        if not counted:
+        labelled = written(shared.join(by_key(labels.select("unit", "shard")), "unit"), "labelled")
+        spread = written(_spread(labelled), "spread")
+        sums = spread.agg(F.sum("most").alias("most"), F.sum("m").alias("m")).collect()[0]
+        if not sums["m"]:
             break
-        part = _accepted(spark, counted, load, rows / shards * (1 + SLACK))
-        moved = wish.join(F.broadcast(part), ["shard", "to", "gain"]).where(unit_hash("unit", seed=at + 1) < F.col("part")).select("unit", "to")
-        labels = written(labels.join(by_key(moved), "unit", "left").select("unit", "rows", F.coalesce("to", "shard").alias("shard")), "labels")
+        kept.append(sums["most"] / sums["m"])
+        if at >= 2 and at % 2 == 0 and kept[-1] - kept[-3] < ENOUGH:
+            break
+        votes = labelled.join(by_key(spread.select("line", "m", "by")), "line").select("unit", "shard", "m", F.explode("by").alias("x"))
+        others = F.col("x.n") - F.when(F.col("x.shard") == F.col("shard"), 1).otherwise(0)
+        votes = votes.select("unit", "shard", F.col("x.shard").alias("to"), F.floor(others * UNIT / (F.col("m") - 1)).alias("weight")).groupBy("unit", "shard", "to").agg(F.sum("weight").alias("weight"))
+        best = votes.groupBy("unit", "shard").agg(F.max(F.struct("weight", -F.col("to"), "to"))["to"].alias("to"), F.max("weight").alias("most"), F.sum(F.when(F.col("to") == F.col("shard"), F.col("weight")).otherwise(0)).alias("here"))
+        gain = F.col("most") - F.col("here")
+        wish = best.where((gain > 0) & ((F.col("to") > F.col("shard")) if at % 2 == 0 else (F.col("to") < F.col("shard")))).select("unit", "to", F.floor(F.log2(gain) * 4).cast("int").alias("gain"))
+        wish = written(wish.join(by_key(labels), "unit"), "wishes")
+        counted = wish.groupBy("shard", "to", "gain").agg(F.sum("rows").alias("rows")).collect()
+        if counted:
+            load = np.zeros(shards)
+            for r in labels.groupBy("shard").agg(F.sum("rows").alias("rows")).collect():
+                load[r["shard"]] = r["rows"]
+            part = _accepted(spark, counted, load, rows / shards * (1 + slack))
+            moved = wish.join(F.broadcast(part), ["shard", "to", "gain"]).where(unit_hash("unit", seed=at + 1) < F.col("part")).select("unit", "to")
+            after = written(labels.join(by_key(moved), "unit", "left").select("unit", "rows", F.coalesce("to", "shard").alias("shard")), "labels")
+            drop_written(labels)
+            labels = after
+        drop_written(labelled, spread, wish)
     return labels.select("unit", "shard")
 
 
+def lines_of(rows: DataFrame) -> DataFrame:
+    """line, unit (distinct) of rows (th, text): hashes of the lines of at least MIN_LINE characters."""
+    return rows.select(F.xxhash64("th", F.lit(0)).alias("unit"), F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.length(x) >= MIN_LINE), lambda x: F.xxhash64(x)))).alias("line")).distinct()
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, label for each row of docs.
 
@@ -93,9 +124,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     placed = written(base.join(F.broadcast(whole), "th", "left").withColumn("part", part).drop("parts").withColumn("unit", F.xxhash64("th", "part")), "placed")
     units = written(placed.groupBy("unit").agg(F.count("*").alias("rows"), F.first("th").alias("th"), F.first("part").alias("part")).withColumn("shard", F.pmod(F.xxhash64("th", F.lit(9)), F.lit(shards)).cast("int")), "units")
     # One unit of a group speaks for its lines.
-    lines = rows.select(F.xxhash64("th", F.lit(0)).alias("unit"), F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.length(x) >= MIN_LINE), lambda x: F.xxhash64(x)))).alias("line")).distinct()
-    links = _links(written(lines, "lines"), units)
-    labels = written(propagate(units, links, shards, n, rounds), "labels")
+    labels = written(propagate(units, _shared(written(lines_of(rows), "lines"), units), shards, n, rounds), "labels")
 
     # The order by label, group and id, over range partitions.
     ordered = placed.join(by_key(labels.withColumnRenamed("shard", "label")), "unit").select("doc_id", "size", "text_crc32", "label", "th")
