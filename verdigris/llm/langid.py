@@ -181,10 +181,17 @@ def predict(m: ByteRnn, texts: list[str | None]) -> tuple[list[str], list[float]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, per_doc: int = WINDOWS_PER_DOC) -> ByteRnn:
-    """Trains on the rows of docs whose id, text and language are known. Without any, the model knows UNKNOWN alone."""
+    """Trains on the rows of docs whose id, text and language are known. Without any, the model knows UNKNOWN alone.
+
+    Rows of one id and text count once, with the smallest of their languages;
+    different texts of one id count each. Of all these the fit_docs first by
+    their hashes are taken, so a repeated id or row doesn't widen the sample.
+    """
     small_batches(docs.sparkSession)
     known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
-    chosen = known.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("_id")).orderBy("h", "_id").limit(fit_docs)
+    known = known.select(F.xxhash64(id_col).alias("h"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    chosen = known.select("h", "th").distinct().orderBy("h", "th").limit(fit_docs)
+    single = known.join(F.broadcast(chosen), ["h", "th"], "left_semi").groupBy("h", "th").agg(F.min(F.struct("lang", "text")).alias("x"))  # chosen: fit_docs rows
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,7 +203,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     out.append(w[k].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(out, pa.binary())], ["lang", "data"])
 
-    rows = known.select(F.col(text_col), F.col(lang_col).cast("string"), F.col(id_col).alias("_id")).join(F.broadcast(chosen.select("_id").distinct()), "_id", "left_semi").select(text_col, lang_col).mapInArrow(cut, "lang string, data binary").collect()
+    rows = single.select("x.text", "x.lang").mapInArrow(cut, "lang string, data binary").collect()  # at most per_doc windows of each
     if not rows:
         return new_model([UNKNOWN])
     rows.sort()
