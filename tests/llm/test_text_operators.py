@@ -1,6 +1,7 @@
 """Text operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -511,3 +512,67 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
     none = toxicity.fit(varied, labels.limit(0))
     assert {r.is_toxic for r in toxicity.score(docs, none).collect()} == {False}
+
+
+def brute_severity(model, text):
+    """Expected grade and likeliest grade by plain sums over a document's words and beginnings."""
+    score = 0.0
+    for feature in {f for w in toxicity.words_of(text) for f in (w, *(b"~" + w[:n] for n in (4, 5) if len(w) > n))}:
+        n = sum(w == feature or feature[:1] == b"~" and len(w) > len(feature) - 1 and w.startswith(feature[1:]) for w in toxicity.words_of(text))
+        score += model.weights.get(feature, 0.0) * math.log2(1 + n)
+    over = [1.0, *(1 / (1 + math.exp(-max(-700.0, min(700.0, score - t)))) for t in model.thresholds), 0.0]
+    mass = [a - b for a, b in zip(over, over[1:])]
+    return sum(over[1:-1]), mass.index(max(mass))
+
+
+def test_toxicity_of_repeated_and_text_ids_and_long_texts(spark):
+    rng = random.Random(12)
+    rows = [(f"d{i}", " ".join([rng.choice(["good", "plain", "nice", "sample"]) for _ in range(20)] + ["vile", "nastiest"] * (i % 3 == 0)) + f" w{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows + [("d5", f"another text {i}") for i in range(300)] + [rows[0]] * 50, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 3 == 0)) for i in range(200)] + [("d0", 0)], "doc_id string, toxic int")
+    model = toxicity.fit(docs, labels, fit_rows=150)
+    long = "vile plain " * 60000
+    got = {r.text: r for r in toxicity.score(spark.createDataFrame([(1, long), (2, long), (3, rows[1][1]), (4, None)], DOCS), model).collect()}
+    for text in (long, rows[1][1], None):
+        severity, grade = brute_severity(model, text)
+        assert math.isclose(got[text].severity, severity, rel_tol=1e-9) and got[text].grade == grade
+    assert got[long].is_toxic and not got[rows[1][1]].is_toxic
+
+
+def test_language_sample_is_bounded_under_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, f"le chat {i}", "fr") for i in range(60)] + [(2, "the cat", "en")] * 60 + [(2, "the cat", "de")], f"{DOCS}, lang string")
+    model = langid.fit(docs, fit_docs=40)
+    assert set(model.langs) <= {"fr", "de"}  # one row of the repeated ones, with the smallest language
+    again = langid.fit(docs.repartition(3), fit_docs=40)
+    assert all((a == b).all() for a, b in zip(model.parameters(), again.parameters()))
+
+
+def slow_probabilities(m, data):
+    """A document's mean over bytes, by the equations one byte at a time."""
+    sig, h = lambda v: 1 / (1 + np.exp(-v)), m.u.shape[2]
+    total = np.zeros(len(m.langs))
+    for s in range(0, len(data), langid.WINDOW):
+        window = data[s : s + langid.WINDOW].ljust(langid.WINDOW)
+        states = np.zeros((2, langid.WINDOW, h))
+        for d in range(2):
+            state = np.zeros(h)
+            for t in range(langid.WINDOW) if d == 0 else range(langid.WINDOW - 1, -1, -1):
+                e, a = m.e[d][:, window[t]], m.u[d] @ state
+                z, r = sig(e[:h] + a[:h]), sig(e[h : 2 * h] + a[h : 2 * h])
+                state = (1 - z) * np.tanh(e[2 * h :] + r * (a[2 * h :] + m.b[d][:, 0])) + z * state
+                states[d, t] = state
+        for t in range(min(langid.WINDOW, len(data) - s)):
+            logit = m.w @ np.concatenate([states[0, t], states[1, t]]) + m.c[:, 0]
+            total += np.exp(logit - logit.max()) / np.exp(logit - logit.max()).sum()
+    return total / len(data)
+
+
+def test_language_prediction_equals_plain_recurrence(spark):
+    m = langid.new_model(["a", "b", "c"], 5, seed=3)
+    texts = ["Ein Satz, der etwas l\u00e4nger ist als ein Fenster von vierundsechzig Bytes es w\u00e4re.", "x", "\u65e5\u672c"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, DOCS)
+    got = langid.identify(docs, m).collect()
+    assert len(got) == 6
+    for r in got:
+        p = slow_probabilities(m, texts[r.doc_id].encode())
+        assert r.lang_pred == m.langs[p.argmax()] and abs(r.score - p.max()) < 1e-4

@@ -137,24 +137,34 @@ def grades_from_binary(docs: list[list[bytes]], toxic: list[int], most: int = 3)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", graded: bool = False, fit_rows: int = FIT_ROWS) -> OrdinalModel:
-    """Fits on at most `fit_rows` labelled documents; graded: label_col holds grades 0.. instead of 0 and 1."""
+    """Fits on at most `fit_rows` labelled documents; graded: label_col holds grades 0.. instead of 0 and 1.
+
+    An id with several labels has the highest. Rows of one id and text count
+    once, different texts of one id each, the first fit_rows by the hash of id
+    and text; of documents with equal texts the one with the smallest id counts.
+    Ids may be numbers or texts. Null ids, labels and unlabelled documents take
+    no part, a null text counts as empty. Without toxic labels nothing is toxic.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     # The bounded choice comes before the join, so only the chosen texts move.
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").collect()
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = texts.groupBy("_id", "_label", F.xxhash64("_text").alias("_th")).agg(F.min("_text").alias("_text")).orderBy(F.xxhash64("_id"), "_id", "_th").limit(fit_rows).collect()
     # Copies would count one document's words many times over.
-    single = {r["_text"]: r for r in sorted(rows, key=lambda r: -r["_id"])}
-    rows = sorted(single.values(), key=lambda r: r["_id"])
-    words, marks = [words_of(r["_text"]) for r in rows], [r["_label"] for r in rows]
+    single: dict[str, tuple] = {}
+    for r in sorted(rows, key=lambda r: r["_id"]):
+        single.setdefault(r["_text"], r)
+    words, marks = [words_of(text) for text in single], [r["_label"] for r in single.values()]
     return fit_ordinal(words, marks if graded else grades_from_binary(words, marks))
 
 
 def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject_at: float = REJECT_AT) -> DataFrame:
     """Adds severity double, grade int, p_toxic double and is_toxic boolean to docs.
 
-    Whole texts are read. Null and empty texts have no words, so they get the
-    severity of the thresholds alone. Columns of docs with these four names
-    are replaced.
+    Whole texts are read, each row for itself, repeated ones alike. Null and
+    empty texts have no words, so they get the severity of the thresholds
+    alone. Of equally likely grades the lowest is given. Columns of docs with
+    these four names are replaced.
     """
     small_batches(docs.sparkSession)
     added = ["severity", "grade", "p_toxic", "is_toxic"]
