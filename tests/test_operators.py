@@ -32,6 +32,13 @@ def test_vote_of_keys_without_labels_is_empty(spark):
     assert got == {"1": ("a", 1), "9": ("", 0)}
 
 
+def test_vote_in_the_order_of_texts_and_times(spark):
+    df = spark.createDataFrame([("k", "b", "02"), ("k", "a", "01"), ("k", "c", "03")], "k string, label string, at string")
+    for order in (df, df.withColumn("at", F.to_timestamp(F.concat(F.lit("2024-01-"), "at"))), df.withColumn("at", F.to_date(F.concat(F.lit("2024-01-"), "at")))):
+        assert [r.vote for r in votes.majority_vote(order, ["k"], "label", "at").collect()] == ["a"]
+        assert [r.vote for r in votes.majority_vote(order, ["k"], "label", "at", last_wins=True).collect()] == ["c"]
+
+
 def test_vote_on_an_empty_table(spark):
     assert votes.majority_vote(spark.createDataFrame([], "k string, pos int, label string"), ["k"], "label", "pos").count() == 0
 
@@ -127,6 +134,26 @@ def test_map_profile_order(spark):
     assert {r.j: r.p.detected for r in df.collect()} == kinds
 
 
+def test_nested_arrays(spark):
+    df = spark.createDataFrame([(1, [[1.0, float("nan")], [3.0, -2.0]], [["a"]]), (2, [], []), (3, None, None)], "i int, x array<array<double>>, s array<array<string>>")
+    got = {r.i: r for r in df.select("i", profile.nested_array_profile(F.col("x"), df.schema["x"].dataType).alias("x"), profile.nested_array_profile(F.col("s"), df.schema["s"].dataType).alias("s"), profile.tensor_profile(F.col("x"), df.schema["x"].dataType, F.lit("cpu"), F.lit(True)).alias("t")).collect()}
+    assert tuple(got[1].x) == ("(2, 2)", "double", True, -2.0, 3.0, False) and tuple(got[2].x) == ("(0, 0)", "double", False, None, None, True) and got[3].x is None
+    assert tuple(got[1].s) == ("(1, 1)", "string", None, None, None, False) and tuple(got[1].t) == ("(2, 2)", "double", "cpu", True, True)
+
+
+def test_primitive_values(spark):
+    values = {"1": "1", "1.5": "1.5", '"t"': "t", "plain words": "plain words", "true": "true", "[1]": None, '{"a": 1}': None, "null": None}
+    df = spark.createDataFrame([(k,) for k in values], "v string")
+    assert {r.v: r.p for r in df.select("v", profile.primitive_value(F.col("v")).alias("p")).collect()} == values
+
+
+def test_merged_maps_and_ground_truth(spark):
+    maps = [spark.createDataFrame([("p", i, x) for i, x in rows], "package string, internal string, public string") for rows in ([("p.a", "p.A"), ("p.b", "p.B")], [("p.a", "p.C")])]
+    assert {r.internal: r.public for r in aliases.merged_maps(maps).collect()} == {"p.a": "p.C", "p.b": "p.B"}
+    df = spark.createDataFrame([(True, "why"), (False, None), (None, "why")], "d boolean, r string")
+    assert [r.x for r in df.select(summary.ground_truth_text(F.col("d"), F.col("r")).alias("x")).collect()] == ["\nGround truth: True. why", "\nGround truth: False. ", ""]
+
+
 def test_rules_merge_by_name(spark):
     got = {(r.column, r.key): r.value for r in profile.apply_rules(spark.createDataFrame([(1,)], "a int"), ["summarize_ranges", "summarize_columns"]).collect()}
     assert got[("a", "type")].startswith("categorical numeric")
@@ -153,6 +180,7 @@ def test_text_functions(spark):
     assert one(spark, X.clean_type(F.lit("<class '<x>'>"))) is None and one(spark, X.clean_type(F.lit(""))) is None
     found = {m.module: m.alias for m in one(spark, X.import_aliases(F.lit("import a.b as c\nimport a.b\nimport d\nfrom e import f")))}
     assert found == {"a.b": "a.b", "a": "a", "d": "d"}
+    assert [(m.module, m.alias) for m in one(spark, X.import_aliases(F.lit("if x:\n\timport numpy as np\r")))] == [("numpy", "np")]
 
 
 def test_code_functions():
@@ -162,13 +190,26 @@ def test_code_functions():
     d = dependencies_in("def f():\n  return hidden\nasync def g():\n  return seen\nx.y.z()\nlambda q: w")
     assert "hidden" not in d["names"] and {"seen", "x", "w"} <= set(d["names"])
     assert {(a["base"], a["attr"]) for a in d["attributes"]} == {("x", "y"), ("x.y", "z")}
-    assert literal_types("{'a': {'type': 't'}}") == [{"name": "a", "type": "t"}] and literal_types("<x>") == []
+    assert d["subscripts"] == [] and dependencies_in("a.b[0].c[i]\ndef f():\n  return h[0]")["subscripts"] == ["a.b", "a.b[0].c"]
+    assert literal_types("{'a': {'type': 't'}}") == [{"name": "a", "type": "t"}] and literal_types("<x>") is None and literal_types("[1]") == []
+    # lines are the tokenizer's: a form feed or a line separator within a line moves no comment
+    assert strip_comments("s = 'a\u2028b'  # one\nt = 1  # two") == "s = 'a\nb'\nt = 1"
+    assert strip_comments("\x0cx = 1  # one\ny = 2  # two").endswith("x = 1\ny = 2")
+
+
+def test_type_patterns_find_what_no_literal_holds(spark):
+    from verdigris.functions.code import typed_names
+
+    infos = ["{'a': {'type': 'int'}, 'b': {'type': \"<class 'p.Q'>\"}, broken", "{'__method__m': {'type': 'int'}, 'c': {'type': '<lost>'}, broken", "[1, 2]", None, "{'d': {'type': 'str', 'dtype': dtype('int64')}}"]
+    df = spark.createDataFrame(list(enumerate(infos)), "i int, info string")
+    got = {r.i: [(x.name, x.type) for x in r.t] for r in df.select("i", typed_names(F.col("info")).alias("t")).collect() if r.t is not None}
+    assert got[0] == [("a", "int"), ("b", "<class 'p.Q'>")] and got[1] == [] and got[2] == [] and got[4] == [("d", "str")]
 
 
 def test_grading(spark):
-    df = spark.createDataFrame([("a_1_fixed", '{"detection": false}'), ("a_1_fixed", '{"detection": true}'), ("a_1_reproduced", '{"detection": true}'), ("a_1_reproduced", '{"detection": 0}'), ("a_1_fixed", "[Error-skipping]")], "i string, r string")
+    df = spark.createDataFrame([("a_1_fixed", '{"detection": false}'), ("a_1_fixed", '{"detection": true}'), ("a_1_reproduced", '{"detection": true}'), ("a_1_reproduced", '{"detection": 0}'), ("a_1_fixed", "[Error-skipping]"), ("a_1_fixed", '{"detection": "false"}'), ("a_1_fixed", '{"detection": 0.0}'), ("a_1_fixed", '{"detection": 1.0}'), ("a_1_fixed", '{"detection": 2}'), ("a_1_fixed", '{"detection": null}'), ("a_1_fixed", None)], "i string, r string")
     got = [r.g for r in df.select(grading.grade_detection(F.col("i"), grading.detection_of(F.col("r")), True).alias("g")).collect()]
-    assert got == ["correct", "wrong", "check reasoning", "wrong", "cannot verify"]
+    assert got == ["correct", "wrong", "check reasoning", "wrong", "cannot verify", "cannot verify", "correct", "wrong", "cannot verify", "cannot verify", "cannot verify"]
 
 
 def test_aliases(spark):

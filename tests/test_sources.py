@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from verdigris.plans import evaluation
 from verdigris.sources import readers, sinks
 from verdigris.streaming import votes as streaming_votes
@@ -21,17 +23,26 @@ def tree(root):
 def test_label_tree(spark, tmp_path):
     tree(tmp_path / "labels")
     rows = readers.label_tree(spark, str(tmp_path / "labels")).collect()
-    assert sorted({r.instance for r in rows}) == ["numpy_1_fixed", "torch_1_fixed"] and len(rows) == 6
+    assert sorted({r.instance for r in rows}) == ["numpy_1_fixed", "numpy_2_reproduced", "torch_1_fixed"] and len(rows) == 7
+    assert [(r.run, r.label) for r in rows if r.instance == "numpy_2_reproduced"] == [(None, None)]
     assert json.loads(next(r.label for r in rows if r.instance == "torch_1_fixed" and r.run == 1)) == {"reasoning": "r", "detection": True}
-    assert {r.instance for r in readers.label_tree(spark, str(tmp_path / "labels"), ["numpy", "sub"]).collect()} == {"numpy_1_fixed", "numpy_9_fixed"}
+    assert {r.instance for r in readers.label_tree(spark, str(tmp_path / "labels"), ["numpy", "sub"]).collect()} == {"numpy_1_fixed", "numpy_2_reproduced", "numpy_9_fixed"}
     wide = {r.instance: r.asDict() for r in evaluation.vote_summary(readers.label_tree(spark, str(tmp_path / "labels")), ["m1_t1", "m1_t2"]).collect()}
     assert wide["numpy_1_fixed"]["m1_t1"] == "correct" and wide["numpy_1_fixed"]["m1_t2"] == "wrong"
+    # an empty file votes with an empty text, an absent one not at all
+    assert wide["numpy_2_reproduced"]["m1_t1"] == "" and wide["numpy_2_reproduced"]["m1_t2"] is None
 
 
 def test_analyzer_tree(spark, tmp_path):
     write(tmp_path / "a/pylint/t1/numpy/numpy_1_fixed.json", ["x"])
     write(tmp_path / "a/pylint/t1/other/torch_1_fixed.json", ["x"])
     assert [r.instance for r in readers.analyzer_tree(spark, str(tmp_path / "a"), ["numpy"]).collect()] == ["numpy_1_fixed"]
+    write(tmp_path / "a/pylint/t1/numpy/numpy_1_reproduced.json", [])
+    write(tmp_path / "a/pylint/t1/numpy/numpy_2_fixed.json", [])
+    write(tmp_path / "a/pylint/t1/numpy/broken.json", "no list")
+    found = readers.analyzer_findings(spark, str(tmp_path / "a"), ["numpy"])
+    assert {r.instance: r.pylint_t1 for r in evaluation.analyzer_summary(found, ["pylint_t1"]).collect()} == {"numpy_1_fixed": "wrong", "numpy_1_reproduced": "wrong", "numpy_2_fixed": "correct"}
+    assert {r.instance: r.label for r in readers.analyzer_tree(spark, str(tmp_path / "a"), ["numpy"]).collect()} == {"numpy_1_fixed": "x", "numpy_1_reproduced": None, "numpy_2_fixed": None}
 
 
 def test_notebooks_aliases_rules(spark, tmp_path):
@@ -56,10 +67,13 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", "true").csv(str(tmp_path / "c")).count() == 3
     runs = spark.createDataFrame([("i", "m", "t", 0, "v")], "instance string, model string, task string, run int, value string")
     sinks.append_runs(runs, str(tmp_path / "r"))
-    sinks.append_runs(runs.withColumn("run", runs.run + 1), str(tmp_path / "r"))
+    for _ in range(2):  # a retry doubles nothing
+        sinks.append_runs(runs.withColumn("run", runs.run + 1), str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r")).count() == 2
-    sinks.write_texts(spark.createDataFrame([("i", "one\ntwo")], "k string, t string"), "k", "t", str(tmp_path / "t"))
-    assert [r.value for r in readers.whole_texts(spark, str(tmp_path / "t"), "*.txt").collect()] == ["one\ntwo\x00"]
+    more = sinks.with_next_run(runs.drop("run").union(runs.drop("run").withColumn("task", F.lit("u"))), spark.read.parquet(str(tmp_path / "r")))
+    assert {r.task: r.run for r in more.collect()} == {"t": 2, "u": 0} and sinks.with_next_run(runs.drop("run"), None).collect()[0].run == 0
+    sinks.write_texts(spark.createDataFrame([("i", "one\ntwo"), ("j", "three\n\n"), ("k", "")], "k string, t string"), "k", "t", str(tmp_path / "t"))
+    assert sorted(r.value for r in readers.whole_texts(spark, str(tmp_path / "t"), "*.txt").collect()) == ["\n", "one\ntwo\n", "three\n\n"]
     sinks.write_missing(t.select("k", "v"), spark.createDataFrame([("a",)], "k string"), "k", str(tmp_path / "w"))
     assert [r.k for r in spark.read.parquet(str(tmp_path / "w")).collect()] == ["b"]
 
@@ -69,8 +83,18 @@ def test_streamed_votes(spark, tmp_path):
     spark.createDataFrame([("a", "x", 0), ("a", "y", 1)], labels).write.parquet(str(tmp_path / "in"), mode="append")
     spark.createDataFrame([("a", "y", 2), ("b", "z", 0)], labels).write.parquet(str(tmp_path / "in"), mode="append")
     stream = spark.readStream.schema(labels).parquet(str(tmp_path / "in"))
-    streaming_votes.write_votes(stream, ["cell"], "label", "pos", str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True)
-    assert {r.cell: r.vote for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a": "y", "b": "z"}
+    out = str(tmp_path / "out")
+    write_on = lambda: streaming_votes.write_counts(stream, ["cell"], "label", "pos", out, str(tmp_path / "cp"), available_now=True)
+    votes = lambda path=out: {r.cell: (r.vote, r.n_votes) for r in streaming_votes.current_votes(spark, path, ["cell"], "label").collect()}
+    write_on()
+    assert votes() == {"a": ("y", 2), "b": ("z", 1)}
+    spark.createDataFrame([("a", "x", 3), ("b", "w", 1)], labels).write.parquet(str(tmp_path / "in"), mode="append")
+    write_on()
+    # ties go to the first seen; the second batch holds changed cells alone
+    assert votes() == {"a": ("x", 2), "b": ("z", 1)}
+    assert spark.read.parquet(out).where("batch = (select max(batch) from parquet.`%s`)" % out).count() == 2
+    streaming_votes.compact(spark, out, str(tmp_path / "compact"), ["cell"], "label")
+    assert votes(str(tmp_path / "compact")) == votes()
 
 
 def test_final_statistics(spark):

@@ -10,12 +10,18 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdigris.functions.text import found_types, scrubbed
+
 
 def strip_comments(code: str | None) -> str | None:
-    """The code without comments, each line without blanks at its end; None stays None, and what cannot be tokenised stays as it is."""
+    """The code without comments, each line without blanks at its end; None stays None, and what cannot be tokenised stays as it is.
+
+    The tokenizer counts newlines alone; afterwards lines end at whatever Python
+    ends lines at (form feeds, U+2028).
+    """
     if code is None:
         return None
-    lines = code.splitlines()
+    lines = code.split("\n")
     try:
         for token in tokenize.generate_tokens(io.StringIO(code).readline):
             if token.type == tokenize.COMMENT:
@@ -23,7 +29,7 @@ def strip_comments(code: str | None) -> str | None:
                 lines[row - 1] = lines[row - 1][:col]
     except (tokenize.TokenError, SyntaxError):
         return code
-    return "\n".join(x.rstrip() for x in lines)
+    return "\n".join(x.rstrip() for x in "\n".join(lines).splitlines())
 
 
 def _parsed(code: str | None) -> ast.Module | None:
@@ -50,8 +56,8 @@ def definitions_in(code: str | None) -> list[dict]:
 
 
 def dependencies_in(code: str | None) -> dict:
-    """Names read and (base, attribute) pairs outside the bodies of functions and classes. Coroutines and lambdas are looked into."""
-    names, pairs, todo = set(), set(), [_parsed(code)]
+    """Names read, (base, attribute) pairs and the bases of subscripts outside the bodies of functions and classes. Coroutines and lambdas are looked into."""
+    names, pairs, bases, todo = set(), set(), set(), [_parsed(code)]
     while todo:
         node = todo.pop()
         if node is None or isinstance(node, ast.FunctionDef | ast.ClassDef):
@@ -60,16 +66,18 @@ def dependencies_in(code: str | None) -> dict:
             names.add(node.id)
         elif isinstance(node, ast.Attribute):
             pairs.add((ast.unparse(node.value), node.attr))
+        elif isinstance(node, ast.Subscript):
+            bases.add(ast.unparse(node.value))
         todo += ast.iter_child_nodes(node)
-    return {"names": sorted(names), "attributes": [{"base": b, "attr": a} for b, a in sorted(pairs)]}
+    return {"names": sorted(names), "attributes": [{"base": b, "attr": a} for b, a in sorted(pairs)], "subscripts": sorted(bases)}
 
 
-def literal_types(text: str | None) -> list[dict]:
-    """(name, type) of a literal dictionary of variables; a text that is none gives no rows."""
+def literal_types(text: str | None) -> list[dict] | None:
+    """(name, type) of a literal dictionary of variables; None for a text that is no literal."""
     try:
         found = ast.literal_eval((text or "").strip())
     except (SyntaxError, ValueError, MemoryError, RecursionError):
-        return []
+        return None
     return [{"name": str(k), "type": str(v.get("type", "Any"))} for k, v in found.items() if isinstance(v, dict)] if isinstance(found, dict) else []
 
 
@@ -100,8 +108,10 @@ def definitions(code):
 
 
 def dependencies(code):
-    return _udf(dependencies_in, "struct<names:array<string>,attributes:array<struct<base:string,attr:string>>>")(code)
+    return _udf(dependencies_in, "struct<names:array<string>,attributes:array<struct<base:string,attr:string>>,subscripts:array<string>>")(code)
 
 
 def typed_names(runtime):
-    return _udf(literal_types, "array<struct<name:string,type:string>>")(runtime)
+    """(name, type) of runtime information: of the literal it makes once unreadable representations are replaced, or else what patterns find in it."""
+    clean = scrubbed(runtime)
+    return F.coalesce(_udf(literal_types, "array<struct<name:string,type:string>>")(clean), found_types(clean))

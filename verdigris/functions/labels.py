@@ -14,6 +14,7 @@ GRADES = {
 }
 #: Libraries that are counted together.
 GROUPED_LIBRARIES = ["lightgbm", "matplotlib", "seaborn", "statsmodels", "torchvision"]
+#: The orders in which causes are shown.
 LIBRARY_ORDER = ["tensorflow/keras", "torch", "sklearn", "numpy", "pandas", "other", "NBspecific"]
 ROOT_CAUSE_ORDER = ["API misuse", "data confusion", "NB specific", "implementation error", "ML model confusion", "deprecated API"]
 
@@ -69,6 +70,11 @@ def shown_cause(cause: Column) -> Column:
     return F.when(cause == "library cause", "deprecated API").otherwise(cause)
 
 
+def stored_cause(shown: Column) -> Column:
+    """The inverse of shown_cause: the value that tables hold."""
+    return F.when(shown == "deprecated API", "library cause").otherwise(shown)
+
+
 def matches(a: Column, b: Column) -> Column:
     """Equality in which a missing value equals nothing, not even another missing one."""
     return F.coalesce(a == b, F.lit(False))

@@ -50,6 +50,21 @@ def scrubbed(runtime: Column) -> Column:
     return F.regexp_replace(out, DEFAULTDICT, "{}")
 
 
+def found_types(runtime: Column) -> Column:
+    """(name, type) by patterns, for runtime information that is no literal: plain types, then class representations, which win; by the first place of each name."""
+    # The forms of an entry.
+    plain = "'([^']+)':\\s*\\{[^{}]*'type':\\s*[\"']([^\"'<>]+)[\"'][^{}]*\\}"
+    shown = "'([^']+)':\\s*\\{[^{}]*'type':\\s*[\"']<class\\s+'([^\"'>]+)'>[\"'][^{}]*\\}"
+    entry = lambda x, form: F.struct(x["first"].alias("name"), F.format_string(form, x["second"]).alias("type"))
+    usable = lambda x: F.trim(x["second"]) != ""
+    first = F.transform(F.filter(pairs_of(runtime, plain), lambda x: usable(x) & ~F.startswith(x["first"], F.lit("__method__"))), lambda x: entry(x, "%s"))
+    name = lambda x: (F.instr(x["second"], ".") > 0) | x["second"].rlike("^[^\\W\\d]\\w*$")
+    second = F.transform(F.filter(pairs_of(runtime, shown), lambda x: usable(x) & name(x) & ~F.startswith(x["first"], F.lit("__method__"))), lambda x: entry(x, "<class '%s'>"))
+    both = F.concat(first, second)
+    names = F.array_distinct(F.transform(both, lambda x: x["name"]))
+    return F.transform(names, lambda n: F.element_at(F.filter(both, lambda x: x["name"] == n), -1))
+
+
 def scrub_counts(runtime: Column) -> Column:
     count = lambda p: F.regexp_count(runtime, F.lit(p)).cast("long")
     return F.struct(count(OBJECT_REPR).alias("objects"), count(TORCH_SIZE).alias("sizes"), count("defaultdict\\(").alias("defaultdicts"))
@@ -101,7 +116,7 @@ def import_aliases(code: Column) -> Column:
     root a usable too. Later aliases of one module win, a plain import never
     replaces an alias of a root. `from` imports bind nothing here.
     """
-    lines = F.transform(F.split(code, "\n", -1), lambda x: F.trim(x))
+    lines = F.transform(F.split(code, "\n", -1), lambda x: F.regexp_replace(x, "^\\s+|\\s+$", ""))
     aliased, plain = "^import\\s+(\\w+(?:\\.\\w+)*)\\s+as\\s+(\\w+)", "^import\\s+(\\w+(?:\\.\\w+)*)"
     entry = lambda m, a, weak: F.struct(m.alias("module"), a.alias("alias"), F.lit(weak).alias("weak"))
 

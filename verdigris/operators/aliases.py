@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.text import clean_type, import_aliases
+from verdigris.operators.summary import union_last_wins
 
 #: A map up to so many rows is sent to all tasks; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -34,6 +35,11 @@ def last_public(walk: DataFrame, order: str) -> DataFrame:
     return walk.groupBy("package", "internal").agg(F.max_by("public", order).alias("public"))
 
 
+def merged_maps(maps: list[DataFrame]) -> DataFrame:
+    """One map of several extractors' maps, given in the order of their precedence: the last that has an internal path holds."""
+    return union_last_wins([m.select("package", "internal", "public") for m in maps], ["package", "internal"])
+
+
 def public_names(rows: DataFrame, aliases: DataFrame, column: str, name: str = "public", strict: bool = False, keep_public: bool = True) -> DataFrame:
     """rows with the public name of a type: itself if it is public already (keep_public), its alias, or itself if unknown; strict raises on unknown ones."""
     package = F.substring_index(column, ".", 1)

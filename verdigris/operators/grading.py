@@ -20,9 +20,11 @@ def grade_detection(instance: Column, detection: Column, check_reasoning: bool =
 
 
 def detection_of(run: Column) -> Column:
-    """The detection of a run's JSON text; 0 counts as false. Null where the text is no object or has none."""
-    said = F.lower(F.get_json_object(run, "$.detection"))
-    return F.when(said.isin("true", "1"), True).when(said.isin("false", "0"), False)
+    """The detection of a run's JSON text by its type: true and false, or a number that equals 1 or 0. Null where the text is no object, has none, or has a text or anything else there."""
+    said = F.try_variant_get(F.try_parse_json(run), "$.detection", "variant")
+    kind = F.schema_of_variant(said)
+    number = F.when(~kind.isin("BOOLEAN", "STRING"), F.try_variant_get(said, "$", "double"))
+    return F.when(kind == "BOOLEAN", F.try_variant_get(said, "$", "boolean")).when(number == 1, True).when(number == 0, False)
 
 
 def grade_runs(runs: DataFrame, keys: list[str], run: str, order: str, instance: str = "instance", check_reasoning: bool = False) -> DataFrame:

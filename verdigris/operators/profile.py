@@ -57,9 +57,35 @@ def column_profile(table: DataFrame, columns: list[str] | None = None, names: di
     return table.agg(F.array(*stats).alias("_p")).select(F.explode("_p").alias("_x")).select("_x.*")
 
 
+def smallest_values(table: DataFrame, columns: list[str]) -> DataFrame:
+    """column, values: the SHOWN smallest distinct values of each column, numbers in their own order, as text, each shortened."""
+    kinds = {f.name: f.dataType for f in table.schema}
+    known = lambda c: _known(F.col(f"`{c}`"), kinds[c])
+    number = lambda c: known(c).cast("double") if isinstance(kinds[c], INTEGERS + FRACTIONS + (T.BooleanType,)) else F.lit(None).cast("double")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), number(c).alias("number"), known(c).cast("string").alias("value")) for c in columns])
+    long = table.select(F.explode(cells).alias("x")).select("x.*").where("value IS NOT NULL").distinct()
+    nth = F.row_number().over(Window.partitionBy("column").orderBy("number", "value"))
+    few = long.withColumn("_n", nth).where(F.col("_n") <= SHOWN).groupBy("column").agg(F.sort_array(F.collect_list(F.struct("_n", "value"))).alias("v"))
+    return few.select("column", F.array_join(F.transform("v", lambda x: truncated(x["value"])), ",").alias("values"))
+
+
+def with_values(table: DataFrame, columns: list[str] | None = None, names: dict[str, str] = COLUMN_NAMES) -> DataFrame:
+    """column_profile with unique_values, where a column has at most SHOWN, and example_values.
+
+    Under RANGE_NAMES all kinds but continuous ones show their unique values.
+    Under COLUMN_NAMES only columns of other kinds than numbers do, and show the
+    SHOWN smallest as examples where they have more.
+    """
+    columns = columns or table.columns
+    out = column_profile(table, columns, names).join(smallest_values(table, columns), "column", "left")
+    listed = F.col("type") == names["other"] if names is COLUMN_NAMES else F.col("type") != names["continuous"]
+    few = F.col("num_unique") <= SHOWN
+    return out.select("column", "dtype", "type", "num_unique", "low", "high", "has_nan", "length", F.when(listed & few, F.col("values")).alias("unique_values"), F.when(listed & ~few & F.lit(names is COLUMN_NAMES), F.col("values")).alias("example_values"))
+
+
 def value_range(table: DataFrame, column: str) -> DataFrame:
-    """The value range of one 1-D sequence, under RANGE_NAMES."""
-    return column_profile(table, [column], RANGE_NAMES)
+    """The value range of one 1-D sequence, under RANGE_NAMES, with its values where they are few."""
+    return with_values(table, [column], RANGE_NAMES)
 
 
 def series(table: DataFrame, column: str) -> DataFrame:
@@ -105,17 +131,66 @@ def shape_of(*arrays: Column) -> Column:
     return F.concat(F.lit("("), F.concat_ws(", ", *[F.size(a).cast("string") for a in arrays]), F.lit(")"))
 
 
+def nested_array_profile(value: Column, kind: T.ArrayType) -> Column:
+    """shape, dtype, has_nan, low, high, empty of an array of arrays of type `kind`, of any depth.
+
+    The shape follows each level's first element; NaN and nulls are left out of
+    the range. Elements that are no numbers have neither range nor has_nan.
+    """
+    sizes, level, flat, inner = [F.size(value)], value, value, kind.elementType
+    while isinstance(inner, T.ArrayType):
+        level, flat, inner = F.try_element_at(level, F.lit(1)), F.flatten(flat), inner.elementType
+        sizes.append(F.coalesce(F.size(level), F.lit(0)))
+    shape = F.concat(F.lit("("), F.concat_ws(", ", *[s.cast("string") for s in sizes]), F.lit(",)" if len(sizes) == 1 else ")"))
+    numeric = isinstance(inner, INTEGERS + FRACTIONS)
+    known = F.filter(flat, lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))) if numeric else None
+    low, high = (f(known).cast("double") if numeric else F.lit(None).cast("double") for f in (F.array_min, F.array_max))
+    has_nan = F.exists(flat, lambda x: F.coalesce(F.isnan(x.cast("double")), F.lit(True))) if numeric else F.lit(None).cast("boolean")
+    return F.when(value.isNotNull(), F.struct(shape.alias("shape"), F.lit(inner.simpleString()).alias("dtype"), has_nan.alias("has_nan"), low.alias("low"), high.alias("high"), (F.size(flat) == 0).alias("empty")))
+
+
+def tensor_profile(value: Column, kind: T.ArrayType, device: Column, requires_grad: Column) -> Column:
+    """shape, dtype, device, requires_grad, has_nan of a recorded tensor; a tensor shows no range."""
+    p = nested_array_profile(value, kind)
+    return F.when(value.isNotNull(), F.struct(p["shape"].alias("shape"), p["dtype"].alias("dtype"), device.alias("device"), requires_grad.alias("requires_grad"), p["has_nan"].alias("has_nan")))
+
+
+def _json_type(value: Column) -> Column:
+    """Python's name for the type of a value given as JSON; what is no JSON is a text."""
+    kind = F.schema_of_variant(F.try_parse_json(value))
+    return (
+        F.when(kind == "BOOLEAN", "bool").when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "int").when(kind.isin("DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL")), "float")
+        .when(F.startswith(kind, F.lit("ARRAY")), "list").when(F.startswith(kind, F.lit("OBJECT")), "dict").when(kind == "VOID", "NoneType").otherwise("str")
+    )
+
+
+def primitive_value(value: Column) -> Column:
+    """The value, as text, of a number, a text or a truth value given as JSON; null for lists, objects and null."""
+    return F.when(_json_type(value).isin("bool", "int", "float", "str"), F.coalesce(F.try_variant_get(F.try_parse_json(value), "$", "string"), value))
+
+
+def _json_shape(value: Column, levels: int = 4) -> Column:
+    """The shape of nested JSON lists, by each level's first element; null for what is no list."""
+    level = F.from_json(value, "array<string>")
+    sizes = []
+    for _ in range(levels):
+        sizes.append(F.size(level).cast("string"))
+        level = F.from_json(F.try_element_at(level, F.lit(1)), "array<string>")
+    return F.when(F.from_json(value, "array<string>").isNotNull(), F.concat(F.lit("("), F.concat_ws(", ", *sizes), F.when(F.element_at(F.array(*sizes), 2).isNull(), ",)").otherwise(")")))
+
+
 def collection_length(value: Column) -> Column:
     return F.cardinality(value).cast("long")
 
 
 def map_profile(entries: Column) -> Column:
-    """detected, keys, n_epochs, preview of a map of JSON texts.
+    """length, detected, keys, n_epochs, data_shape, target_shape, preview, value_types of a map of JSON texts.
 
     In this order: a non-empty map of equally long lists of numbers is a
     training history, one with `data` and `target` a dataset, one of numbers
     alone (an empty one too) scalar metrics; any other is previewed by its
-    first five entries, keys cut at 30 and values at 50 characters.
+    first five entries, keys (always texts) cut at 30 and values at 50
+    characters, and the values' types. Shapes are those of nested lists.
     """
     values, keys = F.map_values(entries), F.map_keys(entries)
     as_list = lambda v: F.from_json(v, "array<double>", {"mode": "PERMISSIVE"})
@@ -128,7 +203,8 @@ def map_profile(entries: Column) -> Column:
     preview = F.array_join(F.transform(F.slice(F.map_entries(entries), 1, 5), lambda e: F.concat(truncated(e["key"], 30), F.lit("="), truncated(e["value"], 50))), ";")
     return F.struct(
         F.size(values).cast("long").alias("length"), detected.alias("detected"), F.array_join(keys, ",").alias("keys"),
-        F.when(history, length(F.element_at(values, 1))).cast("long").alias("n_epochs"), F.when(detected.isNull(), preview).alias("preview"),
+        F.when(history, length(F.element_at(values, 1))).cast("long").alias("n_epochs"), *[F.when(detected == "sklearn_dataset_dict", _json_shape(F.try_element_at(entries, F.lit(k)))).alias(f"{k}_shape") for k in ("data", "target")],
+        F.when(detected.isNull(), preview).alias("preview"), F.when(detected.isNull(), F.array_join(F.transform(F.slice(values, 1, 5), _json_type), ";")).alias("value_types"),
     )
 
 

@@ -75,11 +75,12 @@ def last_definitions(cells: DataFrame) -> DataFrame:
 
 
 def target_dependencies(cells: DataFrame) -> DataFrame:
-    """notebook, name, attr of what a target reads; attr is null for plain names."""
+    """notebook, name, attr of what a target reads; attr is null for plain names and `[]` for what is subscripted."""
     found = cells.select("notebook", dependencies(F.col("code")).alias("d"))
     names = found.select("notebook", F.explode("d.names").alias("name")).withColumn("attr", F.lit(None).cast("string"))
     pairs = found.select("notebook", F.explode("d.attributes").alias("p")).select("notebook", F.col("p.base").alias("name"), F.col("p.attr").alias("attr"))
-    return names.unionByName(pairs)
+    bases = found.select("notebook", F.explode("d.subscripts").alias("name")).withColumn("attr", F.lit("[]"))
+    return names.unionByName(pairs).unionByName(bases)
 
 
 def present(needed: DataFrame, namespace: DataFrame) -> DataFrame:

@@ -54,6 +54,18 @@ def unique_lookup(table: DataFrame, key: str, value: str) -> DataFrame:
     return table.groupBy(key).agg(F.count("*").alias("_n"), F.first(value).alias(value)).where("_n = 1").drop("_n")
 
 
+def ground_truth_text(detection: Column, diagnosis: Column) -> Column:
+    """`Ground truth: detection. diagnosis` after a line break, the detection spelt True or False; without a diagnosis nothing follows the blank. A missing detection gives an empty text."""
+    said = F.when(detection, "True").otherwise("False")
+    return F.when(detection.isNull(), "").otherwise(F.concat(F.lit("\nGround truth: "), said, F.lit(". "), F.coalesce(diagnosis, F.lit(""))))
+
+
+def with_ground_truth(rows: DataFrame, truth: DataFrame, key: str, detection: str, diagnosis: str, name: str = "ground_truth") -> DataFrame:
+    """rows with the text of their key's ground truth, empty where the key is absent or stands there more than once."""
+    text = truth.select(key, ground_truth_text(F.col(detection), F.col(diagnosis)).alias(name))
+    return looked_up(rows, text, key, name)
+
+
 def looked_up(rows: DataFrame, table: DataFrame, key: str, value: str, missing: str = "") -> DataFrame:
     """rows with the value of their key, or `missing` where the key is absent or stands there more than once."""
     return rows.join(unique_lookup(table, key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(missing)))

@@ -7,24 +7,37 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.labels import LIBRARY_ORDER, ROOT_CAUSE_ORDER, bare_grade, base_instance, is_crashing_twin, library_cause, listed_order, normalize_grade, shown_cause
 from verdigris.operators import metrics, summary, votes
+from verdigris.operators.grading import grade_findings
 
 
 def vote_summary(labels: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each instance with a column for each of `columns` ({model}_{task}): the bare majority grade over runs.
 
-    labels: instance, model, task, run, label as the readers give them. One
-    plan from files to the wide table; the exchanges are those of the vote's
-    two groupings and the pivot.
+    labels: instance, model, task, run, label as the readers give them; a row
+    without a run is a file without labels, whose vote is empty. One plan from
+    files to the wide table; the exchanges are those of the vote's two
+    groupings, the join with all files and the pivot.
     """
-    facts = labels.withColumn("label", normalize_grade(F.col("label"))).withColumn("system", F.concat_ws("_", "model", "task"))
-    voted = votes.majority_vote(facts, ["instance", "system"], "label", "run")
+    facts = _facts(labels)
+    voted = votes.majority_vote(facts, ["instance", "system"], "label", "run", facts)
     return summary.pivoted(voted.withColumn("vote", bare_grade(F.col("vote"))), ["instance"], "system", columns, "vote", "n_votes")
 
 
+def _facts(labels: DataFrame) -> DataFrame:
+    """Normalised labels under their system; where there is no run, there is no label to normalise."""
+    return labels.withColumn("label", F.when(F.col("run").isNotNull(), normalize_grade(F.col("label")))).withColumn("system", F.concat_ws("_", "model", "task"))
+
+
+def analyzer_summary(findings: DataFrame, columns: list[str], check_reasoning: bool = False) -> DataFrame:
+    """One row for each instance with a column for each of `columns` ({model}_{task}): the grade of what an analyzer found, which may be nothing. findings: as readers.analyzer_findings gives them."""
+    graded = findings.withColumn("system", F.concat_ws("_", "model", "task")).withColumn("grade", grade_findings(F.col("instance"), F.col("findings"), check_reasoning))
+    return summary.pivoted(graded, ["instance"], "system", columns, "grade", "library")
+
+
 def vote_of_rounds(labels: DataFrame, columns: list[str]) -> DataFrame:
     """As vote_summary over labels with a round: the majority of each round, then over rounds."""
-    facts = labels.withColumn("label", normalize_grade(F.col("label"))).withColumn("system", F.concat_ws("_", "model", "task"))
-    rounds = votes.majority_vote(facts, ["instance", "system", "round"], "label", "run").withColumn("vote", bare_grade(F.col("vote")))
+    facts = _facts(labels)
+    rounds = votes.majority_vote(facts, ["instance", "system", "round"], "label", "run", facts).withColumn("vote", bare_grade(F.col("vote")))
     voted = votes.vote_over_rounds(rounds.withColumnRenamed("vote", "label"), ["instance", "system"], "label", "round")
     return summary.pivoted(voted, ["instance"], "system", columns, "vote", "n_votes")
 

@@ -132,12 +132,12 @@ def p4_p5_p16_p17_keys(spark, sf_dir):
 
 @query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 7 = 1 THEN '' WHEN doc_id % 7 = 2 THEN 'None' WHEN doc_id % 7 = 3 THEN 'seaborn' WHEN doc_id % 7 = 4 THEN 'library cause' ELSE lang END AS cause FROM documents),
 f AS (SELECT doc_id, cause, CASE WHEN cause IS NULL OR cause IN ('None', '') THEN 'NBspecific' WHEN cause IN ('lightgbm', 'matplotlib', 'seaborn', 'statsmodels', 'torchvision') THEN 'other' ELSE cause END AS filled FROM d)
-SELECT doc_id, filled, CASE WHEN cause = 'library cause' THEN 'deprecated API' ELSE cause END AS shown FROM f""")
+SELECT doc_id, filled, CASE WHEN cause = 'library cause' THEN 'deprecated API' ELSE cause END AS shown, cause AS stored FROM f""")
 def p6_p7_p8_p9_causes(spark, sf_dir):
     k = F.col("doc_id") % 7
     cause = F.when(k == 0, None).when(k == 1, "").when(k == 2, "None").when(k == 3, "seaborn").when(k == 4, "library cause").otherwise(F.col("lang"))
     d = t(spark, sf_dir, "documents").select("doc_id", cause.alias("label")).withColumnRenamed("label", "cause")
-    return d.select("doc_id", L.library_cause(F.col("cause")).alias("filled"), L.shown_cause(F.col("cause")).alias("shown"))
+    return d.select("doc_id", L.library_cause(F.col("cause")).alias("filled"), L.shown_cause(F.col("cause")).alias("shown"), L.stored_cause(L.shown_cause(F.col("cause"))).alias("stored"))
 
 
 @query("SELECT p_partkey, CASE WHEN length(p_name) > 10 THEN p_name[:10] || '...' ELSE p_name END AS short FROM part")
@@ -158,12 +158,12 @@ def j1_p10_outer_with_match(spark, sf_dir):
     return summary.match_flags(both, "quality_human", "quality_llm")
 
 
-@query("""WITH h AS (SELECT doc_id, lang, source, CAST(n_chars % 2 AS INT) AS quality FROM documents WHERE lang = 'en'), s AS (SELECT doc_id, lang, length(text) AS quality FROM documents WHERE doc_id % 3 = 0),
+@query("""WITH h AS (SELECT doc_id, lang, source, CAST(n_chars % 2 AS INT) AS quality FROM documents WHERE lang = 'en'), s AS (SELECT doc_id, lang, length(text) AS quality FROM documents WHERE source <> 'src0'),
 a AS (SELECT coalesce(h.doc_id, l.doc_id) AS doc_id, lang, source, h.quality AS quality_human, l.quality AS quality_llm, toxic FROM h FULL JOIN labels l ON h.doc_id = l.doc_id)
 SELECT coalesce(a.doc_id, s.doc_id) AS doc_id, a.lang, source, quality_human, quality_llm, toxic, s.lang AS lang_sas, s.quality FROM a FULL JOIN s ON a.doc_id = s.doc_id""")
 def j2_outer_of_three(spark, sf_dir):
     first = summary.suffixed_outer(_human(spark, sf_dir), t(spark, sf_dir, "labels"), "doc_id", ("_human", "_llm"))
-    third = t(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id", "lang", F.length("text").cast("long").alias("quality"))
+    third = t(spark, sf_dir, "documents").where("source <> 'src0'").select("doc_id", "lang", F.length("text").cast("long").alias("quality"))
     return summary.suffixed_outer(first, third, "doc_id", ("", "_sas"))
 
 
@@ -209,6 +209,14 @@ def j8_scatter(spark, sf_dir):
     return summary.scattered(t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), new, "c_custkey", "c_mktsegment")
 
 
+@query("""WITH u AS (SELECT o_custkey, count(*) AS n, max(o_orderpriority) AS p, bool_or(o_orderstatus = 'O') AS d FROM orders GROUP BY 1)
+SELECT c_custkey, CASE WHEN n = 1 THEN chr(10) || 'Ground truth: ' || CASE WHEN d THEN 'True' ELSE 'False' END || '. ' || CASE WHEN d THEN p ELSE '' END ELSE '' END AS ground_truth FROM customer LEFT JOIN u ON o_custkey = c_custkey""")
+def j7_ground_truth_text(spark, sf_dir):
+    buggy = F.col("o_orderstatus") == "O"
+    truth = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), buggy.alias("detection"), F.when(buggy, F.col("o_orderpriority")).alias("diagnosis"))
+    return summary.with_ground_truth(t(spark, sf_dir, "customer").select("c_custkey"), truth, "c_custkey", "detection", "diagnosis")
+
+
 def _alias_map(spark, sf_dir):
     n = t(spark, sf_dir, "nation").where("n_nationkey % 3 <> 0")
     return n.select(F.lit("geo").alias("package"), F.concat(F.lit("geo."), "n_name").alias("internal"), F.concat(F.lit("geo.R"), F.col("n_regionkey").cast("string")).alias("public"))
@@ -361,9 +369,9 @@ def o5_listed_order(spark, sf_dir):
     return summary.positioned(s, L.listed_order(F.col("event_type"), F.col("first_seen"), ["purchase", "absent", "error"])).select("event_type", "position")
 
 
-@query("SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS run FROM events WHERE event_id % 10 = 0 GROUP BY 1")
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS run FROM events GROUP BY 1")
 def o6_ordered_list(spark, sf_dir):
-    e = t(spark, sf_dir, "events").where("event_id % 10 = 0")
+    e = t(spark, sf_dir, "events")
     return e.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]), ",").alias("run"))
 
 
@@ -416,14 +424,33 @@ def f3_value_ranges(spark, sf_dir):
     return profile.column_profile(t(spark, sf_dir, "labels"), names=profile.RANGE_NAMES).withColumnRenamed("column", "column_name")
 
 
-@query("SELECT 'series' AS type, 'double' AS dtype, count(*) AS length, false AS has_nan FROM part")
+def _values_sql(table: str, column: str) -> str:
+    text = f"CASE WHEN length(CAST({column} AS VARCHAR)) > 20 THEN left(CAST({column} AS VARCHAR), 20) || '...' ELSE CAST({column} AS VARCHAR) END"
+    return f"SELECT '{column}' AS column_name, (SELECT string_agg(v, ',' ORDER BY k) FROM (SELECT DISTINCT {column} AS k, {text} AS v FROM {table} WHERE {column} IS NOT NULL ORDER BY {column} LIMIT 5)) AS v, (SELECT count(DISTINCT {column}) FROM {table}) AS n"
+
+
+@query("WITH v AS (" + " UNION ALL ".join(_values_sql("part", c) for c in ("p_name", "p_brand", "p_type", "p_size")) + ") SELECT column_name, n AS num_unique, CASE WHEN n <= 5 AND column_name <> 'p_size' THEN v END AS unique_values, CASE WHEN n > 5 AND column_name <> 'p_size' THEN v END AS example_values FROM v")
+def f7_values(spark, sf_dir):
+    out = profile.with_values(t(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type", "p_size"])
+    return out.select(F.col("column").alias("column_name"), "num_unique", "unique_values", "example_values")
+
+
+@query("WITH f AS (SELECT quality, (doc_id % 3 + 9) * 5 AS third, 'c' || doc_id % 4 AS name FROM labels), v AS (" + " UNION ALL ".join(_values_sql("f", c) for c in ("quality", "third", "name")) + ") SELECT column_name, n AS num_unique, v AS unique_values FROM v")
+def f3_values(spark, sf_dir):
+    lab = t(spark, sf_dir, "labels").select("quality", ((F.col("doc_id") % 3 + 9) * 5).alias("third"), F.concat(F.lit("c"), (F.col("doc_id") % 4).cast("string")).alias("name"))
+    return profile.with_values(lab, names=profile.RANGE_NAMES).select(F.col("column").alias("column_name"), "num_unique", "unique_values")
+
+
+@query("SELECT 'series' AS type, (SELECT lower(column_type) FROM (DESCRIBE part) WHERE column_name = 'p_retailprice') AS dtype, count(*) AS length, count(*) > count(p_retailprice) AS has_nan FROM part")
 def f4_series(spark, sf_dir):
     return profile.series(t(spark, sf_dir, "part"), "p_retailprice")
 
 
-@query("SELECT l_orderkey % 100 AS k, count(*) AS n, max(l_quantity) AS value FROM lineitem GROUP BY 1")
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN event_type WHEN 2 THEN CASE WHEN value > 50 THEN 'true' ELSE 'false' END END AS value FROM events""")
 def f1_primitive(spark, sf_dir):
-    return t(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 100).alias("k")).agg(F.count("*").alias("n"), F.max("l_quantity").alias("value"))
+    k, e = F.col("event_id") % 5, t(spark, sf_dir, "events")
+    given = F.when(k == 0, F.col("event_id").cast("string")).when(k == 1, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(k == 2, (F.col("value") > 50).cast("string")).when(k == 3, F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("]"))).otherwise(F.col("props"))
+    return e.select("event_id", profile.primitive_value(given).alias("value"))
 
 
 @query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS length, '(' || len(embedding) || ')' AS shape FROM embeddings")
@@ -431,15 +458,23 @@ def f2_collection(spark, sf_dir):
     return t(spark, sf_dir, "embeddings").select("vec_id", profile.collection_length(F.col("embedding")).alias("length"), profile.shape_of(F.col("embedding")).alias("shape"))
 
 
-@query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS length, vec_id % 10 = 0 AS has_nan, CAST(list_min(embedding) AS DOUBLE) AS low, CAST(list_max(embedding) AS DOUBLE) AS high, false AS empty FROM embeddings")
+@query("SELECT vec_id, CAST(len(embedding) + CASE WHEN vec_id % 10 = 0 THEN 1 ELSE 0 END AS BIGINT) AS length, vec_id % 10 = 0 AS has_nan, CAST(list_min(embedding) AS DOUBLE) AS low, CAST(list_max(embedding) AS DOUBLE) AS high, false AS empty FROM embeddings")
 def f5_array(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings")
     hurt = F.when(F.col("vec_id") % 10 == 0, F.concat(F.slice("embedding", 2, 100), F.array(F.lit(float("nan")).cast("float")), F.slice("embedding", 1, 1))).otherwise(F.col("embedding"))
-    p = e.select("vec_id", profile.array_profile(hurt).alias("p")).select("vec_id", "p.*")
-    return p.withColumn("length", F.when(F.col("has_nan"), F.col("length") - 1).otherwise(F.col("length")))
+    return e.select("vec_id", profile.array_profile(hurt).alias("p")).select("vec_id", "p.*")
 
 
-@query("SELECT count(*) AS n_rows, CAST(6 AS BIGINT) AS n_columns, false AS has_nan, 'bigint:1,double:1,int:1,string:3' AS dtypes FROM part")
+@query("SELECT vec_id, '(2, ' || len(embedding) || ')' AS shape, 'float' AS dtype, vec_id % 10 = 0 AS has_nan, CAST(list_min(embedding) AS DOUBLE) AS low, CAST(list_max(embedding) AS DOUBLE) AS high, false AS empty, 'cpu' AS device FROM embeddings")
+def f5_f10_nested_arrays(spark, sf_dir):
+    e = t(spark, sf_dir, "embeddings").withColumn("x", F.array("embedding", F.when(F.col("vec_id") % 10 == 0, F.transform("embedding", lambda x: F.lit(float("nan")).cast("float"))).otherwise(F.col("embedding"))))
+    kind = e.schema["x"].dataType
+    p = e.select("vec_id", profile.nested_array_profile(F.col("x"), kind).alias("p"), profile.tensor_profile(F.col("x"), kind, F.lit("cpu"), F.lit(False)).alias("tensor"))
+    return p.select("vec_id", "p.*", "tensor.device")
+
+
+@query("""WITH k AS (SELECT CASE column_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS kind, count(*) AS n FROM (DESCRIBE part) GROUP BY 1)
+SELECT (SELECT count(*) FROM part) AS n_rows, CAST(sum(n) AS BIGINT) AS n_columns, (SELECT bool_or(p_partkey IS NULL OR p_name IS NULL OR p_brand IS NULL OR p_type IS NULL OR p_size IS NULL OR p_retailprice IS NULL) FROM part) AS has_nan, string_agg(kind || ':' || n, ',' ORDER BY kind) AS dtypes FROM k""")
 def f6_table(spark, sf_dir):
     return profile.table_profile(t(spark, sf_dir, "part"))
 
@@ -450,13 +485,18 @@ def f7_examples(spark, sf_dir):
     return profile.examples(t(spark, sf_dir, "part"), ["p_brand", "p_type"]).withColumnRenamed("column", "column_name")
 
 
-@query("SELECT event_id, CAST(1 AS BIGINT) AS length, 'scalar_metrics_dict' AS detected, 'k' AS keys, CAST(NULL AS BIGINT) AS n_epochs, CAST(NULL AS VARCHAR) AS preview FROM events")
+@query("""WITH e AS (SELECT event_id, event_type, event_id % 4 AS b FROM events)
+SELECT event_id, CAST(CASE b WHEN 0 THEN 1 WHEN 3 THEN 3 ELSE 2 END AS BIGINT) AS length, CASE b WHEN 0 THEN 'scalar_metrics_dict' WHEN 1 THEN 'training_history_dict' WHEN 2 THEN 'sklearn_dataset_dict' END AS detected,
+CASE b WHEN 0 THEN 'k' WHEN 1 THEN 'loss,acc' WHEN 2 THEN 'data,target' ELSE 'name,on,list' END AS keys, CASE WHEN b = 1 THEN event_id % 3 + 1 END AS n_epochs,
+CASE WHEN b = 2 THEN '(2, 3)' END AS data_shape, CASE WHEN b = 2 THEN '(2,)' END AS target_shape, CASE WHEN b = 3 THEN 'name=' || event_type || ';on=true;list=[1]' END AS preview, CASE WHEN b = 3 THEN 'str;bool;list' END AS value_types FROM e""")
 def f8_map(spark, sf_dir):
-    e = t(spark, sf_dir, "events").select("event_id", profile.map_profile(F.from_json("props", "map<string,string>")).alias("p"))
-    return e.select("event_id", "p.*")
+    b, e = F.col("event_id") % 4, t(spark, sf_dir, "events")
+    epochs = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("event_id") % 3 + 1).cast("int")), lambda x: x.cast("string")), ",")
+    given = F.when(b == 0, F.col("props")).when(b == 1, F.format_string('{"loss": [%s], "acc": [%s]}', epochs, epochs)).when(b == 2, '{"data": [[1, 2, 3], [4, 5, 6]], "target": [0, 1]}').otherwise(F.format_string('{"name": "%s", "on": true, "list": [1]}', "event_type"))
+    return e.select("event_id", profile.map_profile(F.from_json(given, "map<string,string>")).alias("p")).select("event_id", "p.*")
 
 
-@query("SELECT 'embedding' AS field, '64' AS sizes")
+@query("WITH s AS (SELECT DISTINCT len(embedding) AS n FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 10)) SELECT 'embedding' AS field, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS sizes FROM s")
 def f15_sampled_shapes(spark, sf_dir):
     return profile.sampled_shapes(t(spark, sf_dir, "embeddings"), ["embedding"], "vec_id")
 
@@ -494,6 +534,15 @@ def p13_substring_filter(spark, sf_dir):
     return f.where(diagnostics.keeps_b(F.col("event_type"), F.col("rule"), F.col("message"), ["import-error"])).select("event_id", "rule", "message")
 
 
+@query(f"""WITH f AS (SELECT event_id, event_type, message, CASE k % 5 WHEN 0 THEN 'reportMissingImports' WHEN 1 THEN 'reportPossiblyUnboundVariable' WHEN 2 THEN 'reportCallIssue' WHEN 3 THEN 'reportAssignmentType' END AS rule FROM ({_FINDINGS}))
+SELECT event_id, rule, message FROM f WHERE event_type = 'error' AND coalesce(rule, '') NOT IN ('reportMissingImports', 'reportPossiblyUnboundVariable', 'reportAssignmentType') AND NOT contains(message, 'Expected expression')""")
+def p13_default_rules(spark, sf_dir):
+    k = F.col("k") % 5
+    rule = F.when(k == 0, "reportMissingImports").when(k == 1, "reportPossiblyUnboundVariable").when(k == 2, "reportCallIssue").when(k == 3, "reportAssignmentType")
+    f = findings(spark, sf_dir).withColumn("rule", rule)
+    return f.where(diagnostics.keeps_b(F.col("event_type"), F.col("rule"), F.col("message"))).select("event_id", "rule", "message")
+
+
 @query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l, CAST(doc_id % 4 AS INT) AS n FROM documents)
 SELECT doc_id, n || ': ' || coalesce(CASE WHEN n >= 1 THEN l[n] END, '') AS line_a, (n + 1) || ': ' || coalesce(l[n + 1], '') AS line_b FROM d""")
 def p14_code_lines(spark, sf_dir):
@@ -614,11 +663,11 @@ def q5_o6_t18_prompts(spark, sf_dir):
 
 def documents_with_markers(spark, sf_dir) -> DataFrame:
     k = F.col("doc_id") % 4
-    text = F.concat(F.lit("head\n"), F.when(k != 0, X.RUNTIME).otherwise(""), F.left("text", F.lit(60)), F.when(k != 1, F.lit("\n" + X.TARGET)).otherwise(""), F.lit("tail"))
+    text = F.concat(F.lit("head\n"), F.when(k != 0, X.RUNTIME).otherwise(""), F.coalesce("text", F.lit("")), F.when(k != 1, F.lit("\n" + X.TARGET)).otherwise(""), F.lit("tail"))
     return t(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
 
-_MARKED = """SELECT doc_id, 'head' || chr(10) || CASE WHEN doc_id % 4 <> 0 THEN '# Current relevent runtime information:' || chr(10) ELSE '' END || left(text, 60) || CASE WHEN doc_id % 4 <> 1 THEN chr(10) || '# Target Cell:' || chr(10) ELSE '' END || 'tail' AS text FROM documents"""
+_MARKED = """SELECT doc_id, 'head' || chr(10) || CASE WHEN doc_id % 4 <> 0 THEN '# Current relevent runtime information:' || chr(10) ELSE '' END || coalesce(text, '') || CASE WHEN doc_id % 4 <> 1 THEN chr(10) || '# Target Cell:' || chr(10) ELSE '' END || 'tail' AS text FROM documents"""
 
 
 @query(f"""WITH m AS ({_MARKED}), p AS (SELECT *, strpos(text, '# Current relevent runtime information:' || chr(10)) AS a, strpos(text, '# Target Cell:' || chr(10)) AS b FROM m)
@@ -640,9 +689,9 @@ def q8_last_definitions(spark, sf_dir):
     return sequence.last_definitions(cells(spark, sf_dir).where("execution_count IS NOT NULL"))
 
 
-@query("""SELECT p_partkey AS notebook, unnest(['print', 'x' || p_size]) AS name, NULL AS attr FROM part UNION ALL SELECT p_partkey, 'x' || p_size, 'shape' FROM part""")
+@query("""SELECT p_partkey AS notebook, unnest(['print', 'x' || p_size, 'z']) AS name, NULL AS attr FROM part UNION ALL SELECT p_partkey, 'x' || p_size, 'shape' FROM part UNION ALL SELECT p_partkey, 'z', '[]' FROM part""")
 def q9_dependencies(spark, sf_dir):
-    p = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("notebook"), F.format_string("y = 1\ndef f():\n    return hidden\nprint(x%d.shape)", "p_size").alias("code"))
+    p = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("notebook"), F.format_string("y = 1\ndef f():\n    return hidden[0]\nprint(x%d.shape, z[1])", "p_size").alias("code"))
     return sequence.target_dependencies(p)
 
 
@@ -662,10 +711,10 @@ def t1_t6_text_functions(spark, sf_dir):
     )
 
 
-@query("""WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h[1-6])[^>]*>[^<]*</h[1-6]>', 1)) AS tag FROM pages) SELECT page_id, tag, count(*) AS n FROM m GROUP BY ALL""")
+@query("""WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h[1-6])[^>]*>([^<]*)</h[1-6]>', 1)) AS tag, unnest(regexp_extract_all(html, '<(h[1-6])[^>]*>([^<]*)</h[1-6]>', 2)) AS title FROM pages) SELECT page_id, tag, title, count(*) AS n FROM m GROUP BY ALL""")
 def t7_find_all(spark, sf_dir):
     p = t(spark, sf_dir, "pages").select("page_id", F.explode(X.pairs_of(F.col("html"), "<(h[1-6])[^>]*>([^<]*)</h[1-6]>")).alias("x"))
-    return p.groupBy("page_id", F.col("x.first").alias("tag")).agg(F.count("*").alias("n"))
+    return p.groupBy("page_id", F.col("x.first").alias("tag"), F.col("x.second").alias("title")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, event_type || ' plain' AS text FROM events")
@@ -695,6 +744,15 @@ def t12_literals(spark, sf_dir):
     return p.select("p_partkey", F.explode(typed_names(F.col("info"))).alias("x")).select("p_partkey", "x.*")
 
 
+@query("""SELECT p_partkey, unnest(['a', 'x' || p_size, 'm']) AS name, unnest(['int', 'pandas.' || p_brand, '<class ''q.Z''>']) AS type FROM part""")
+def t12_fallback(spark, sf_dir):
+    from verdigris.functions.code import typed_names
+
+    info = F.format_string("{'a': {'type': 'int', 'v': <x.Y object at 0x1f>}, 'x%d': {'type': 'pandas.%s', 'shape': (1, 2}, '__method__f': {'type': 'int'}, 'm': {'type': \"<class 'q.Z'>\"}, broken", "p_size", "p_brand")
+    p = t(spark, sf_dir, "part").select("p_partkey", F.explode(typed_names(info)).alias("x"))
+    return p.select("p_partkey", "x.*")
+
+
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_brand END AS cleaned FROM part")
 def t13_clean_type(spark, sf_dir):
     p, k = t(spark, sf_dir, "part"), F.col("p_size") % 4

@@ -15,10 +15,15 @@ def whole_texts(spark: SparkSession, path: str, glob: str | None = None) -> Data
     return files.select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("_metadata.file_name", "^(.*?)(?:\\.[^.]*)?$", 1).alias("name"), "value")
 
 
+def json_arrays(spark: SparkSession, path: str, element: str = "string") -> DataFrame:
+    """path, name, items: one JSON array in each file, an empty one too. Objects in an array of strings come as JSON text; a file that is no array gives no row."""
+    files = whole_texts(spark, path, "*.json").where("value rlike '^\\\\s*\\\\['")
+    return files.select("path", "name", F.from_json("value", f"array<{element}>").alias("items")).where("items IS NOT NULL")
+
+
 def json_lists(spark: SparkSession, path: str, element: str = "string") -> DataFrame:
-    """path, name, pos, item: the elements of one JSON array in each file. Objects in an array of strings come as JSON text; a file that is no array gives no rows."""
-    files = whole_texts(spark, path, "*.json")
-    return files.select("path", "name", F.posexplode(F.from_json("value", f"array<{element}>")).alias("pos", "item"))
+    """path, name, pos, item: the elements of json_arrays; a file with an empty array has one row with neither pos nor item."""
+    return json_arrays(spark, path, element).select("path", "name", F.posexplode_outer("items").alias("pos", "item"))
 
 
 def _parts(path: Column, root: str) -> Column:
@@ -30,7 +35,8 @@ def label_tree(spark: SparkSession, root: str, libraries: list[str] | None = Non
     """model, task, instance, run, label of {root}/{model}/{task}/[{library}/]{instance}.json.
 
     With `libraries`, files of these libraries and folders of these names;
-    without, all files at the top and the folder `other`.
+    without, all files at the top and the folder `other`. A file without labels
+    has one row with neither run nor label.
     """
     items = json_lists(spark, root).withColumn("_p", _parts(F.col("path"), root))
     folder = F.when(F.size("_p") >= 4, F.element_at("_p", 3))
@@ -40,11 +46,17 @@ def label_tree(spark: SparkSession, root: str, libraries: list[str] | None = Non
 
 
 def analyzer_tree(spark: SparkSession, root: str, libraries: list[str], element: str = "string") -> DataFrame:
-    """model, task, library, instance, run, label of {root}/{model}/{task}/{library}/{instance}.json for the given libraries."""
+    """model, task, library, instance, run, label of {root}/{model}/{task}/{library}/{instance}.json for the given libraries; a file without labels has one row with neither run nor label."""
+    files = analyzer_findings(spark, root, libraries, element)
+    return files.select("model", "task", "library", "instance", F.posexplode_outer("findings").alias("run", "label"))
+
+
+def analyzer_findings(spark: SparkSession, root: str, libraries: list[str], element: str = "string") -> DataFrame:
+    """model, task, library, instance, findings: one row for each file of the tree, with an empty array where nothing was found."""
     if libraries is None:
         raise ValueError("libraries are required")
-    items = json_lists(spark, root, element).withColumn("_p", _parts(F.col("path"), root)).where(F.size("_p") == 4)
-    return items.where(F.element_at("_p", 3).isin(libraries)).select(F.element_at("_p", 1).alias("model"), F.element_at("_p", 2).alias("task"), F.element_at("_p", 3).alias("library"), F.col("name").alias("instance"), F.col("pos").alias("run"), F.col("item").alias("label"))
+    files = json_arrays(spark, root, element).withColumn("_p", _parts(F.col("path"), root)).where(F.size("_p") == 4)
+    return files.where(F.element_at("_p", 3).isin(libraries)).select(F.element_at("_p", 1).alias("model"), F.element_at("_p", 2).alias("task"), F.element_at("_p", 3).alias("library"), F.col("name").alias("instance"), F.col("items").alias("findings"))
 
 
 def sheet(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
