@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigris.llm import langid, linededup, mixing, ngramjoin, packing, pii, sharding, toxicity
+from verdigris.llm.common import linked_components
 
 DOCS = "doc_id long, text string"
 
@@ -337,6 +338,26 @@ def test_plans_give_each_rank_one_place(seed):
     assert len(used) == n <= 1.05 * len(bins) + 2
 
 
+def test_a_plan_too_long_takes_fewer_groups(monkeypatch):
+    rng = random.Random(5)
+    histogram = {rng.randint(1, 640): rng.randint(1, 40) for _ in range(200)}
+    wide = packing.best_plan(histogram, 640)
+    monkeypatch.setattr(packing, "PLAN_ROWS", len(wide[0]) - 1)
+    narrow = packing.best_plan(histogram, 640)
+    assert len(narrow[0]) < len(wide[0]) and narrow[1] >= -(-sum(k * c for k, c in histogram.items()) // 640)
+    monkeypatch.setattr(packing, "PLAN_ROWS", 1)
+    assert packing.best_plan(histogram, 640)[1] == packing.plan(histogram, 640, 1)[1]
+
+
+def test_components_of_long_paths(spark):
+    n = 700
+    order = random.Random(2).sample(range(n), n)
+    links = [(a, b) for a, b in zip(order, order[1:])] + [(1000, 1001), (1002, 1002)]
+    got = {r.id: r.component for r in linked_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(n)}, 1000: 1000, 1001: 1000}
+    assert linked_components(spark.createDataFrame([(3, 3)], "a long, b long")) is None
+
+
 def test_mix_keeps_budgets_and_prefixes(spark):
     rows = [(i, "w " * (i % 7), "abc"[i % 3], None if i % 11 == 0 else "xyz"[i % 2], i) for i in range(400)]
     df = spark.createDataFrame(rows, f"{DOCS}, kind string, origin string, start int")

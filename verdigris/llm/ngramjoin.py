@@ -293,17 +293,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Each node and the hub of most of its tokens.
     offers = members.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("common"))
     best = offers.groupBy("node").agg(F.max_by("hub", F.struct("common", "hub")).alias("hub"))
-    pairs = best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = written(_verify(sets, written(pairs.withColumn("ca", F.col("a")).withColumn("cb", F.col("b")), "pairs"), rule), "links")
-    labels = _relabelled(wanted.select("node", F.col("node").alias("component")), links)
+    pairs = written(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("node").alias("ca"), F.col("hub").alias("cb")), "pairs")
+    links = written(_verify(sets, pairs, rule), "links")
+    # A hub has the smallest hash of its token's nodes, so nodes and their hubs make trees: a node takes its hub's hub's label.
+    labels = wanted.select("node").join(by_key(links.select(F.col("ca").alias("node"), F.col("cb").alias("hub"))), "node", "left").select("node", F.coalesce("hub", "node").alias("component"))
+    for _ in range(2):
+        labels = written(labels, "labels")
+        labels = labels.join(by_key(labels.select(F.col("node").alias("component"), F.col("component").alias("next"))), "component").select("node", F.col("next").alias("component"))
+    labels = written(labels, "labels")
     for first in (True, False):
         now = members.drop("hub", "m").join(by_key(labels), "node")
         groups = written(_groups(now), "groups")
-        if groups.isEmpty():
-            break
         active = written(now.join(by_key(groups.select("token", "m")), "token").join(by_key(sets.select("node", "sketch")), "node"), "active")
-        links = written(_verify(sets, written(_residual(active, rule, first), "pairs"), rule), "links")
-        labels = _relabelled(labels, links)
+        found = written(_verify(sets, written(_residual(active, rule, first), "pairs"), rule), "links")
+        # At first the labels are no whole components, and the links of nodes to their hubs count too.
+        labels = _relabelled(labels, found.unionByName(links) if first else found)
     drop_written(sets, members)
 
     # Each node's component, and the smallest id in it.

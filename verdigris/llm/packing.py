@@ -30,7 +30,7 @@ from verdigris.llm.common import by_key, kept_in_worker, small_batches, written
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 #: Numbers of groups that are planned; the plan of the fewest sequences holds.
 GROUPS = (64, 128)
-#: A plan has a few runs for each length; more than this would be a defect, and it is sent to every worker.
+#: A plan goes to every worker. It has a few runs for each length and group, so fewer groups make a smaller one.
 PLAN_ROWS = 1_000_000
 
 
@@ -251,17 +251,21 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 64,
                 put(room - c * l, first, 1)
                 put(room, first + 1, count - 1)
             rank, c = rank + used, c - used
-    if len(runs) > PLAN_ROWS:
-        raise RuntimeError(f"packing plan of {len(runs)} runs")
     return np.array(sorted(runs), np.int64).reshape(-1, 5), n_seq
 
 
+def best_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> tuple[np.ndarray, int]:
+    """The plan of the fewest sequences among those of these numbers of groups that have at most PLAN_ROWS runs; if none has, of half the groups, down to one."""
+    fitting = [p for g in groups for p in [plan(histogram, capacity, g)] if len(p[0]) <= PLAN_ROWS or g == 1]
+    return min(fitting, key=lambda p: p[1]) if fitting else best_plan(histogram, capacity, (max(1, min(groups) // 2),))
+
+
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (a written table of token_pieces)."""
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = written(counts, "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs, _ = min((plan(histogram, capacity, groups) for groups in GROUPS), key=lambda p: p[1])
+    runs, _ = best_plan(histogram, capacity)
     keys = runs[:, 0] * (1 << 50) + runs[:, 1]
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
