@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import by_key, drop_written, unit_hash, written
 
-SHARDS, ROUNDS, ENOUGH, SLACK, MIN_LINE, UNIT = 24, 16, 0.005, 0.02, 40, 1000
+SHARDS, ROUNDS, ENOUGH, SLACK, MIN_LINE, UNIT = 24, 8, 0.01, 0.02, 40, 1000
 
 
 def _shared(lines: DataFrame, units: DataFrame) -> DataFrame:
@@ -68,21 +68,23 @@ def propagate(units: DataFrame, shared: DataFrame, shards: int, rows: int, round
     spark = units.sparkSession
     labels, kept = units.select("unit", "rows", "shard"), []
     for at in range(rounds):
-        labelled = written(shared.join(by_key(labels.select("unit", "shard")), "unit"), "labelled")
+        labelled = written(shared.join(by_key(labels), "unit"), "labelled")
         spread = written(_spread(labelled), "spread")
-        sums = spread.agg(F.sum("most").alias("most"), F.sum("m").alias("m")).collect()[0]
-        if not sums["m"]:
+        all_of = spread.agg(F.sum("most").alias("most"), F.sum("m").alias("m")).collect()[0]
+        if not all_of["m"]:
             break
-        kept.append(sums["most"] / sums["m"])
+        kept.append(all_of["most"] / all_of["m"])
         if at >= 2 and at % 2 == 0 and kept[-1] - kept[-3] < ENOUGH:
             break
-        votes = labelled.join(by_key(spread.select("line", "m", "by")), "line").select("unit", "shard", "m", F.explode("by").alias("x"))
+        votes = labelled.join(by_key(spread.select("line", "m", "by")), "line").select("unit", "rows", "shard", "m", F.explode("by").alias("x"))
         others = F.col("x.n") - F.when(F.col("x.shard") == F.col("shard"), 1).otherwise(0)
-        votes = votes.select("unit", "shard", F.col("x.shard").alias("to"), F.floor(others * UNIT / (F.col("m") - 1)).alias("weight")).groupBy("unit", "shard", "to").agg(F.sum("weight").alias("weight"))
-        best = votes.groupBy("unit", "shard").agg(F.max(F.struct("weight", -F.col("to"), "to"))["to"].alias("to"), F.max("weight").alias("most"), F.sum(F.when(F.col("to") == F.col("shard"), F.col("weight")).otherwise(0)).alias("here"))
+        votes = votes.select("unit", "rows", "shard", F.col("x.shard").alias("to"), F.floor(others * UNIT / (F.col("m") - 1)).alias("weight"))
+        # dealt by unit once for both sums
+        sums = votes.repartition("unit").groupBy("unit", "rows", "shard", "to").agg(F.sum("weight").alias("weight"))
+        best = sums.groupBy("unit", "rows", "shard").agg(F.max(F.struct("weight", -F.col("to"), "to"))["to"].alias("to"), F.max("weight").alias("most"), F.sum(F.when(F.col("to") == F.col("shard"), F.col("weight")).otherwise(0)).alias("here"))
         gain = F.col("most") - F.col("here")
-        wish = best.where((gain > 0) & ((F.col("to") > F.col("shard")) if at % 2 == 0 else (F.col("to") < F.col("shard")))).select("unit", "to", F.floor(F.log2(gain) * 4).cast("int").alias("gain"))
-        wish = written(wish.join(by_key(labels), "unit"), "wishes")
+        wish = best.where((gain > 0) & ((F.col("to") > F.col("shard")) if at % 2 == 0 else (F.col("to") < F.col("shard")))).select("unit", "rows", "shard", "to", F.floor(F.log2(gain) * 4).cast("int").alias("gain"))
+        wish = written(wish, "wishes")
         counted = wish.groupBy("shard", "to", "gain").agg(F.sum("rows").alias("rows")).collect()
         if counted:
             load = np.zeros(shards)
