@@ -116,6 +116,11 @@ def by_key(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def by_hash(df: DataFrame) -> DataFrame:
+    """df, to be joined by a hash table of its shuffled part: for a side of one short row a key, which is far smaller than the other, so that the other need not be sorted. A hot key of the other side is split as in by_key."""
+    return df.hint("shuffle_hash")
+
+
 def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
     """A number in [0, 1) from a seeded hash of the columns."""
     return (F.xxhash64(F.lit(seed), *cols).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).cast("double")

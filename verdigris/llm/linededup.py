@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import by_key, drop_written, fresh, small_batches, written
+from verdigris.llm.common import by_hash, by_key, drop_written, fresh, small_batches, written
 
 #: Words of a run that makes a pair; of a whole line that does; of a block that goes from a pair.
 MIN_WORDS, LINE_WORDS, BLOCK_WORDS = 20, 8, 8
@@ -292,7 +292,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = written(source.mapInArrow(scan, "id long, th long, hashes array<long>, words array<int>, broken array<boolean>, runs array<long>"), "lines")
     # Most hashes stand once: they are counted alone, before any document is named.
     often = written(lines.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").alias("m")).where("m > 1"), "often")
-    hits = written(lines.select("id", "th", F.explode("runs").alias("run")).join(by_key(often), "run"), "hits")
+    hits = written(lines.select("id", "th", F.explode("runs").alias("run")).join(by_hash(often), "run"), "hits")
     doc = F.struct("id", "th")
     owners = written(hits.groupBy("run").agg(F.min(doc).alias("own"), F.max(doc).alias("last")).where("own <> last").select("run", "own"), "owners")
     salts = lambda m: F.ceil(F.col(m) / SALT_ROWS).cast("int")

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import by_key, drop_written, fresh, kept_in_worker, linked_components, small_batches, written
+from verdigris.llm.common import by_hash, by_key, drop_written, fresh, kept_in_worker, linked_components, small_batches, written
 
 BLOCK, SKETCH_BITS, EARLY = 256, 512, 1.6
 #: After the hubs, rounds over this part of all pairs, and over the other pairs.
@@ -264,7 +264,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     told = scanned.where("size(told) > 0").select("node", F.explode("told").alias("token"))
     df = written(told.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("df")).where("low <> high").select("token", "df"), "df")
     late = F.shiftrightunsigned("token", 1) >= F.lit(early >> 1)
-    shared = told.join(by_key(df), "token").groupBy("node").agg(F.sort_array(F.collect_set(F.struct(late.alias("late"), "df", "token"))).alias("by_df")).join(by_key(nodes), "node")
+    shared = told.join(by_hash(df), "token").groupBy("node").agg(F.sort_array(F.collect_set(F.struct(late.alias("late"), "df", "token"))).alias("by_df")).join(by_key(nodes), "node")
     n_late = F.size(F.filter("by_df", lambda x: x["late"]))
     alone = F.col("under") - (F.size("by_df") - n_late)
     late_alone = F.col("n_told") - F.col("under") - n_late
