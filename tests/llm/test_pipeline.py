@@ -3,8 +3,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
+from test_text_operators import brute_components, brute_severity
 
 import corpus_pipeline
+from verdigris.llm import toxicity
 from verdigris.llm import queries as Q
 
 
@@ -21,6 +24,56 @@ def test_stages(spark, sf):
     assert "sequence_id" in packed.columns
 
 
+def test_stages_row_by_row(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs.limit(2)).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(9_000_000)))
+    docs.unionByName(extra).coalesce(2).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    rows = docs.collect()
+    key = lambda rows: sorted(repr(tuple(r)) for r in rows)
+
+    # toxicity: what the model's plain sums reject goes, all else stays
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    severe = lambda text: 1 - brute_mass_of_none(model, text) >= toxicity.REJECT_AT
+    clean = corpus_pipeline.toxicity_filter(spark, docs, sf)
+    assert key(clean.collect()) == key([r for r in rows if not severe(r.text)])
+    assert brute_severity(model, None)[1] == 0
+
+    # line dedup: no row but those that had words and keep none goes, null ids and texts stay
+    lines = corpus_pipeline.line_dedup(spark, docs, sf).collect()
+    assert sum(r.doc_id is None for r in lines) == 3 and sum(r.text is None for r in lines) == sum(r.text is None for r in rows)
+    before = {r.doc_id: r.text for r in rows}
+    assert all(r.doc_id is None or r.text is None or len(r.text) <= len(before[r.doc_id]) and r.n_chars in (len(r.text), next(x.n_chars for x in rows if x.doc_id == r.doc_id)) for r in lines)
+
+    # near copies: one document of each group stays
+    known = [(r.doc_id, r.text) for r in rows if r.doc_id is not None]
+    groups = brute_components(known, 5, 80)
+    near = corpus_pipeline.near_copies(spark, docs, sf).collect()
+    assert key(near) == key([r for r in rows if r.doc_id is None or groups[r.doc_id][1] == r.doc_id])
+
+    # mix: rows of the table, as many words as the share but for one document a leaf
+    mixed = corpus_pipeline.mix_sources(spark, docs, sf).collect()
+    assert not set(key(mixed)) - set(key(rows))
+    total, taken = (sum(len((r.text or "").split()) for r in x) for x in (rows, mixed))
+    leaves = {(r.lang, r.source) for r in rows}
+    longest = max(len((r.text or "").split()) for r in rows)
+    assert corpus_pipeline.MIX_SHARE * total - 1 <= taken <= corpus_pipeline.MIX_SHARE * total + len(leaves) * longest
+
+    # packing: each row once
+    packed = corpus_pipeline.pack(spark, docs, sf).where("piece = 0").collect()
+    assert sorted(repr(r.doc_id) for r in packed) == sorted(repr(r.doc_id) for r in rows)
+
+
+def brute_mass_of_none(model, text):
+    """P(grade = 0) by the sums of brute_severity, through a model of the first threshold alone."""
+    return 1 - brute_severity(toxicity.OrdinalModel(model.weights, model.thresholds[:1]), text)[0]
+
+
+def test_run_leaves_only_the_last_table(spark, sf):
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() > 0 and [os.path.basename(p) for p in glob.glob(os.path.dirname(out._verdigris_path.removeprefix("file://")) + "/*")] == ["best_fit_packing"]
+
+
 def test_stages_on_empty_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
