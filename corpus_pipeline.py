@@ -1,4 +1,4 @@
-"""A corpus pipeline of five stages, each written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline of five stages, each written as Parquet and read again as the next one's documents. Columns besides those of documents go along until packing."""
 
 from __future__ import annotations
 
@@ -16,20 +16,20 @@ MIX_SHARE = 0.75
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model finds toxic go. Labels say what is toxic; the model reads texts alone."""
+    """Documents that the ordinal model finds toxic go. Labels say what is toxic; the model reads texts alone. Null and empty texts, null ids and repeated rows are judged like any other row."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where("not is_toxic").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated blocks of lines go from later documents; a document that had words and keeps none goes. n_chars follows the text."""
+    """Repeated blocks of lines go from later documents; a document that had words and keeps none goes. n_chars follows the text. Rows with a null id or text stay as they are."""
     out = linededup.dedup_lines(docs)
     out = out.where("lines_removed = 0 or text rlike '\\\\S'")
     return out.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays that links of Jaccard similarity 0.8 over 5-word shingles make."""
+    """One document, that of the smallest id, of each group stays that links of Jaccard similarity 0.8 over 5-word shingles make. Rows with a null id and texts without words stay, so do all rows of an id that stays."""
     return ngramjoin.drop_near_copies(docs).select(*docs.columns)
 
 
@@ -40,6 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, null texts as empty ones, packed into sequences."""
     return packing.pack(docs)
 
 
