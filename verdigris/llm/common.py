@@ -18,6 +18,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 #: Records handed to a Python worker at once; texts can be long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 1000
+FEW, LEAST_TASKS = 50_000, 12
 #: With this setting Spark removes an action's shuffle files when the action ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -79,16 +80,20 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
-def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, folder: str | None = None, rows: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
 
+    rows: how many there are at most, given for tables of a few numbers a row
+    alone. They are then written by a task for each FEW of them, of which a
+    task takes a moment, and not by every shuffle partition there may be.
+
     It is removed by drop_written, or else when the interpreter ends: a lazy
     result still reads its last tables.
     """
     spark = df.sparkSession
     path = f"{folder or f'{shared_dir(spark)}/verdigris-{uuid.uuid4().hex}'}/{name}"
     with shuffles_removed(spark):
-        df.write.parquet(path)
+        (df if rows is None else df.coalesce(max(LEAST_TASKS, rows // FEW))).write.parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._verdigris_path = path
@@ -143,11 +148,12 @@ def linked_components(links: DataFrame) -> DataFrame | None:
         return None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), "low")
-        large = written(both.where("v > u").join(by_key(low), "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct(), "large")
-        low_of = written(large.groupBy("u").agg(F.min("v").alias("low")), "low")
+        n = 2 * before[0]
+        low = written(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), "low", rows=n)
+        large = written(both.where("v > u").join(by_key(low), "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct(), "large", rows=n)
+        low_of = written(large.groupBy("u").agg(F.min("v").alias("low")), "low", rows=n)
         ends = F.explode(F.array("u", "v")).alias("u")
-        new = written(large.join(by_key(low_of), "u").select(ends, F.col("low").alias("v")).where("u <> v").distinct(), "edges")
+        new = written(large.join(by_key(low_of), "u").select(ends, F.col("low").alias("v")).where("u <> v").distinct(), "edges", rows=n)
         drop_written(edges, low, large, low_of)
         edges, now = new, sign(new)
         if now == before:

@@ -214,13 +214,13 @@ def _groups(members: DataFrame) -> DataFrame:
     return ends.where("low <> high").select("token", "hub", "m")
 
 
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (node, component) after links between components (ca, cb)."""
+def _relabelled(labels: DataFrame, links: DataFrame, rows: int) -> DataFrame:
+    """labels (node, component), rows of them, after links between components (ca, cb)."""
     joined = linked_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     if joined is None:
         return labels
     into = joined.select(F.col("id").alias("component"), F.col("component").alias("into"))
-    return written(labels.join(by_key(into), "component", "left").select("node", F.coalesce("into", "component").alias("component")), "labels")
+    return written(labels.join(by_key(into), "component", "left").select("node", F.coalesce("into", "component").alias("component")), "labels", rows=rows)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -296,18 +296,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = written(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("node").alias("ca"), F.col("hub").alias("cb")), "pairs")
     links = written(_verify(sets, pairs, rule), "links")
     # A hub has the smallest hash of its token's nodes, so nodes and their hubs make trees: a node takes its hub's hub's label.
+    n = wanted.count()
     labels = wanted.select("node").join(by_key(links.select(F.col("ca").alias("node"), F.col("cb").alias("hub"))), "node", "left").select("node", F.coalesce("hub", "node").alias("component"))
     for _ in range(2):
-        labels = written(labels, "labels")
+        labels = written(labels, "labels", rows=n)
         labels = labels.join(by_key(labels.select(F.col("node").alias("component"), F.col("component").alias("next"))), "component").select("node", F.col("next").alias("component"))
-    labels = written(labels, "labels")
+    labels = written(labels, "labels", rows=n)
     for first in (True, False):
         now = members.drop("hub", "m").join(by_key(labels), "node")
         groups = written(_groups(now), "groups")
         active = written(now.join(by_key(groups.select("token", "m")), "token").join(by_key(sets.select("node", "sketch")), "node"), "active")
         found = written(_verify(sets, written(_residual(active, rule, first), "pairs"), rule), "links")
         # At first the labels are no whole components, and the links of nodes to their hubs count too.
-        labels = _relabelled(labels, found.unionByName(links) if first else found)
+        labels = _relabelled(labels, found.unionByName(links) if first else found, n)
     drop_written(sets, members)
 
     # Each node's component, and the smallest id in it.

@@ -66,10 +66,10 @@ def _accepted(spark: SparkSession, wishes: list, load: np.ndarray, most: float)
 def propagate(units: DataFrame, shared: DataFrame, shards: int, rows: int, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
     """unit, shard after the rounds. units: unit, rows, shard; shared: as from _shared."""
     spark = units.sparkSession
-    labels, kept = units.select("unit", "rows", "shard"), []
+    labels, kept, n, n_units = units.select("unit", "rows", "shard"), [], shared.count(), units.count()
     for at in range(rounds):
-        labelled = written(shared.join(by_key(labels), "unit"), "labelled")
-        spread = written(_spread(labelled), "spread")
+        labelled = written(shared.join(by_key(labels), "unit"), "labelled", rows=n)
+        spread = written(_spread(labelled), "spread", rows=n)
         all_of = spread.agg(F.sum("most").alias("most"), F.sum("m").alias("m")).collect()[0]
         if not all_of["m"]:
             break
@@ -84,7 +84,7 @@ def propagate(units: DataFrame, shared: DataFrame, shards: int, rows: int, round
         best = sums.groupBy("unit", "rows", "shard").agg(F.max(F.struct("weight", -F.col("to"), "to"))["to"].alias("to"), F.max("weight").alias("most"), F.sum(F.when(F.col("to") == F.col("shard"), F.col("weight")).otherwise(0)).alias("here"))
         gain = F.col("most") - F.col("here")
         wish = best.where((gain > 0) & ((F.col("to") > F.col("shard")) if at % 2 == 0 else (F.col("to") < F.col("shard")))).select("unit", "rows", "shard", "to", F.floor(F.log2(gain) * 4).cast("int").alias("gain"))
-        wish = written(wish, "wishes")
+        wish = written(wish, "wishes", rows=n_units)
         counted = wish.groupBy("shard", "to", "gain").agg(F.sum("rows").alias("rows")).collect()
         if counted:
             load = np.zeros(shards)
@@ -92,7 +92,7 @@ def propagate(units: DataFrame, shared: DataFrame, shards: int, rows: int, round
                 load[r["shard"]] = r["rows"]
             part = _accepted(spark, counted, load, rows / shards * (1 + slack))
             moved = wish.join(F.broadcast(part), ["shard", "to", "gain"]).where(unit_hash("unit", seed=at + 1) < F.col("part")).select("unit", "to")
-            after = written(labels.join(by_key(moved), "unit", "left").select("unit", "rows", F.coalesce("to", "shard").alias("shard")), "labels")
+            after = written(labels.join(by_key(moved), "unit", "left").select("unit", "rows", F.coalesce("to", "shard").alias("shard")), "labels", rows=n_units)
             drop_written(labels)
             labels = after
         drop_written(labelled, spread, wish)
