@@ -11,19 +11,6 @@ from verdigris.llm import toxicity
 from verdigris.llm import queries as Q
 
 
-def test_stages(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, before = docs.columns, docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf).cache()
-        assert docs.columns == columns, name
-        assert 0 < docs.count() <= before, name
-        before = docs.count()
-    packed = corpus_pipeline.pack(spark, docs, sf)
-    assert packed.select("doc_id").distinct().count() == before
-    assert "sequence_id" in packed.columns
-
-
 def test_stages_row_by_row(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     extra = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs.limit(2)).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(9_000_000)))
@@ -36,11 +23,13 @@ def test_stages_row_by_row(spark, sf, tmp_path):
     model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
     severe = lambda text: 1 - brute_mass_of_none(model, text) >= toxicity.REJECT_AT
     clean = corpus_pipeline.toxicity_filter(spark, docs, sf)
-    assert key(clean.collect()) == key([r for r in rows if not severe(r.text)])
+    assert clean.columns == docs.columns and key(clean.collect()) == key([r for r in rows if not severe(r.text)])
     assert brute_severity(model, None)[1] == 0
 
     # line dedup: no row but those that had words and keep none goes, null ids and texts stay
-    lines = corpus_pipeline.line_dedup(spark, docs, sf).collect()
+    lines = corpus_pipeline.line_dedup(spark, docs, sf)
+    assert lines.columns == docs.columns
+    lines = lines.collect()
     assert sum(r.doc_id is None for r in lines) == 3 and sum(r.text is None for r in lines) == sum(r.text is None for r in rows)
     before = {r.doc_id: r.text for r in rows}
     assert all(r.doc_id is None or r.text is None or len(r.text) <= len(before[r.doc_id]) and r.n_chars in (len(r.text), next(x.n_chars for x in rows if x.doc_id == r.doc_id)) for r in lines)
@@ -48,11 +37,13 @@ def test_stages_row_by_row(spark, sf, tmp_path):
     # near copies: one document of each group stays
     known = [(r.doc_id, r.text) for r in rows if r.doc_id is not None]
     groups = brute_components(known, 5, 80)
-    near = corpus_pipeline.near_copies(spark, docs, sf).collect()
-    assert key(near) == key([r for r in rows if r.doc_id is None or groups[r.doc_id][1] == r.doc_id])
+    near = corpus_pipeline.near_copies(spark, docs, sf)
+    assert near.columns == docs.columns and key(near.collect()) == key([r for r in rows if r.doc_id is None or groups[r.doc_id][1] == r.doc_id])
 
     # mix: rows of the table, as many words as the share but for one document a leaf
-    mixed = corpus_pipeline.mix_sources(spark, docs, sf).collect()
+    mixed = corpus_pipeline.mix_sources(spark, docs, sf)
+    assert mixed.columns == docs.columns
+    mixed = mixed.collect()
     assert not set(key(mixed)) - set(key(rows))
     total, taken = (sum(len((r.text or "").split()) for r in x) for x in (rows, mixed))
     leaves = {(r.lang, r.source) for r in rows}
@@ -71,7 +62,7 @@ def brute_mass_of_none(model, text):
 
 def test_run_leaves_only_the_last_table(spark, sf):
     out = corpus_pipeline.run(spark, sf)
-    assert out.count() > 0 and [os.path.basename(p) for p in glob.glob(os.path.dirname(out._verdigris_path.removeprefix("file://")) + "/*")] == ["best_fit_packing"]
+    assert out.count() > 0 and "sequence_id" in out.columns and [os.path.basename(p) for p in glob.glob(os.path.dirname(out._verdigris_path.removeprefix("file://")) + "/*")] == ["best_fit_packing"]
 
 
 def test_stages_on_empty_documents(spark, sf):
