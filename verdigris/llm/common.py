@@ -72,7 +72,7 @@ def remove_all_written() -> None:
 @contextlib.contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Actions inside leave no shuffle files behind; the session's own setting comes back."""
-    before = spark.conf.get(_CLEANUP)
+    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         yield
