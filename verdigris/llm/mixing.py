@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import by_key, drop_written, fresh, written
 
-BUCKET_ROWS, BUCKETS = 1000, 1000
+BUCKET_ROWS, BUCKETS = 250, 1000
 MISSING = "<null>"
 
 
