@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_threshold_top_k": "query_id bigint, rank int, vec_id bigint, score bigint",
     "op9_line_dedup": "doc_id bigint, lines_removed int, text string",
     "op10_bootstrapped_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op11_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op12_spelling_variants": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
+    "op13_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
 }
 
 
@@ -36,6 +39,8 @@ def test_query(spark, sf, name):
             assert g["rank"].tolist() == list(range(1, 11)) and (g.score.is_monotonic_increasing if name[2] == "2" else g.score.is_monotonic_decreasing)
     elif name == "op4_best_fit_packing":
         assert set(got.doc_id) == set(docs.doc_id) and got.groupby("sequence_id").length.sum().max() <= 4096
+    elif name == "op12_spelling_variants":
+        assert got.word.is_unique and (got.n >= 3).all() and (got.word.str.len() >= 5).all() and (got.form.isna() == (got.root == got.word)).all()
     elif name != "op1_mix_sources":
         assert sorted(got.doc_id) == sorted(docs.doc_id)
     if name == "op3_label_propagation_shards":

@@ -19,6 +19,8 @@ _written: list[tuple[SparkSession, str]] = []
 #: Records handed to a Python worker at once; texts can be long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 1000
 FEW, LEAST_TASKS = 50_000, 12
+#: A key with over this part of all rows is joined by broadcast: there are fewer than so many.
+HEAVY = 1000
 #: With this setting Spark removes an action's shuffle files when the action ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -126,6 +128,19 @@ def by_hash(df: DataFrame) -> DataFrame:
     return df.hint("shuffle_hash")
 
 
+def joined_apart(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows left-joined with groups (one row for each key, never null, with its number of rows, `size`, of `total`): null columns where there is none.
+
+    Groups of over a HEAVY-th of all rows, so fewer than HEAVY, are sent to all
+    tasks and their rows stay where they are; the rest is joined by key, of
+    which none has more than that part. rows is read twice.
+    """
+    heavy = F.col(size) * HEAVY > total
+    marked = rows.join(F.broadcast(groups.where(heavy).withColumn("_heavy", F.lit(True))), keys, "left")
+    light = marked.where("_heavy IS NULL").select(*rows.columns).join(by_hash(groups.where(~heavy)), keys, "left")
+    return marked.where("_heavy").drop("_heavy").unionByName(light)
+
+
 def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
     """A number in [0, 1) from a seeded hash of the columns."""
     return (F.xxhash64(F.lit(seed), *cols).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).cast("double")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import ann, langid, linededup, mixing, ngramjoin, packing, pii, sharding, topk, toxicity
+from verdigris.llm import ann, exactdup, langid, linededup, mixing, ngramjoin, packing, periodic, pii, sharding, spelling, topk, toxicity
 from verdigris.llm.common import table
 
 LEVELS = ["domain", "lang", "source"]
@@ -112,9 +113,51 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "lines_removed", "text")
 
 
+OP11_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"))
+    return exactdup.exact_copies(docs, columns=["doc_id", "text_sha256"])
+
+
+def _misspelt(doc_id: int | None, word: str) -> str:
+    """word, for one in 97 by the checksum of id and word without one of its code points; a null id is an empty text."""
+    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
+    at = h % len(word)
+    return word if h % 97 else word[:at] + word[at + 1 :]
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.spelling_forms(spelling.count_words(docs, change=_misspelt))
+
+
+def _periodic_tail(doc_id: int | None, words: list[str]) -> list[str]:
+    """words, for one id in 10 by its checksum repeating a block of them from some word on; a null id changes nothing."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), reword=_periodic_tail)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    digest = F.sha2(F.encode(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), "UTF-8"), 256)
+    milli = F.expr("1000 * length div period").alias("exponent_milli")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", milli, digest.alias("runs_sha256"), F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op8_threshold_top_k": OP8_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op8_threshold_top_k": OP8_SQL, "op11_exact_dedup": OP11_SQL}
