@@ -1,9 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from verdigris.plans import evaluation
-from verdigris.sources import readers, sinks
+from verdigris.sources import readers, runlog, sinks
 from verdigris.streaming import votes as streaming_votes
 
 
@@ -65,19 +66,56 @@ def test_sinks(spark, tmp_path):
     sinks.write_table(t, str(tmp_path / "c"), "csv")
     sinks.write_table(t, str(tmp_path / "c"), "csv")
     assert spark.read.option("header", "true").csv(str(tmp_path / "c")).count() == 3
-    runs = spark.createDataFrame([("i", "m", "t", 0, "v")], "instance string, model string, task string, run int, value string")
-    sinks.append_runs(runs, str(tmp_path / "r"))
-    for _ in range(2):  # a retry doubles nothing
-        sinks.append_runs(runs.withColumn("run", runs.run + 1), str(tmp_path / "r"))
-    assert spark.read.parquet(str(tmp_path / "r")).count() == 2
-    more = sinks.with_next_run(runs.drop("run").union(runs.drop("run").withColumn("task", F.lit("u"))), spark.read.parquet(str(tmp_path / "r")))
-    assert {r.task: r.run for r in more.collect()} == {"t": 2, "u": 0} and sinks.with_next_run(runs.drop("run"), None).collect()[0].run == 0
     sinks.write_texts(spark.createDataFrame([("i", "one\ntwo"), ("j", "three\n\n"), ("k", "")], "k string, t string"), "k", "t", str(tmp_path / "t"))
     assert sorted(r.value for r in readers.whole_texts(spark, str(tmp_path / "t"), "*.txt").collect()) == ["\n", "one\ntwo\n", "three\n\n"]
     sinks.write_missing(t.select("k", "v"), spark.createDataFrame([("a",)], "k string"), "k", str(tmp_path / "w"))
     assert [r.k for r in spark.read.parquet(str(tmp_path / "w")).collect()] == ["b"]
 
 
+def test_runs_are_appended_instance_by_instance(spark, tmp_path):
+    """Any order of batches and retries gives the lists that appending to one list for each instance gives."""
+    path, want = str(tmp_path / "log"), {}
+    kinds = "instance string, model string, task string, value string, at int"
+    batches = {"1": [("A", "m", "t", "a0", 0)], "2": [("B", "m", "t", "b0", 0)], "2024-01-01": [("A", "m", "t", "a1", 0), ("A", "m", "u", "x", 0), (None, "m", "t", "n0", 0)], "4": [("A", "m", "t", "a3", 2), ("A", "m", "t", "a2", 1), (None, "m", "t", "n1", 0)]}
+    assert runlog.read_runs(spark, path) is None and runlog.commits(spark, path) is None
+    for k, (token, rows) in enumerate(batches.items()):
+        values = spark.createDataFrame(rows, kinds)
+        # a batch that broke off before its commit leaves rows that nobody sees
+        values.limit(0 if k % 2 else 1).selectExpr("*", "7L AS run").write.parquet(f"{path}/batches/token=b.{token}")
+        assert k == 0 or {tuple(r)[:3]: list(r["items"]) for r in runlog.lists(runlog.read_runs(spark, path)).collect()} == want
+        assert runlog.append_runs(values, path, token, "at") is True
+        assert runlog.append_runs(values, path, token, "at") is False  # tried again
+        for *key, value, _ in sorted(rows, key=lambda r: r[4]):
+            want.setdefault(tuple(key), []).append(value)
+        if k == 2:
+            assert runlog.compact(spark, path, "c") and not runlog.compact(spark, path, "c")
+    read = lambda: {tuple(r)[:3]: list(r["items"]) for r in runlog.lists(runlog.read_runs(spark, path)).collect()}
+    assert read() == want and want[("A", "m", "t")] == ["a0", "a1", "a2", "a3"]
+    assert [(r.token, r.rows) for r in runlog.commits(spark, path).orderBy("batch").collect()] == [("c", 5), ("4", 3)]
+    assert runlog.vacuum(spark, path) == ["1", "2", "2024-01-01"] and read() == want
+    assert runlog.append_runs(spark.createDataFrame(batches["1"], kinds), path, "1", "at") is False  # still known
+    with pytest.raises(ValueError, match="folder"):
+        runlog.append_runs(spark.createDataFrame(batches["1"], kinds), path, "a/b")
+
+
+def test_trees_below_any_root(spark, tmp_path):
+    for root in ("out/runs/out", "m1/t1/m1", "a b+c%20[x]{y,z}/t*"):
+        tree(tmp_path / root)
+        write(tmp_path / root / "m 1+%/t1/other/torch_9_fixed.json", ["x"])
+        got = readers.label_tree(spark, str(tmp_path / root)).collect()
+        assert {(r.model, r.task, r.instance) for r in got} == {("m1", "t1", "numpy_1_fixed"), ("m1", "t1", "numpy_2_reproduced"), ("m1", "t1", "torch_1_fixed"), ("m1", "t2", "numpy_1_fixed"), ("m 1+%", "t1", "torch_9_fixed")}
+        assert [(r.model, r.library, r.instance) for r in readers.analyzer_tree(spark, str(tmp_path / root) + "/", ["sub"]).collect()] == [("m1", "sub", "numpy_9_fixed")]
+    (tmp_path / "none").mkdir()
+    assert readers.label_tree(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_notebook_sources(spark, tmp_path):
+    sources = ["[1, 2, 3]", '["a", "b"]', ["[1,\n", " 2]"], "", [], "{}", '"quoted"', "1"]
+    write(tmp_path / "n/x_1.ipynb", {"cells": [{"cell_type": "code", "execution_count": None, "source": s, "outputs": []} for s in sources]})
+    got = [r.code for r in readers.notebook_cells(spark, str(tmp_path / "n")).orderBy("code_cell_id").collect()]
+    assert got == [s if isinstance(s, str) else "".join(s) for s in sources]
+
+
 def test_streamed_votes(spark, tmp_path):
     labels = "cell string, label string, pos long"
     spark.createDataFrame([("a", "x", 0), ("a", "y", 1)], labels).write.parquet(str(tmp_path / "in"), mode="append")

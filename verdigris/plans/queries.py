@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from verdigris.functions import labels as L
 from verdigris.functions import text as X
 from verdigris.operators import aliases, diagnostics, grading, metrics, profile, sequence, summary, votes
+from verdigris.sources import runlog, scratch
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -395,6 +396,20 @@ def s5_head_by_position(spark, sf_dir):
     return summary.head_by_position(t(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", 222)
 
 
+# -- the log of runs ---------------------------------------------------------
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS instance, event_type AS model, 't' AS task, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY CASE WHEN value > 50 THEN 0 WHEN value > 20 THEN 1 ELSE 2 END, event_id) - 1 AS run FROM events""")
+def k3_append_runs(spark, sf_dir):
+    """Three batches, of which one is tried twice and the first two are made one."""
+    e = t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("instance"), F.col("event_type").alias("model"), F.lit("t").alias("task"), F.col("value"), "event_id")
+    path = scratch.new_folder(spark, "runs")
+    for token, rows in (("high", "value > 50"), ("middle", "value <= 50 AND value > 20"), ("high", "value > 50")):
+        runlog.append_runs(e.where(rows), path, token, "event_id")
+    runlog.compact(spark, path, "both")
+    runlog.append_runs(e.where("value <= 20"), path, "low", "event_id")
+    return runlog.read_runs(spark, path).select("instance", "model", "task", "event_id", "run")
+
+
 # -- profiles --------------------------------------------------------------
 
 def _range_sql(table: str, column: str, kind: str, names: dict[str, str]) -> str:

@@ -18,19 +18,6 @@ def write_json_lists(items: DataFrame, keys: list[str], item: str, order: str, p
     lists.write.mode("overwrite").json(path)
 
 
-def append_runs(runs: DataFrame, path: str) -> None:
-    """Adds runs (instance, model, task, run, value) to a table: no file is read back and rewritten. A run is a partition of its own, which a retry puts in place of itself, so a repeated append doubles nothing."""
-    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "task", "run").parquet(path)
-
-
-def with_next_run(values: DataFrame, existing: DataFrame | None) -> DataFrame:
-    """values (instance, model, task, value) with run: the number after the last one that `existing` has of their model and task, 0 without any."""
-    if existing is None:
-        return values.withColumn("run", F.lit(0))
-    last = existing.groupBy("model", "task").agg((F.max("run") + 1).cast("int").alias("run"))
-    return values.join(last, ["model", "task"], "left").withColumn("run", F.coalesce("run", F.lit(0)))
-
-
 def write_texts(texts: DataFrame, key: str, text: str, path: str) -> None:
     """One file for each text, in a folder for its key; each ends with one line break, the text's own or an added one. Keys must be unique."""
     texts.select(F.col(key), F.regexp_replace(text, "\\n\\z", "").alias("value")).write.mode("overwrite").partitionBy(key).text(path)
