@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import labels as L
 from verdigris.functions import text as X
-from verdigris.operators import aliases, diagnostics, grading, metrics, profile, sequence, summary, votes
+from verdigris.operators import aliases, diagnostics, grading, metrics, profile, publicnames, sequence, summary, votes
 from verdigris.sources import runlog, scratch
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -836,6 +836,80 @@ def m6_annotated(spark, sf_dir):
     return aliases.annotated(codes, rows, names)
 
 
+# Modules: regions hold their nations, nations lead to two others and back to their region, both hold objects of which several go by one internal path.
+_MEMBERS = """
+nations AS (SELECT n.*, r_name FROM nation n JOIN region ON n_regionkey = r_regionkey),
+links AS (SELECT r_name AS module, 'n' || n_nationkey AS attr, n_name AS target FROM nations
+  UNION SELECT a.n_name, 'a' || b.n_nationkey, b.n_name FROM nation a JOIN nation b ON b.n_nationkey IN ((a.n_nationkey * 7 + 3) % 25, (a.n_nationkey * 3 + 11) % 25)
+  UNION SELECT n_name, 'up', r_name FROM nations),
+own AS (SELECT n_name AS module, c_name AS attr, 'home' || c_nationkey % 4 || '.Q' || c_custkey % 50 AS internal FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0
+  UNION ALL SELECT r_name, s_name, 'home' || s_nationkey % 4 || '.Q' || s_suppkey % 50 FROM supplier JOIN nations ON s_nationkey = n_nationkey)"""
+
+
+def members(spark, sf_dir) -> DataFrame:
+    nation, region = t(spark, sf_dir, "nation"), t(spark, sf_dir, "region")
+    nations = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    none = F.lit(None).cast("string")
+    key = lambda c: F.col(c).cast("string")
+    module = lambda m, attr, target: [m.alias("module"), attr.alias("attr"), F.lit("module").alias("kind"), target.alias("target"), none.alias("home"), none.alias("qualname"), none.alias("name")]
+    thing = lambda m, attr, at, qualname: [m.alias("module"), attr.alias("attr"), F.lit("type").alias("kind"), none.alias("target"), F.concat(F.lit("home"), (F.col(at) % 4).cast("string")).alias("home"), qualname.alias("qualname"), none.alias("name")]
+    q = lambda c: F.concat(F.lit("Q"), (F.col(c) % 50).cast("string"))
+    further = nation.select(F.col("n_name").alias("from"), F.explode(F.array((F.col("n_nationkey") * 7 + 3) % 25, (F.col("n_nationkey") * 3 + 11) % 25)).alias("to")).join(nation, F.col("to") == F.col("n_nationkey"))
+    tables = [
+        nations.select(module(F.col("r_name"), F.concat(F.lit("n"), key("n_nationkey")), F.col("n_name"))), further.select(module(F.col("from"), F.concat(F.lit("a"), key("n_nationkey")), F.col("n_name"))),
+        nations.select(module(F.col("n_name"), F.lit("up"), F.col("r_name"))), nations.select(module(F.col("n_name"), F.lit("_hidden"), F.lit("HIDDEN"))),
+        t(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(thing(F.col("n_name"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).otherwise(F.concat(F.lit("_"), "c_name")), "c_nationkey", q("c_custkey"))),
+        t(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(thing(F.col("r_name"), F.col("s_name"), "s_nationkey", q("s_suppkey"))),
+    ]
+    out = tables[0]
+    for other in tables[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+@query(f"""WITH RECURSIVE {_MEMBERS.strip()},
+adj AS (SELECT module, list(struct_pack(attr := attr, target := target) ORDER BY attr) AS outs FROM links GROUP BY module),
+walk(package, stack, pos, met, place, pushed) AS (
+  SELECT r_name, [r_name], [1], CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), true FROM region
+  UNION ALL
+  SELECT package, CASE WHEN pops THEN stack[:len(stack) - 1] WHEN known THEN stack ELSE list_append(stack, step.target) END,
+    CASE WHEN pops THEN pos[:len(pos) - 1] WHEN known THEN list_append(pos[:len(pos) - 1], pos[-1] + 1) ELSE list_append(list_append(pos[:len(pos) - 1], pos[-1] + 1), 1) END,
+    CASE WHEN pops OR known THEN met ELSE list_append(met, step.target) END, CASE WHEN pops THEN place[:len(place) - 1] WHEN known THEN place ELSE list_append(place, step.attr) END, NOT (pops OR known)
+  FROM (SELECT *, step IS NULL AS pops, coalesce(list_contains(met, step.target), false) AS known FROM (SELECT w.*, outs[pos[-1]] AS step FROM walk w LEFT JOIN adj ON module = stack[-1] WHERE len(stack) > 0))),
+visits AS (SELECT package, stack[-1] AS module, place FROM walk WHERE pushed)
+SELECT package, internal, arg_max(module || '.' || attr, list_append(place, attr)) AS public FROM visits JOIN own USING (module) GROUP BY package, internal""")
+def m2_public_walk(spark, sf_dir):
+    return publicnames.walked_names(members(spark, sf_dir), t(spark, sf_dir, "region").select(F.col("r_name").alias("package")))
+
+
+def _rules_sql() -> str:
+    text = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("$", "\\") + "'" if "$" in x and "^" not in x else f"'{x}'"
+    return ", ".join("(" + ", ".join(text(x) for x in rule) + ")" for rule in publicnames.standard_rules())
+
+
+_LISTS = {p: [*modules, f"{p}.private.deep", f"{p}.unlisted"] for p, modules in sorted(publicnames.LISTED.items())}
+_ENDS = ["Functional", "Sequential", "image.DirectoryIterator", "PrefetchDataset", "Plain"]
+_MODULE_SQL = "CASE p_partkey % 4 " + " ".join(f"WHEN {k} THEN {modules}[(p_partkey // 4) % {len(modules)} + 1]" for k, modules in enumerate(_LISTS.values())) + " END"
+
+
+@query(f"""WITH rules(package, precedence, place, prefix, pattern, rewrite, by_name) AS (VALUES {_rules_sql()}),
+m AS (SELECT {_MODULE_SQL} AS module, CASE WHEN p_size % 9 = 0 THEN '_' ELSE '' END || 'A' || p_size AS attr, CASE WHEN p_partkey % 11 = 0 THEN 'tensorflow.python.data.ops' ELSE {list(_LISTS)}[p_partkey % 4 + 1] || '.src' END AS home,
+  {_ENDS}[p_partkey % 5 + 1] || CASE WHEN p_partkey % 5 = 4 THEN CAST(p_partkey % 61 AS VARCHAR) ELSE '' END AS called, p_partkey % 7 = 0 AS unqualified FROM part),
+o AS (SELECT *, home || '.' || called AS internal FROM m WHERE NOT starts_with(attr, '_')),
+met AS (SELECT *, CASE place WHEN 'public' THEN module || '.' || attr ELSE internal END AS path FROM o, rules WHERE by_name OR NOT unqualified),
+hit AS (SELECT * FROM met WHERE (path = prefix OR starts_with(path, prefix || '.')) AND regexp_matches(path, pattern))
+SELECT package, internal, public FROM (SELECT package, internal, arg_max(struct_pack(p := CASE WHEN rewrite IS NOT NULL THEN regexp_replace(path, pattern, rewrite) END), [lpad(CAST(precedence AS VARCHAR), 3, '0'), attr, module]).p AS public FROM hit GROUP BY ALL) WHERE public IS NOT NULL""")
+def m3_ruled_names(spark, sf_dir):
+    key, part = F.col("p_partkey"), t(spark, sf_dir, "part")
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at % len(values) + 1).cast("int"))
+    module = F.coalesce(*[F.when(key % 4 == k, pick(modules, F.floor(key / 4))) for k, modules in enumerate(_LISTS.values())])
+    called = F.concat(pick(_ENDS, key), F.when(key % 5 == 4, (key % 61).cast("string")).otherwise(""))
+    home = F.when(key % 11 == 0, "tensorflow.python.data.ops").otherwise(F.concat(pick(list(_LISTS), key), F.lit(".src")))
+    attr = F.concat(F.when(F.col("p_size") % 9 == 0, "_").otherwise(""), F.lit("A"), F.col("p_size").cast("string"))
+    rows = part.select(module.alias("module"), attr.alias("attr"), F.lit("type").alias("kind"), F.lit(None).cast("string").alias("target"), home.alias("home"), F.when(key % 7 != 0, called).alias("qualname"), called.alias("name"))
+    return publicnames.ruled_names(rows, spark.createDataFrame(publicnames.standard_rules(), publicnames.RULE))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in REGISTRY.items()}
 
