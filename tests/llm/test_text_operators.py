@@ -81,6 +81,14 @@ def test_one_of_each_group_stays(spark):
     assert got.columns == df.columns and sorted(r["_id"] for r in got.collect()) == [2, 3, 4, 5]
 
 
+def test_a_row_goes_for_its_own_text_alone(spark):
+    """Of rows that share an id those of another text stay; an id equal to a text's hash changes nothing."""
+    text = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [(1, text(0, 30)), (2, text(0, 30) + " z"), (2, text(50, 80)), (2, text(50, 80)), (3, text(50, 80) + " y"), (2, None), (2, "")]
+    got = ngramjoin.drop_near_copies(spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], f"{DOCS}, _text_hash int"))
+    assert sorted(r["_text_hash"] for r in got.collect()) == [0, 2, 3, 5, 6]
+
+
 def test_pair_filters_agree_with_the_overlap():
     rng = random.Random(1)
     shingler, rule = ngramjoin.Shingler(1), ngramjoin.Threshold(80, 100)

@@ -223,8 +223,8 @@ def _relabelled(labels: DataFrame, links: DataFrame, rows: int) -> DataFrame:
     return written(labels.join(by_key(into), "component", "left").select("node", F.coalesce("into", "component").alias("component")), "labels", rows=rows)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """id, n_shingles long, component_id long for each row of docs.
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, num: int = 85, den: int = 100, with_text_hash: bool = False) -> DataFrame:
+    """doc_id, n_shingles long, component_id long for each row of docs; with_text_hash: text_hash long too, Spark's xxhash64 of the row's text.
 
     ASCII capitals count as lower case, words end at ASCII white space. A text
     with fewer than `words` words has one shingle, the whole; one without
@@ -239,6 +239,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Where a text is read again: its id, or for a null id its hash. An id equal to a hash only reads one text more.
     source = source.withColumn("place", F.coalesce("id", F.xxhash64("text")))
 
+    hashed = ["text_hash"] if with_text_hash else []
+    if with_text_hash:
+        source = source.withColumn("text_hash", F.xxhash64("text"))
     early = rule.early()
     lists = "array<long>"
 
@@ -255,9 +258,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 # what settles a set's prefixes is told once in a task, however many copies it has there
                 told.append(tokens[: max(under[-1], rule.spare(len(tokens)) + 1) if len(tokens) and node not in seen else 0])
                 seen.add(node)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("place"), pa.array(n, pa.int64()), pa.array(under, pa.int64()), pa.array(nodes, pa.int64()), _lists(told)], ["id", "place", "n", "under", "node", "told"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("place"), pa.array(n, pa.int64()), pa.array(under, pa.int64()), pa.array(nodes, pa.int64()), _lists(told), *[batch.column(c) for c in hashed]], ["id", "place", "n", "under", "node", "told", *hashed])
 
-    scanned = written(source.mapInArrow(scan, f"id long, place long, n long, under long, node long, told {lists}"), "scanned")
+    scanned = written(source.mapInArrow(scan, f"id long, place long, n long, under long, node long, told {lists}" + "".join(f", {c} long" for c in hashed)), "scanned")
     nodes = written(scanned.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.min("place").alias("place"), F.max("n").alias("n"), F.max("under").alias("under"), F.max(F.size("told")).alias("n_told")), "nodes")
 
     # By document frequency. Several tasks may have told a node's tokens: that changes the order, not that there is one.
@@ -315,12 +318,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole_nodes = nodes.join(by_key(labels), "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     smallest = whole_nodes.groupBy("component").agg(F.min("first_id").alias("component_id"))
     mapped = written(whole_nodes.join(by_key(smallest), "component").select("node", "component_id"), "mapped")
-    return scanned.select("id", "n", "node").join(by_key(mapped), "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return scanned.select("id", "n", "node", *hashed).join(by_key(mapped), "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), *hashed)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each component: that of the smallest id. Rows with a null id, and texts without words, stay."""
-    found = jaccard_components(docs, id_col, text_col, words, num, den)
-    loser = fresh(docs, "_id")
-    losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias(loser)).distinct()
-    return docs.join(by_key(losers), F.col(id_col).cast("long") == F.col(loser), "left_anti")
+    """docs with one document of each component: that of the smallest id. Rows with a null id, and texts without words, stay. A row goes for its own text alone: of rows that share an id those of other components stay."""
+    found = jaccard_components(docs, id_col, text_col, words, num, den, with_text_hash=True)
+    loser, text = fresh(docs, "_id"), fresh(docs, "_text_hash")
+    losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias(loser), F.col("text_hash").alias(text)).distinct()
+    return docs.join(by_key(losers), (F.col(id_col).cast("long") == F.col(loser)) & (F.xxhash64(text_col) == F.col(text)), "left_anti")
