@@ -137,10 +137,51 @@ def test_map_profile_order(spark):
 def test_nested_arrays(spark):
     df = spark.createDataFrame([(1, [[1.0, float("nan")], [3.0, -2.0]], [["a"]]), (2, [], []), (3, None, None)], "i int, x array<array<double>>, s array<array<string>>")
     got = {r.i: r for r in df.select("i", profile.nested_array_profile(F.col("x"), df.schema["x"].dataType).alias("x"), profile.nested_array_profile(F.col("s"), df.schema["s"].dataType).alias("s"), profile.tensor_profile(F.col("x"), df.schema["x"].dataType, F.lit("cpu"), F.lit(True)).alias("t")).collect()}
-    assert tuple(got[1].x) == ("(2, 2)", "double", True, -2.0, 3.0, False) and tuple(got[2].x) == ("(0, 0)", "double", False, None, None, True) and got[3].x is None
+    assert tuple(got[1].x) == ("(2, 2)", "double", True, -2.0, 3.0, False) and tuple(got[2].x) == ("(0,)", "double", False, None, None, True) and got[3].x is None
     assert tuple(got[1].s) == ("(1, 1)", "string", None, None, None, False) and tuple(got[1].t) == ("(2, 2)", "double", "cpu", True, True)
 
 
+def test_shapes_of_ragged_and_missing_arrays(spark):
+    given = {1: [[[1.0], [2.0]], [[3.0], [None]]], 2: [[[1.0], None]], 3: [[], []], 4: [[[1.0]], []], 5: [None, [[-1.0, 4.0]]], 6: [[[1.0, 2.0], [3.0]]], 7: []}
+    df = spark.createDataFrame(list(given.items()), "i int, x array<array<array<double>>>")
+    got = {r.i: tuple(r.x) for r in df.select("i", profile.nested_array_profile(F.col("x"), df.schema["x"].dataType).alias("x")).collect()}
+    assert {i: (x[0], x[2], x[3], x[4], x[5]) for i, x in got.items()} == {
+        1: ("(2, 2, 1)", True, 1.0, 3.0, False), 2: ("(1, 2)", True, 1.0, 1.0, False), 3: ("(2, 0)", False, None, None, True), 4: ("(2,)", False, 1.0, 1.0, False),
+        5: ("(2,)", True, -1.0, 4.0, False), 6: ("(1, 2)", False, 1.0, 3.0, False), 7: ("(0,)", False, None, None, True),
+    }
+
+
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_profiles_scan_once(spark, tmp_path):
+    """All rules together read the table once, and no row is expanded for each column's distinct values."""
+    rows = [(k, "é" * (k % 7), k % 2 == 0, float(k % 3) if k % 5 else None, None, bytes([k % 3]), [k % 2]) for k in range(200)]
+    spark.createDataFrame(rows, "i long, s string, b boolean, f float, e int, raw binary, a array<int>").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t")).withColumn("at", F.timestamp_seconds(F.col("i") % 4))
+    for df in (profile.apply_rules(table, list(profile.RULES)), profile.with_values(table)):
+        plan = plan_of(df)
+        assert plan.count("Scan parquet") == 1 and "Expand" not in plan and "ReusedExchange" in plan
+    got = {(r.column, r.key): r.value for r in profile.apply_rules(table, [*profile.RULES, "no_such_rule"]).collect()}
+    assert got[("f", "missing")] == "40" and got[("e", "missing")] == "200" and got[("e", "num_unique")] == "0" and ("e", "mean") not in got
+    assert (got[("s", "shortest")], got[("s", "longest")], got[("s", "example_values")]) == ("0", "6", ",é,éé,ééé,éééé") and ("i", "longest") not in got
+    assert got[("b", "mean")] == "0.5" and got[("b", "type")] == "binary" and got[("raw", "num_unique")] == "3" and got[("a", "unique_values")] == "[0],[1]"
+    assert got[("at", "unique_values")].startswith("1970-01-01 00:00:00,1970-01-01 00:00:01") and got[("s", "most_frequent")] == ""
+    assert got[("i", "low")] == "0.0" and got[("i", "high")] == "199.0" and profile.apply_rules(table, []).count() == 0
+    zeros = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (None,)], "z double")
+    assert [(r.num_unique, r.has_nan, r.length) for r in profile.column_profile(zeros).collect()] == [(1, True, 4)]
+    assert [(r.column, r.key, r.value) for r in profile.apply_rules(zeros.limit(0), ["summarize_nulls"]).collect()] == [("z", "has_nan", "false"), ("z", "missing", "0")]
+
+
+def test_later_rules_win_for_their_kinds_alone(spark, monkeypatch):
+    monkeypatch.setitem(profile.RULES, "zz", profile.Rule(lambda: {"num_unique": F.lit("many")}, kinds=("text",)))
+    df = spark.createDataFrame([(1, "a")], "i int, s string")
+    got = {(r.column, r.key): r.value for r in profile.apply_rules(df, ["zz", "summarize_columns"]).collect()}
+    assert got[("i", "num_unique")] == "1" and got[("s", "num_unique")] == "many"
+
+
 def test_primitive_values(spark):
     values = {"1": "1", "1.5": "1.5", '"t"': "t", "plain words": "plain words", "true": "true", "[1]": None, '{"a": 1}': None, "null": None}
     df = spark.createDataFrame([(k,) for k in values], "v string")

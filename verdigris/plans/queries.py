@@ -456,6 +456,27 @@ def f3_values(spark, sf_dir):
     return profile.with_values(lab, names=profile.RANGE_NAMES).select(F.col("column").alias("column_name"), "num_unique", "unique_values")
 
 
+_RULED = {"c_custkey": "integer", "c_name": "text", "c_nationkey": "integer", "c_acctbal": "fraction", "c_mktsegment": "text", "positive": "boolean"}
+
+
+def _ruled_sql(column: str, kind: str) -> str:
+    number, c = kind in ("integer", "fraction", "boolean"), column
+    n = f"CAST({c} AS DOUBLE)"
+    facts = {"dtype": f"max('{ {'integer': 'int' if c == 'c_nationkey' else 'bigint', 'text': 'string', 'fraction': 'double', 'boolean': 'boolean'}[kind] }')", "num_unique": f"CAST(count(DISTINCT {c}) AS VARCHAR)", "has_nan": f"CAST(count(*) > count({c}) AS VARCHAR)", "missing": f"CAST(count(*) - count({c}) AS VARCHAR)"}
+    few = f"WHEN count(DISTINCT {c}) <= 10 THEN '{profile.RANGE_NAMES['few']}'" if kind == "integer" else ""
+    facts["type"] = f"CASE WHEN count(DISTINCT {c}) = 2 AND count(*) FILTER ({n} NOT IN (0, 1)) = 0 THEN 'binary' {few} ELSE 'continuous' END" if number else f"max('{profile.RANGE_NAMES['other']}')"
+    if kind == "text":
+        facts |= {"shortest": f"CAST(min(length({c})) AS VARCHAR)", "longest": f"CAST(max(length({c})) AS VARCHAR)"}
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{k}' AS key, {v} AS value FROM f" for k, v in facts.items())
+
+
+@query("WITH f AS (SELECT *, c_acctbal > 0 AS positive FROM customer) " + " UNION ALL ".join(_ruled_sql(c, k) for c, k in _RULED.items()))
+def s10_rules_in_one_scan(spark, sf_dir):
+    table = t(spark, sf_dir, "customer").withColumn("positive", F.col("c_acctbal") > 0)
+    out = profile.apply_rules(table, ["summarize_columns", "summarize_nulls", "summarize_ranges", "summarize_texts"])
+    return out.where("key NOT IN ('low', 'high')").withColumnRenamed("column", "column_name")
+
+
 @query("SELECT 'series' AS type, (SELECT lower(column_type) FROM (DESCRIBE part) WHERE column_name = 'p_retailprice') AS dtype, count(*) AS length, count(*) > count(p_retailprice) AS has_nan FROM part")
 def f4_series(spark, sf_dir):
     return profile.series(t(spark, sf_dir, "part"), "p_retailprice")
