@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigris.plans import evaluation
-from verdigris.sources import readers, runlog, sinks
+from verdigris.sources import jsonlists, readers, runlog, sinks
 from verdigris.streaming import votes as streaming_votes
 
 
@@ -109,6 +109,39 @@ def test_trees_below_any_root(spark, tmp_path):
     assert readers.label_tree(spark, str(tmp_path / "none")).collect() == []
 
 
+def test_json_lists_by_file(spark, tmp_path):
+    """Byte for byte what Python's own indented form of each list is."""
+    want = {"m/t/a_1": ["[Wrong]", "é \"q\"\n\ttab", "", "null", None], "m/t/empty": [], "m 2/a+b%": ["z"] * 3}
+    rows = [(f, k, v) for f, vs in want.items() for k, v in enumerate(vs)] + [("m/t/empty", None, None), (None, 0, "lost")]
+    df = spark.createDataFrame(rows, "f string, pos int, v string").repartition(5)
+    for _ in range(2):
+        jsonlists.write_json_lists(df, F.col("f"), "pos", "v", str(tmp_path / "out"))
+    got = {str(p.relative_to(tmp_path / "out")): p.read_text("utf-8") for p in (tmp_path / "out").rglob("*.json")}
+    assert got == {f"{f}.json": json.dumps(vs, indent=2, ensure_ascii=False) for f, vs in want.items()} and [p.name for p in tmp_path.iterdir()] == ["out"]
+    objects = [{"reasoning": "é", "detection": True, "n": [1, {"x": None}], "e": {}, "l": []}, "raw", 1.5]
+    given = spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(objects)], "pos int, v string").withColumn("more", F.parse_json("v"))
+    jsonlists.write_json_lists(given, F.lit("x"), "pos", "v", str(tmp_path / "objects"), ascii=True, as_json=True)
+    assert (tmp_path / "objects/x.json").read_text() == json.dumps(objects, indent=2)
+    jsonlists.write_json_lists(given, F.lit("x"), "pos", "more", str(tmp_path / "variants"))
+    assert json.loads((tmp_path / "variants/x.json").read_text("utf-8")) == objects
+    assert {(r.pos, r.kind) for r in jsonlists.mixed_lists(spark, str(tmp_path / "objects")).collect()} == {(0, "object"), (1, "string"), (2, "number")}
+    with pytest.raises(Exception, match="(?s)JSON|json|Expecting"):
+        jsonlists.write_json_lists(df, F.col("f"), "pos", "v", str(tmp_path / "out"), as_json=True)
+    assert len(list((tmp_path / "out").rglob("*.json"))) == 3 and sorted(p.name for p in tmp_path.iterdir()) == ["objects", "out", "variants"]
+
+
+def test_a_very_long_json_list(spark, tmp_path):
+    """One key of 300,000 items goes through a task item by item."""
+    jsonlists.write_json_lists(spark.range(300_000).selectExpr("id", "'x' AS v"), F.lit("long"), "id", "v", str(tmp_path / "out"))
+    assert (tmp_path / "out/long.json").read_text() == json.dumps(["x"] * 300_000, indent=2)
+
+
+def test_mixed_items_of_odd_texts(spark):
+    df = spark.createDataFrame([("a", "[]"), ("b", "{\"x\": 1}"), ("c", "no json"), ("d", None), ("e", "[\"[1]\", {\"detection\": 0}]")], "value string, text string")
+    got = jsonlists.items_of(df, "text").select("value", "pos", jsonlists.kind_of(F.col("item")).alias("kind"), jsonlists.raw_text(F.col("item")).alias("raw"), jsonlists.boolean_field(F.col("item"), "detection").alias("d"))
+    assert sorted(map(tuple, got.collect())) == [("e", 0, "string", "[1]", None), ("e", 1, "object", None, None)]
+
+
 def test_notebook_sources(spark, tmp_path):
     sources = ["[1, 2, 3]", '["a", "b"]', ["[1,\n", " 2]"], "", [], "{}", '"quoted"', "1"]
     write(tmp_path / "n/x_1.ipynb", {"cells": [{"cell_type": "code", "execution_count": None, "source": s, "outputs": []} for s in sources]})

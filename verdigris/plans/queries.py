@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verdigris.functions import labels as L
 from verdigris.functions import text as X
 from verdigris.operators import aliases, diagnostics, grading, metrics, profile, publicnames, sequence, summary, votes
-from verdigris.sources import runlog, scratch
+from verdigris.sources import jsonlists, runlog, scratch
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -410,6 +410,20 @@ def k3_append_runs(spark, sf_dir):
     return runlog.read_runs(spark, path).select("instance", "model", "task", "event_id", "run")
 
 
+@query("""WITH j AS (SELECT event_id, '[{"detection": ' || CASE event_id % 5 WHEN 0 THEN CASE WHEN value > 50 THEN 'true' ELSE 'false' END WHEN 1 THEN '"true"' WHEN 2 THEN '1' WHEN 3 THEN 'null' ELSE '{}' END || '}, "say true", true, 1.5, [1], null]' AS j FROM events),
+e AS (SELECT event_id, CAST(unnest(range(CAST(json_array_length(j) AS BIGINT))) AS INTEGER) AS pos, j FROM j), i AS (SELECT event_id, pos, json_extract(j, '$[' || pos || ']') AS item FROM e),
+k(said, kind) AS (VALUES ('OBJECT', 'object'), ('ARRAY', 'array'), ('VARCHAR', 'string'), ('BOOLEAN', 'boolean'), ('NULL', 'null'), ('UBIGINT', 'number'), ('DOUBLE', 'number'))
+SELECT event_id, pos, a.kind, b.kind AS field, CASE WHEN b.kind = 'boolean' THEN CAST(item->>'$.detection' AS BOOLEAN) END AS detection, CASE WHEN a.kind = 'string' THEN item->>'$' END AS raw
+FROM i LEFT JOIN k a ON a.said = json_type(item) LEFT JOIN k b ON b.said = json_type(item, '$.detection')""")
+def s1_mixed_items(spark, sf_dir):
+    """Items that are objects or raw texts, their fields by type."""
+    n, e = F.col("event_id") % 5, t(spark, sf_dir, "events")
+    said = F.when(n == 0, (F.col("value") > 50).cast("string")).when(n == 1, '"true"').when(n == 2, "1").when(n == 3, "null").otherwise("{}")
+    lists = e.select("event_id", F.concat(F.lit('[{"detection": '), said, F.lit('}, "say true", true, 1.5, [1], null]')).alias("value"))
+    items = jsonlists.items_of(lists, "value")
+    return items.select("event_id", "pos", jsonlists.kind_of(F.col("item")).alias("kind"), jsonlists.field_kind(F.col("item"), "detection").alias("field"), jsonlists.boolean_field(F.col("item"), "detection").alias("detection"), jsonlists.raw_text(F.col("item")).alias("raw"))
+
+
 # -- profiles --------------------------------------------------------------
 
 def _range_sql(table: str, column: str, kind: str, names: dict[str, str]) -> str:

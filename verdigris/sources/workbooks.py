@@ -12,19 +12,18 @@ import datetime as dt
 import io
 import json
 import re
-import uuid
 import zipfile
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceWriter
+
+from verdigris.sources.aside import AsideWriter
 
 #: Fixed values of the format: rows of a sheet, day 0, names of its parts, number formats that show dates.
 SHEET_ROWS = 1_048_576
@@ -236,16 +235,6 @@ def write_rows(out: io.IOBase, columns: list[str], rows: Iterator[tuple], sheet:
     return n
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    name: str
-    rows: int
-
-
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if re.match("[a-z0-9]+:", path) else f"file://{path}")
-
-
 class WorkbookSource(DataSource):
     """Writes a workbook for each partition that has rows (path is a folder), or one workbook (path ends with .xlsx)."""
 
@@ -257,52 +246,22 @@ class WorkbookSource(DataSource):
         return WorkbookWriter(schema.names, dict(self.options), overwrite)
 
 
-class WorkbookWriter(DataSourceWriter):
+class WorkbookWriter(AsideWriter):
     def __init__(self, columns: list[str], options: dict[str, str], overwrite: bool) -> None:
-        self.columns, self.overwrite, self.path = columns, overwrite, options["path"].rstrip("/")
-        self.sheet, self.marks = options.get("sheet", "Sheet1"), json.loads(options.get("marks", "{}"))
-        self.single = self.path.endswith(".xlsx")
-        above = self.path.rsplit("/", 1)[0]
-        self.aside = f"{above}/.{uuid.uuid4().hex}.writing"  # one for the job, beside the place
-        # made here, on the driver, alone: a task that outlives a failed job finds it gone and does not bring it back
-        store, aside = _opened(self.aside)
-        store.create_dir(aside, recursive=True)
-
-    def write(self, iterator: Iterator[Row]) -> _Written:
-        store, aside = _opened(self.aside)
-        name = f"{uuid.uuid4().hex}.xlsx"  # one for each attempt
-        with store.open_output_stream(f"{aside}/{name}") as f:
-            rows = write_rows(f, self.columns, (tuple(r) for r in iterator), self.sheet, self.marks)
-        return _Written(name, rows)
-
-    def commit(self, messages: list[_Written | None]) -> None:
-        store, aside = _opened(self.aside)
-        target = _opened(self.path)[1]
-        there = store.get_file_info(target).type != fs.FileType.NotFound
-        if there and not self.overwrite:
-            self.abort(messages)
-            raise FileExistsError(self.path)
-        done = [m for m in messages if m is not None]
-        done = [m for m in done if m.rows] or done[:1]
-        if self.single:
-            if len(done) != 1:
-                self.abort(messages)
+        super().__init__(options["path"], overwrite)
+        self.columns, self.sheet, self.marks = columns, options.get("sheet", "Sheet1"), json.loads(options.get("marks", "{}"))
+
+    def write_files(self, rows: Iterator[tuple], create: Callable[[str], io.IOBase]) -> int:
+        with create("part.xlsx") as f:
+            return write_rows(f, self.columns, rows, self.sheet, self.marks)
+
+    def placed(self, files: list[tuple[str, int]]) -> list[tuple[str, str]]:
+        full = [name for name, rows in files if rows] or [name for name, _ in files[:1]]
+        if self.path.endswith(".xlsx"):
+            if len(full) != 1:
                 raise ValueError("one workbook is written from one partition")
-            store.move(f"{aside}/{done[0].name}", target)
-        else:
-            ready = f"{aside}/ready"
-            store.create_dir(ready)
-            for k, m in enumerate(done):
-                store.move(f"{aside}/{m.name}", f"{ready}/part-{k:05}.xlsx")
-            if there:
-                store.delete_dir(target)
-            store.move(ready, target)
-        store.delete_dir(aside)
-
-    def abort(self, messages: list[_Written | None]) -> None:
-        store, aside = _opened(self.aside)
-        if store.get_file_info(aside).type != fs.FileType.NotFound:
-            store.delete_dir(aside)
+            return [(full[0], "")]
+        return [(name, f"part-{k:05}.xlsx") for k, name in enumerate(full)]
 
 
 def write_workbooks(table: DataFrame, path: str, sheet: str = "Sheet1", marks: dict[str, list[str]] | None = None) -> None:
