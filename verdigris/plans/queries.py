@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import labels as L
 from verdigris.functions import text as X
-from verdigris.operators import aliases, diagnostics, grading, metrics, profile, publicnames, sequence, summary, votes
+from verdigris.operators import aliases, datasets, diagnostics, grading, metrics, profile, publicnames, sequence, summary, votes
 from verdigris.sources import jsonlists, runlog, scratch
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -551,6 +551,66 @@ def f15_sampled_shapes(spark, sf_dir):
     return profile.sampled_shapes(t(spark, sf_dir, "embeddings"), ["embedding"], "vec_id")
 
 
+# Subsets of all vectors by label, of them every second one from the end, of those the ones at odd places and, counted from the end, the last.
+_SUBSETS = """base AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place, label, embedding FROM embeddings),
+one AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY place) - 1 AS pos, place FROM base),
+one_n AS (SELECT label, count(*) AS n FROM one GROUP BY 1),
+two AS (SELECT label, pos // 2 AS pos, n - 1 - pos AS at FROM one JOIN one_n USING (label) WHERE pos % 2 = 0),
+two_n AS (SELECT label, count(*) AS n FROM two GROUP BY 1)"""
+
+
+@query(f"""WITH {_SUBSETS},
+three AS (SELECT label, pos // 2 AS pos, pos AS at FROM two WHERE pos % 2 = 1 UNION ALL SELECT label, n // 2, n - 1 FROM two_n),
+d AS (SELECT 'base' AS dataset, place AS pos, place FROM base UNION ALL SELECT 'one' || label, pos, place FROM one
+  UNION ALL SELECT 'two' || label, two.pos, one.place FROM two JOIN one USING (label) WHERE one.pos = two.at
+  UNION ALL SELECT 'three' || label, three.pos, one.place FROM three JOIN two USING (label) JOIN one USING (label) WHERE two.pos = three.at AND one.pos = two.at),
+s AS (SELECT dataset, pos, len(embedding) - vec_id % 2 AS size, label FROM d JOIN base USING (place) WHERE pos < 10),
+f AS (SELECT dataset, 'input' AS field, '(' || size || ',)' AS shape FROM s UNION ALL SELECT dataset, 'label', 'int' FROM s)
+SELECT dataset, field, string_agg(DISTINCT shape, ' ' ORDER BY shape) AS shapes, count(*) AS n, CASE WHEN count(DISTINCT shape) = 1 AND min(shape) LIKE '(%' THEN '(' || count(*) || ', ' || replace(substr(min(shape), 2), ',)', ')') END AS batch_shape FROM f GROUP BY dataset, field""")
+def f15_subset_chains(spark, sf_dir):
+    e = t(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("string")
+    base = summary.positioned(e, [F.col("vec_id")], "place").withColumn("place", F.col("place") - 1)
+    nth = lambda df, order: summary.positioned(df, [F.col(order)], "pos", ["label"]).withColumn("pos", F.col("pos") - 1)
+    one = nth(base.select("label", "place"), "place")
+    size = one.groupBy("label").agg(F.count("*").alias("n"))
+    two = one.where("pos % 2 = 0").join(size, "label").select("label", F.floor(F.col("pos") / 2).alias("pos"), (F.col("n") - 1 - F.col("pos")).alias("index"))
+    half = two.groupBy("label").agg(F.count("*").alias("n"))
+    three = two.where("pos % 2 = 1").select("label", F.floor(F.col("pos") / 2).alias("pos"), F.col("pos").alias("index")).unionByName(half.select("label", F.floor(F.col("n") / 2).alias("pos"), F.lit(-1).cast("long").alias("index")))
+    name = lambda stem: F.concat(F.lit(stem), label)
+    levels = [("one", one.select("label", "pos", F.col("place").alias("index")), F.lit("base")), ("two", two, name("one")), ("three", three, name("two"))]
+    known = e.agg(F.count("*").alias("length")).select(F.lit("base").alias("dataset"), F.lit(None).cast("string").alias("parent"), "length")
+    indices = None
+    for stem, rows, parent in levels:
+        known = known.unionByName(rows.groupBy("label").agg(F.count("*").alias("length")).select(name(stem).alias("dataset"), parent.alias("parent"), "length"))
+        more = rows.select(name(stem).alias("dataset"), "pos", "index")
+        indices = more if indices is None else indices.unionByName(more)
+    shape = F.concat(F.lit("("), (F.size("embedding") - F.col("vec_id") % 2).cast("string"), F.lit(",)"))
+    samples = base.select(F.lit("base").alias("dataset"), "place", F.posexplode(F.array(shape, F.lit("int"))).alias("number", "shape")).select("dataset", "place", datasets.field_name(F.col("number")).alias("field"), "shape")
+    return datasets.sample_shapes(datasets.sample_places(known, indices), samples).withColumn("shapes", F.array_join("shapes", " "))
+
+
+@query("""WITH r AS (SELECT event_id AS id, event_id % 6 AS k, CAST(props AS JSON)->>'$.k' AS v FROM events),
+f(k, kind, key, value) AS (VALUES (0, 'directory_iterator', 'n_samples', 'v'), (0, 'directory_iterator', 'num_classes', NULL), (0, 'directory_iterator', 'batch_size', '32'), (0, 'directory_iterator', 'image_shape', 'shape'), (0, 'directory_iterator', 'target_size', NULL),
+(1, 'dataset', 'type', 'tensorflow.python.data.ops.MapDataset'), (1, 'dataset', 'element_spec', 'v'),
+(2, 'frame_iterator', 'type', 'keras.src.image.DataFrameIterator'), (2, 'frame_iterator', 'n_samples', 'v'), (2, 'frame_iterator', 'samples', 'v'), (2, 'frame_iterator', 'batch_size', NULL), (2, 'frame_iterator', 'image_shape', NULL), (2, 'frame_iterator', 'class_mode', 'binary'), (2, 'frame_iterator', 'num_classes', '2'),
+(3, 'loader', 'type', 'torch.utils.data.dataloader.DataLoader'), (3, 'loader', 'num_batches', 'v'), (3, 'loader', 'num_examples', 'v'), (3, 'loader', 'batch_size', '8'), (3, 'loader', 'dataset_type', NULL),
+(4, 'estimator', 'class_name', 'Ridge'), (4, 'estimator', 'module', 'sklearn.linear_model'), (4, 'estimator', 'is_fitted', 'fitted'), (4, 'estimator', 'n_features_in_', 'features'), (4, 'estimator', 'n_outputs_', 'outputs'))
+SELECT id, kind, key, CASE value WHEN 'v' THEN v WHEN 'shape' THEN '(' || v || ', 2)' WHEN 'fitted' THEN CASE WHEN id % 4 = 0 THEN 'true' ELSE 'false' END WHEN 'features' THEN v WHEN 'outputs' THEN NULL ELSE value END AS value
+FROM r JOIN f USING (k) WHERE NOT (key IN ('n_features_in_', 'n_outputs_') AND id % 4 <> 0)""")
+def f11_f17_recorded_metadata(spark, sf_dir):
+    """Five kinds of records and one that is none, in one table."""
+    k, v = F.col("event_id") % 6, F.get_json_object("props", "$.k")
+    classes = F.element_at(F.array(*[F.struct(F.lit(m).alias("module"), F.lit(c).alias("class_name")) for m, c in (("keras.src.image", "DirectoryIterator"), ("tensorflow.python.data.ops", "MapDataset"), ("keras.src.image", "DataFrameIterator"), ("torch.utils.data.dataloader", "DataLoader"), ("sklearn.linear_model", "Ridge"), ("torch", "DataLoader"))]), (k + 1).cast("int"))
+    given = (
+        F.when(k == 0, F.format_string('{"n": %s, "batch_size": 32, "image_shape": [%s, 2], "target_size": null}', v, v)).when(k == 1, F.format_string('{"element_spec": "%s"}', v))
+        .when(k == 2, F.format_string('{"n": %s, "samples": "%s", "class_mode": "binary", "class_indices": {"a": 0, "b": [1]}}', v, v)).when(k == 3, F.format_string('{"length": %s, "batch_size": 8, "dataset": {"length": %s}}', v, v))
+        .when(F.col("event_id") % 4 == 0, F.format_string('{"alpha": 1, "coef_": [1], "n_features_in_": %s}', v)).otherwise('{"alpha": 1, "__private__": 2}')
+    )
+    rows = t(spark, sf_dir, "events").select(F.col("event_id").alias("name"), classes.alias("c"), given.alias("attributes")).select("name", "c.*", "attributes")
+    return datasets.recorded_metadata(rows).withColumnRenamed("name", "id")
+
+
 @query("SELECT count(DISTINCT p_type) AS n_classes, 'string' AS dtype FROM part")
 def f16_classes(spark, sf_dir):
     p = t(spark, sf_dir, "part")
