@@ -141,6 +141,22 @@ def test_nested_arrays(spark):
     assert tuple(got[1].s) == ("(1, 1)", "string", None, None, None, False) and tuple(got[1].t) == ("(2, 2)", "double", "cpu", True, True)
 
 
+def test_positions_of_a_whole_table(spark):
+    """Numbered by ranges: the rows and positions of a sort, ties numbered apart, and no window."""
+    rows = [((k * 7) % 10 if k % 3 else None, f"v{k % 4}", {"a": k}) for k in range(300)] + [(5, "tie", None)] * 200
+    df = spark.createDataFrame(rows, "n int, s string, m map<string,int>").repartition(7)
+    for order in ([F.col("n").desc_nulls_last(), F.col("s")], [F.col("s").desc()], [F.lit(1)]):
+        out = summary.positioned(df, order)
+        got = out.orderBy("position").collect()
+        assert [r.position for r in got] == list(range(1, 501)) and out.columns == ["n", "s", "m", "position"]
+        assert "Window" not in plan_of(out)
+        if len(order) == 2:
+            assert [(r.n, r.s) for r in got] == sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert summary.positioned(df.limit(0), [F.col("n")]).collect() == []
+    within = summary.positioned(df, [F.col("n")], "at", ["s"]).where("s = 'tie'").collect()
+    assert sorted(r["at"] for r in within) == list(range(1, 201))
+
+
 def test_shapes_of_ragged_and_missing_arrays(spark):
     given = {1: [[[1.0], [2.0]], [[3.0], [None]]], 2: [[[1.0], None]], 3: [[], []], 4: [[[1.0]], []], 5: [None, [[-1.0, 4.0]]], 6: [[[1.0, 2.0], [3.0]]], 7: []}
     df = spark.createDataFrame(list(given.items()), "i int, x array<array<array<double>>>")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from verdigris.plans import evaluation
 from verdigris.sources import jsonlists, readers, runlog, sinks
+from verdigris.streaming import runs as streaming_runs
 from verdigris.streaming import votes as streaming_votes
 
 
@@ -168,6 +169,44 @@ def test_streamed_votes(spark, tmp_path):
     assert votes(str(tmp_path / "compact")) == votes()
 
 
+def test_votes_of_runs_that_come_again_and_late(spark, tmp_path):
+    """After each batch the stream's votes are those of all rows so far in one batch, each run counted once."""
+    kinds = "cell string, model string, run long, label string"
+    batches = [
+        [("a", "m", 5, "x"), ("a", "m", 6, "y"), ("b", "m", 1, "z"), (None, "m", 1, "n")], [("a", "m", 5, "x")] * 3 + [("b", "m", None, "w"), ("b", "m", 2, None)],
+        [("a", "m", 1, "y"), ("b", "m", 0, "w"), ("b", "n", 0, "w")], [("a", "m", 1, "y"), ("a", "m", 0, "x"), ("b", "m", 1, "z")], [("a", "m", 9, "x"), ("a", "m", 6, "y")],
+    ]
+    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(key, streaming_runs.STATE_STORE)
+    try:
+        (tmp_path / "in").mkdir()
+        stream = spark.readStream.schema(kinds).parquet(str(tmp_path / "in"))
+        now = {}
+
+        def keep(df, _):
+            now.update({(r.cell, r.model): (r.vote, r.n_votes) for r in df.collect()})
+
+        for k, rows in enumerate(batches):
+            spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "in"), mode="append")
+            votes = streaming_runs.votes_of_runs(stream, ["cell", "model"], "label", "run")
+            votes.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+            so_far = spark.createDataFrame([r for b in batches[: k + 1] for r in b], kinds)
+            assert now == {(r.cell, r.model): (r.vote, r.n_votes) for r in streaming_runs.votes_of_batch(so_far, ["cell", "model"], "label", "run").collect()}
+        assert now == {("a", "m"): ("x", 3), ("b", "m"): ("w", 1), ("b", "n"): ("w", 1), (None, "m"): ("n", 1)}
+        # runs that are remembered for a time: such a stream never runs out of batches
+        now.clear()
+        votes = streaming_runs.votes_of_runs(stream, ["cell", "model"], "label", "run", seen_ms=3_600_000)
+        q = votes.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp2")).foreachBatch(keep).start()
+        for _ in range(60):
+            if len(now) == 4 or q.exception():
+                break
+            q.awaitTermination(1)
+        q.stop()
+        assert now[("a", "m")] == ("x", 3) and len(now) == 4
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_final_statistics(spark):
     human = spark.createDataFrame([("n_1_fixed", "correct", "wrong"), ("n_1_reproduced", "wrong", None)], "instance string, m_code string, m_info string")
     llm = spark.createDataFrame([("n_1_fixed", "correct", "correct"), ("n_1_reproduced", "correct", "correct")], "instance string, m_code string, m_info string")

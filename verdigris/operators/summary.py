@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdigris.functions.labels import matches
+from verdigris.sources.scratch import kept
 
 
 def pivoted(facts: DataFrame, keys: list[str], column: str, values: list[str], value: str, order: str) -> DataFrame:
@@ -77,8 +79,26 @@ def scattered(table: DataFrame, updates: DataFrame, key: str, value: str) -> Dat
 
 
 def positioned(table: DataFrame, order: list[Column], name: str = "position", partitions: list[str] = ()) -> DataFrame:
-    """table with a 1-based position in an order. Without `partitions` the rows meet in one task: for reports alone."""
-    return table.withColumn(name, F.row_number().over(Window.partitionBy(*partitions).orderBy(*order)).cast("long"))
+    """table with a 1-based position in an order, within `partitions` or among all rows; of rows that tie any may come first.
+
+    All rows are numbered without meeting in one task: they are dealt by ranges
+    of the order (of ties, by a hash of the row) and sorted within them, and a
+    row's position is its place in its range behind the sizes of the ranges
+    before. The dealt rows are written once, so that places and sizes agree.
+    """
+    if partitions:
+        return table.withColumn(name, F.row_number().over(Window.partitionBy(*partitions).orderBy(*order)).cast("long"))
+    spark = table.sparkSession
+    hashable = [F.col(f"`{f.name}`") for f in table.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    keys = [*order, F.xxhash64(*hashable)] if hashable else order
+    dealt = table.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.struct(*[F.col(f"`{c}`") for c in table.columns]).alias("row"), F.monotonically_increasing_id().alias("at"))
+    dealt = kept(dealt.select("row", F.shiftright("at", 33).cast("int").alias("range"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "ranges")
+    starts, n = [], 0
+    for r in dealt.groupBy("range").count().orderBy("range").collect():  # a row for each range
+        starts.append((r["range"], n))
+        n += r["count"]
+    before = F.broadcast(spark.createDataFrame(starts, "range int, before long"))
+    return dealt.join(before, "range").select("row.*", (F.col("before") + F.col("at") + 1).alias(name))
 
 
 def head_by_position(table: DataFrame, ordinal: str, n: int) -> DataFrame:

@@ -370,6 +370,12 @@ def o5_listed_order(spark, sf_dir):
     return summary.positioned(s, L.listed_order(F.col("event_type"), F.col("first_seen"), ["purchase", "absent", "error"])).select("event_type", "position")
 
 
+@query("SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderstatus DESC, o_totalprice, o_orderkey) AS position FROM orders")
+def o5_whole_table_positions(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return summary.positioned(o, [F.col("o_orderstatus").desc(), F.col("o_totalprice"), F.col("o_orderkey")]).drop("o_totalprice")
+
+
 @query("SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS run FROM events GROUP BY 1")
 def o6_ordered_list(spark, sf_dir):
     e = t(spark, sf_dir, "events")
