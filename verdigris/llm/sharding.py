@@ -4,15 +4,16 @@ Documents of equal text are one unit (a group larger than an eighth of a shard
 is dealt into several). Units are linked where they share a line of at least
 MIN_LINE characters; a line in m units links each to the m - 1 others, with a
 weight of UNIT / (m - 1), so a line that all documents have pulls nowhere. The
-links are never listed: a line sums up the labels of its units, and a unit votes
-over its lines' sums without its own part, so a frequent line is one row of at
-most as many counts as there are shards. Labels start from a hash of the text.
+links are never listed: a line counts the labels of its units, and a unit votes
+over its lines' counts without its own part, so a frequent line is one row of as
+many counts as there are shards; those of the most frequent lines are sent to
+all tasks, so no line gathers its units. Labels start from a hash of the text.
 In each round a unit wishes to go where most of its links' weight lies; the
 wishes are counted by (from, to, power of the gain), and a shard takes them by
 falling gain until it is SLACK above its quota. Odd rounds move up, even rounds
 down, so linked units don't swap places. The rounds end when two of them raise
 the part of all shared lines that stands in its line's largest shard by less
-than ENOUGH, after ROUNDS at the latest.
+than ENOUGH; there is no other limit.
 
 At last all rows are put in order of label, group and id, and the order is cut
 into shards whose counts differ by at most one: law `rows`. A cut parts at most
@@ -28,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import by_key, drop_written, unit_hash, written
+from verdigris.llm.common import by_key, drop_written, joined_apart, unit_hash, written
 
-SHARDS, ROUNDS, ENOUGH, SLACK, MIN_LINE, UNIT = 24, 8, 0.01, 0.02, 40, 1000
+SHARDS, ENOUGH, SLACK, MIN_LINE, UNIT = 24, 0.01, 0.02, 40, 1000
 
 
 def _shared(lines: DataFrame, units: DataFrame) -> DataFrame:
@@ -63,40 +64,65 @@ def _accepted(spark: SparkSession, wishes: list, load: np.ndarray, most: float)
     return spark.createDataFrame(out, "shard int, to int, gain int, part double")
 
 
-def propagate(units: DataFrame, shared: DataFrame, shards: int, rows: int, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
-    """unit, shard after the rounds. units: unit, rows, shard; shared: as from _shared."""
+def _counts(rows: DataFrame, shards: int) -> DataFrame:
+    """line, m, most, by: how many units have the line, in the largest shard, and in each shard, as an array. rows: line, unit, shard."""
+    by = [F.sum(F.when(F.col("shard") == k, 1).otherwise(0)).cast("int") for k in range(shards)]
+    out = rows.groupBy("line").agg(F.count("*").alias("m"), F.array(*by).alias("by"))
+    return out.select("line", "m", F.array_max("by").alias("most"), "by")
+
+
+def _votes(rows: DataFrame, counts: DataFrame, shards: int, n: int) -> DataFrame:
+    """unit, rows, shard, lines, to, most, here: where most of a unit's weight lies, and how much lies there and where it is. rows: unit, rows, shard, line."""
+    met = joined_apart(rows, counts, ["line"], "m", n)
+    others = [F.element_at("by", k + 1) - F.when(F.col("shard") == k, 1).otherwise(0) for k in range(shards)]
+    sums = [F.sum(F.floor(o * UNIT / (F.col("m") - 1))) for o in others]
+    out = met.groupBy("unit", "rows", "shard").agg(F.collect_list("line").alias("lines"), F.array(*sums).alias("w"))
+    best = F.array_max(F.array(*[F.struct(F.element_at("w", k + 1).alias("weight"), F.lit(-k).alias("to")) for k in range(shards)]))
+    return out.select("unit", "rows", "shard", "lines", best.alias("best"), F.element_at("w", F.col("shard") + 1).alias("here")).select("unit", "rows", "shard", "lines", (-F.col("best.to")).alias("to"), F.col("best.weight").alias("most"), "here")
+
+
+def propagate(units: DataFrame, shared: DataFrame, shards: int, rows: int, rounds: int | None = None, slack: float = SLACK) -> DataFrame:
+    """unit, shard after the rounds. units: unit, rows, shard; shared: as from _shared. rounds: at most so many; without it they end by themselves."""
     spark = units.sparkSession
-    labels, kept, n, n_units = units.select("unit", "rows", "shard"), [], shared.count(), units.count()
-    for at in range(rounds):
-        labelled = written(shared.join(by_key(labels), "unit"), "labelled", rows=n)
-        spread = written(_spread(labelled), "spread", rows=n)
-        all_of = spread.agg(F.sum("most").alias("most"), F.sum("m").alias("m")).collect()[0]
-        if not all_of["m"]:
-            break
+    n = shared.count()
+    if not n or rounds == 0:
+        return units.select("unit", "shard")
+    # A unit and its lines are one row, so a round deals (unit, line) once by line and once by unit.
+    lined = shared.groupBy("unit").agg(F.collect_list("line").alias("lines"))
+    state = before = written(units.select("unit", "rows", "shard").join(by_key(lined), "unit"), "state", rows=n)
+    fixed = _loads(units, shards) - _loads(state, shards)  # of units without shared lines, which never move
+    kept: list[float] = []
+    while rounds is None or len(kept) < rounds:
+        at = len(kept)
+        dealt = state.select("unit", "rows", "shard", F.explode("lines").alias("line"))
+        counts = written(_counts(dealt, shards), "counts", rows=n)
+        all_of = counts.agg(F.sum("most").alias("most"), F.sum("m").alias("m")).collect()[0]
         kept.append(all_of["most"] / all_of["m"])
         if at >= 2 and at % 2 == 0 and kept[-1] - kept[-3] < ENOUGH:
+            drop_written(counts)
             break
-        votes = labelled.join(by_key(spread.select("line", "m", "by")), "line").select("unit", "rows", "shard", "m", F.explode("by").alias("x"))
-        others = F.col("x.n") - F.when(F.col("x.shard") == F.col("shard"), 1).otherwise(0)
-        votes = votes.select("unit", "rows", "shard", F.col("x.shard").alias("to"), F.floor(others * UNIT / (F.col("m") - 1)).alias("weight"))
-        # dealt by unit once for both sums
-        sums = votes.repartition("unit").groupBy("unit", "rows", "shard", "to").agg(F.sum("weight").alias("weight"))
-        best = sums.groupBy("unit", "rows", "shard").agg(F.max(F.struct("weight", -F.col("to"), "to"))["to"].alias("to"), F.max("weight").alias("most"), F.sum(F.when(F.col("to") == F.col("shard"), F.col("weight")).otherwise(0)).alias("here"))
         gain = F.col("most") - F.col("here")
-        wish = best.where((gain > 0) & ((F.col("to") > F.col("shard")) if at % 2 == 0 else (F.col("to") < F.col("shard")))).select("unit", "rows", "shard", "to", F.floor(F.log2(gain) * 4).cast("int").alias("gain"))
-        wish = written(wish, "wishes", rows=n_units)
-        counted = wish.groupBy("shard", "to", "gain").agg(F.sum("rows").alias("rows")).collect()
-        if counted:
-            load = np.zeros(shards)
-            for r in labels.groupBy("shard").agg(F.sum("rows").alias("rows")).collect():
-                load[r["shard"]] = r["rows"]
-            part = _accepted(spark, counted, load, rows / shards * (1 + slack))
-            moved = wish.join(F.broadcast(part), ["shard", "to", "gain"]).where(unit_hash("unit", seed=at + 1) < F.col("part")).select("unit", "to")
-            after = written(labels.join(by_key(moved), "unit", "left").select("unit", "rows", F.coalesce("to", "shard").alias("shard")), "labels", rows=n_units)
-            drop_written(labels)
-            labels = after
-        drop_written(labelled, spread, wish)
-    return labels.select("unit", "shard")
+        moves = (gain > 0) & ((F.col("to") > F.col("shard")) if at % 2 == 0 else (F.col("to") < F.col("shard")))
+        voted = written(_votes(dealt, counts, shards, n).select("unit", "rows", "shard", "lines", "to", F.when(moves, F.floor(F.log2(gain) * 4)).cast("int").alias("gain")), "voted", rows=n)
+        drop_written(counts, before)
+        state = before = voted
+        counted = voted.groupBy("shard", F.when(F.col("gain").isNotNull(), F.col("to")).alias("to"), "gain").agg(F.sum("rows").alias("rows")).collect()
+        load = fixed.copy()
+        for r in counted:
+            load[r["shard"]] += r["rows"]
+        if wishes := [r for r in counted if r["gain"] is not None]:
+            part = _accepted(spark, wishes, load, rows / shards * (1 + slack))
+            goes = F.coalesce(unit_hash("unit", seed=at + 1) < F.col("part"), F.lit(False))
+            state = voted.join(F.broadcast(part), ["shard", "to", "gain"], "left").select("unit", "rows", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard"), "lines")
+    moved = state.select("unit", F.col("shard").alias("_to"))
+    return units.select("unit", "shard").join(by_key(moved), "unit", "left").select("unit", F.coalesce("_to", "shard").alias("shard"))
+
+
+def _loads(units: DataFrame, shards: int) -> np.ndarray:
+    load = np.zeros(shards)
+    for r in units.groupBy("shard").agg(F.sum("rows").alias("rows")).collect():  # a row for each shard
+        load[r["shard"]] = r["rows"]
+    return load
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
@@ -104,7 +130,7 @@ def lines_of(rows: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("th", F.lit(0)).alias("unit"), F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.length(x) >= MIN_LINE), lambda x: F.xxhash64(x)))).alias("line")).distinct()
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, label for each row of docs.
 
     size: UTF-8 bytes of the text plus 8, 8 for null; text_crc32: that of no
