@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from verdigris.functions import labels as L
@@ -157,6 +158,28 @@ def test_positions_of_a_whole_table(spark):
     assert sorted(r["at"] for r in within) == list(range(1, 201))
 
 
+def test_places_that_are_missing_lose_ties(spark):
+    df = spark.createDataFrame([("a", "x", None), ("a", "y", 7), ("b", "x", None), ("b", "x", None), ("b", "y", 1)], "k string, v string, o int")
+    for last in (False, True):
+        assert {r.k: r.vote for r in votes.majority_vote(df, ["k"], "v", "o", last_wins=last).collect()} == {"a": "y", "b": "x"}
+
+
+def test_updates_of_one_key_must_be_one(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
+    up = spark.createDataFrame([(1, "x"), (9, "y"), (9, "z"), (2, None)], "k int, v string")
+    assert {r.k: r.v for r in summary.scattered(base, up, "k", "v").collect()} == {1: "x", 2: "b", 3: None}
+    with pytest.raises(Exception, match="several updates of 1"):
+        summary.scattered(base, up.union(up), "k", "v").collect()
+
+
+def test_callables_with_stored_sources(spark):
+    rows = [("n", "f", "(x)", "d", None, True), ("n", "g", None, None, "def g", True), ("n", "h", "()", None, None, False), ("m", "f", None, None, None, True)]
+    given = spark.createDataFrame(rows, "instance string, name string, signature string, doc string, source string, user_defined boolean")
+    stored = spark.createDataFrame([("n", "f", "def f"), ("n", "g", "old g"), ("n", "h", "def h")], "instance string, name string, source string")
+    got = {(r.instance, r.name): r.callable.source for r in profile.with_stored_sources(given, stored).collect()}
+    assert got == {("n", "f"): "def f", ("n", "g"): "def g", ("n", "h"): None, ("m", "f"): None}
+
+
 def test_shapes_of_ragged_and_missing_arrays(spark):
     given = {1: [[[1.0], [2.0]], [[3.0], [None]]], 2: [[[1.0], None]], 3: [[], []], 4: [[[1.0]], []], 5: [None, [[-1.0, 4.0]]], 6: [[[1.0, 2.0], [3.0]]], 7: []}
     df = spark.createDataFrame(list(given.items()), "i int, x array<array<array<double>>>")

@@ -292,9 +292,16 @@ def sampled_shapes(rows: DataFrame, fields: list[str], order: str, most: int = 1
     return long.groupBy("field").agg(F.array_join(F.sort_array(F.collect_set("n")).cast("array<string>"), ",").alias("sizes"))
 
 
-def callable_profile(signature: Column, doc: Column, source: Column, user_defined: Column) -> Column:
-    """Recorded metadata of a callable; the source only of user-defined functions."""
-    return F.struct(signature.alias("signature"), doc.alias("doc"), F.when(user_defined, source).alias("source"))
+def callable_profile(signature: Column, doc: Column, source: Column, user_defined: Column, stored: Column | None = None) -> Column:
+    """Recorded metadata of a callable; the source only of user-defined functions, and where it could not be read (null) the stored one of its name."""
+    return F.struct(signature.alias("signature"), doc.alias("doc"), F.when(user_defined, F.coalesce(source, stored) if stored is not None else source).alias("source"))
+
+
+def with_stored_sources(callables: DataFrame, stored: DataFrame) -> DataFrame:
+    """callables (instance, name, signature, doc, source, user_defined) with `callable`: callable_profile, sources that could not be read taken from stored (instance, name, source), where a name that stands twice has its last source by text."""
+    kept_ = stored.groupBy("instance", "name").agg(F.max("source").alias("_stored"))
+    out = callables.join(kept_, ["instance", "name"], "left")
+    return out.withColumn("callable", callable_profile(F.col("signature"), F.col("doc"), F.col("source"), F.col("user_defined"), F.col("_stored"))).drop("_stored")
 
 
 @dataclass(frozen=True)

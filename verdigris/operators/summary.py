@@ -74,8 +74,10 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, value: str, missing:
 
 
 def scattered(table: DataFrame, updates: DataFrame, key: str, value: str) -> DataFrame:
-    """table with new values where updates have the key; unknown keys are ignored. The last of several updates is not defined, so keys must be unique."""
-    return table.join(updates.select(key, F.col(value).alias("_new")), key, "left").withColumn(value, F.coalesce("_new", value)).drop("_new")
+    """table with new values where updates have the key; unknown keys and null values change nothing. An error where several updates have one key of the table."""
+    one = updates.groupBy(key).agg(F.count("*").alias("_n"), F.first(value).alias("_new"))
+    new = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("several updates of "), F.col(key).cast("string")))).otherwise(F.coalesce("_new", value))
+    return table.join(one, key, "left").withColumn(value, new).drop("_new", "_n")
 
 
 def positioned(table: DataFrame, order: list[Column], name: str = "position", partitions: list[str] = ()) -> DataFrame:

@@ -10,13 +10,13 @@ def majority_vote(labels: DataFrame, keys: list[str], label: str, order: str, al
     """keys, vote, n_votes: the most frequent label of each key, ties to the one seen first (or last) in `order`.
 
     Two partial aggregations and no window, so a key with very many labels is
-    summed up before it moves. order may be of any type that has an order.
-    Null labels don't vote. Keys of all_keys without votes get an empty vote.
+    summed up before it moves. order may be of any type that has an order; a
+    label that has no place in it loses ties. Null labels don't vote. Keys of all_keys without votes get an empty vote.
     """
     seen = F.max(order) if last_wins else F.min(order)
     counted = labels.where(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.count("*").alias("_n"), seen.alias("_at"))
     # The largest count, then the earliest (latest) place: both as one comparable struct.
-    best = F.max_by(label, F.struct("_n", "_at")) if last_wins else F.min_by(label, F.struct(-F.col("_n"), F.col("_at")))
+    best = F.max_by(label, F.struct("_n", "_at")) if last_wins else F.min_by(label, F.struct(-F.col("_n"), F.col("_at").isNull(), F.col("_at")))
     voted = counted.groupBy(*keys).agg(best.alias("vote"), F.max("_n").alias("n_votes"))
     if all_keys is None:
         return voted
