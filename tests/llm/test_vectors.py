@@ -84,6 +84,17 @@ def test_top_k_through_heads_and_floors(spark, head, monkeypatch):
         assert list(got[got.query_id == q].sort_values("rank")[["rank", "vec_id", "score"]].itertuples(index=False, name=None)) == exact_top([x[:2] for x in rows], q, rows[q][1])
 
 
+def test_sums_beyond_a_long_are_an_error(spark):
+    """In the candidates as in the queries; the largest sums that fit are right."""
+    kind = "vec_id long, embedding array<double>"
+    fits = spark.createDataFrame([(0, [2.0**20, 2.0**20]), (1, [2.0**20, -(2.0**20)]), (2, [2.0**20, 2.0**20])], kind)
+    assert [(r.vec_id, r.score) for r in topk.top_k(fits, fits.where("vec_id = 0")).orderBy("rank").collect()] == [(2, 2**61), (1, 0)]
+    large = spark.createDataFrame([(3, [2.0**22, 1.0])], kind)
+    for vectors, queries in ((fits.union(large), fits), (fits, large), (fits.union(spark.createDataFrame([(4, [1e300, 0.0])], kind)), fits)):
+        with pytest.raises(Exception, match="(?s)do not fit|OVERFLOW"):
+            topk.top_k(vectors, queries).collect()
+
+
 def test_heads_stop_skewed_queries():
     r = np.random.default_rng(6)
     share = {}

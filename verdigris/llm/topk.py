@@ -99,6 +99,13 @@ def _start(heads: np.ndarray, ids: np.ndarray, ends: tuple[np.ndarray, np.ndarra
     return best, score[best], done
 
 
+def _fitting(v: np.ndarray) -> np.ndarray:
+    """v, rows of whole numbers; an error if inner products of such rows could be beyond a long. Of two sets of rows that pass alone, products of one with the other fit too."""
+    if v.size and v.shape[-1] * float(np.abs(v.astype(np.float64)).max()) ** 2 >= 2.0**63:
+        raise OverflowError("inner products do not fit a long")
+    return v
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024, head: int = HEAD) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products over components floor(scale * x).
 
@@ -107,7 +114,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     without components scores 0 with its like. A query is not its own
     candidate, rows with its id neither. Repeated query rows are asked once; of
     several vectors with one id the smallest by its components is the query.
-    As candidates rows count each, repeated ones too. Sums must fit a long. An empty table gives no rows; other columns are left out.
+    As candidates rows count each, repeated ones too. Components whose sums of products might not fit a long are an error. An empty table gives no rows; other columns are left out.
     """
     spark = vectors.sparkSession
     ok = lambda v: v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -123,7 +130,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
         ids, values = [], []
 
         def block() -> pa.RecordBatch:
-            i, v = np.concatenate(ids), np.concatenate(values)
+            i, v = np.concatenate(ids), _fitting(np.concatenate(values))
             by_id = np.argsort(i, kind="stable")
             return pa.RecordBatch.from_arrays([pa.array([len(i)]), pa.array([i[by_id].tobytes()], pa.binary()), pa.array([v[by_id].tobytes()], pa.binary())], ["n", "ids", "x"])
 
@@ -163,7 +170,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_start(heads, head_ids, ends, q, own, k) for own, q in zip(b.column(0).to_numpy(), _matrix(b.column(1), d))]
+            found = [_start(heads, head_ids, ends, q, own, k) for own, q in zip(b.column(0).to_numpy(), _fitting(_matrix(b.column(1), d)))]
             best, scores = (pa.array([x.tolist() for x in c], pa.list_(pa.int64())) for c in ([head_ids[f[0]] for f in found], [f[1] for f in found]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), best, scores, pa.array([f[2] for f in found], pa.bool_())], ["vec_id", "v", "best", "scores", "done"])
 
