@@ -42,17 +42,6 @@ def _shared(lines: DataFrame, units: DataFrame) -> DataFrame:
     return written(lines.join(by_key(often), "line", "left_semi").select("line", "unit").unionByName(parts), "shared")
 
 
-def _spread(labelled: DataFrame) -> DataFrame:
-    """line, m, most, by: how many units have the line, in the largest shard, and in each shard (shard, n). labelled: line, unit, shard."""
-    return labelled.groupBy("line", "shard").agg(F.count("*").alias("n")).groupBy("line").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.collect_list(F.struct("shard", "n")).alias("by"))
-
-
-def kept_share(shared: DataFrame, labels: DataFrame) -> float:
-    """The part of all (line, unit) that stand in their line's largest shard; 1 without shared lines."""
-    r = _spread(shared.join(by_key(labels.select("unit", "shard")), "unit")).agg(F.sum("most").alias("most"), F.sum("m").alias("m")).collect()[0]
-    return r["most"] / r["m"] if r["m"] else 1.0
-
-
 def _accepted(spark: SparkSession, wishes: list, load: np.ndarray, most: float) -> DataFrame:
     """The part of each (shard, to, gain) that moves. wishes: rows (shard, to, gain, rows), at most shards x shards for each power of a gain."""
     room = most - load
