@@ -213,8 +213,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(docs: DataFrame, model: ByteRnn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred string, score double for each row of docs, from the text alone.
 
-    Null texts and texts without a letter are UNKNOWN with score 0. Repeated
-    rows each get their result; other columns are left out.
+    Null texts and texts without a letter are UNKNOWN with score 0. A model
+    fitted on no label knows UNKNOWN alone and gives it to every other text with
+    score 1. Repeated rows each get their result; other columns are left out.
     """
     small_batches(docs.sparkSession)
 
