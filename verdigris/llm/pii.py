@@ -42,8 +42,8 @@ PATTERNS = {
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
     "context": "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9@_/\\\\]*+[0-9@_/\\\\][^\\x20\\x09-\\x0D]*+",
 }
-#: Texts without this character have no match.
-_NEEDS = {"email": "@", "ip": ".", "phone": "+"}
+#: A text in which this is not found has no match: a plain character, or a short pattern.
+_NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9](?:[\\x20-]?[0-9]){13}", "phone": "+", "context": "[0-9@_/\\\\]"}
 #: At least 20 letters, digits, hyphens or underscores that change from digits to others four times.
 SECRET = "^(?=(?:[A-Za-z_-]*+[0-9]++[A-Za-z_-]++){4})[A-Za-z0-9_-]{20,}$"
 MIN_SUPPORT, CONFIDENT = 5, 0.9
@@ -72,15 +72,17 @@ def _matches(text: Column, kind: int) -> Column:
     pattern = PATTERNS[KINDS[kind]]
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     shifted = lambda a, n: F.slice(a, F.lit(1 + n), F.size(a)) if n > 0 else F.concat(F.array(F.lit("")), a)
-    zipped = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), shifted(gaps, 1).alias("gap1"), shifted(gaps, 2).alias("gap2"), shifted(hits, 1).alias("hit1"), shifted(gaps, -1).alias("gap0"), shifted(hits, -1).alias("hit0"))
+    zip_of = lambda gaps, hits: F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), shifted(gaps, 1).alias("gap1"), shifted(gaps, 2).alias("gap2"), shifted(hits, 1).alias("hit1"), shifted(gaps, -1).alias("gap0"), shifted(hits, -1).alias("hit0"))
     words = lambda parts, n: F.lower(F.substring_index(F.trim(F.translate(F.concat(*[F.coalesce(p, F.lit("")) for p in parts]), "\n\t\r\x0b\f", "     ")), " ", n))
     # the text around a match, matches beside it included
     before = lambda x: words([x["gap0"], x["hit0"], x["gap"]], -2)
     after = lambda x: words([x["gap1"], x["hit1"], x["gap2"]], 2)
-    found = F.transform(zipped, lambda x, i: F.when(x["hit"].isNotNull(), F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), x["hit"].alias("hit"), before(x).alias("before"), after(x).alias("after"))))
-    needs = _NEEDS.get(KINDS[kind])
-    tried = text.contains(needs) if needs else text.rlike("[0-9@_/\\\\]" if kind == 4 else "[0-9]")
-    return F.when(tried, F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,hit:string,before:string,after:string>>"))
+    found = lambda zipped: F.transform(zipped, lambda x, i: F.when(x["hit"].isNotNull(), F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), x["hit"].alias("hit"), before(x).alias("before"), after(x).alias("after"))))
+    needs = _NEEDS[KINDS[kind]]
+    tried = text.contains(needs) if len(needs) == 1 else text.rlike(needs)
+    # Bound as a lambda's variable, as Spark would else split and search the text anew for each use.
+    once = F.transform(F.array(F.struct(gaps.alias("gaps"), hits.alias("hits"))), lambda t: found(zip_of(t["gaps"], t["hits"])))
+    return F.when(tried, F.filter(once[0], lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,hit:string,before:string,after:string>>"))
 
 
 def _shape(token: Column) -> Column:
