@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import by_key, drop_written, written
+from verdigris.llm.common import by_key, drop_written, joined_apart, written
 
 KINDS = ["email", "ip", "card", "phone", "context"]
 _LOCAL, _HOST, _PART = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]", "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -99,19 +99,38 @@ def _patterns(before: Column, instance: Column, after: Column) -> Column:
 
 
 def _bootstrap(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Instances and patterns, with their scores, that get to CONFIDENT; instances that are seeds are left out. edges: pattern, instance (distinct); seeds: instance (distinct)."""
-    enough = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SUPPORT)
-    edges = edges.join(by_key(enough), "pattern").join(by_key(seeds.withColumn("seed", F.lit(1.0))), "instance", "left")
-    edges = written(edges.select("pattern", "instance", "n", F.coalesce("seed", F.lit(0.0)).alias("seed")), "edges")
-    scores, found = edges.where("seed > 0").select("instance", F.col("seed").alias("score")).distinct(), 0
+    """Instances and patterns, with their scores, that get to CONFIDENT; instances that are seeds are left out. edges: pattern, instance (distinct, read several times); seeds: instance (distinct).
+
+    Seeds always score 1, so each pattern keeps their number and only the edges
+    of other instances take part in the rounds. A pattern that a large part of
+    all instances has, and an instance in a large part of all patterns, are
+    joined by broadcast (joined_apart), so none of them is one task's work.
+    """
+    enough = written(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SUPPORT), "enough")
+    kept = written(joined_apart(edges.select("pattern", "instance"), enough, ["pattern"], "n", edges.count()).where("n IS NOT NULL").drop("n"), "kept")
+    total = kept.count()
+    degrees = kept.groupBy("instance").agg(F.count("*").alias("d")).join(by_key(seeds.select("instance", F.lit(True).alias("seed"))), "instance", "left")
+    degrees = written(degrees.withColumn("seed", F.coalesce("seed", F.lit(False))), "degrees")
+    marked = written(joined_apart(kept, degrees, ["instance"], "d", total), "marked")
+    others = marked.where("NOT seed").select("pattern", "instance", "d")
+    seeded = written(enough.join(by_key(marked.where("seed").groupBy("pattern").agg(F.count("*").alias("s"))), "pattern", "left").select("pattern", "n", F.coalesce("s", F.lit(0)).alias("s")), "seeded")
+    drop_written(enough, kept)
+    sums, found, n_seeds, used = None, 0, degrees.where("seed").count(), [marked, seeded]
+    drop_written(degrees)
     while True:
-        patterns = written(edges.join(by_key(scores), "instance").groupBy("pattern", "n").agg(F.sum("score").alias("all")).select("pattern", (F.col("all") / (F.col("n") + 1)).alias("confidence")), "patterns")
-        scored = edges.join(by_key(patterns), "pattern").groupBy("instance", "seed").agg(F.max("confidence").alias("best"))
-        scores = written(scored.select("instance", "seed", F.greatest("seed", "best").alias("score")), "scores")
-        before, found = found, scores.where(F.col("score") >= CONFIDENT).count()
+        all_scores = F.col("s") if sums is None else F.col("s") + F.coalesce("others", F.lit(0.0))
+        patterns = (seeded if sums is None else seeded.join(by_key(sums), "pattern", "left")).select("pattern", "n", (all_scores / (F.col("n") + 1)).alias("confidence"))
+        patterns = written(patterns.where("confidence > 0"), "patterns")
+        scored = joined_apart(others, patterns, ["pattern"], "n", total).where("confidence IS NOT NULL").groupBy("instance", "d").agg(F.max("confidence").alias("score"))
+        scores = written(scored, "scores")
+        before, found = found, n_seeds + scores.where(F.col("score") >= CONFIDENT).count()
         if found == before:
-            return scores.where((F.col("seed") == 0) & (F.col("score") >= CONFIDENT)).select("instance", "score"), patterns.where(F.col("confidence") >= CONFIDENT)
-        scores = scores.select("instance", "score")
+            drop_written(*used)
+            return scores.where(F.col("score") >= CONFIDENT).select("instance", "score"), patterns.where(F.col("confidence") >= CONFIDENT)
+        sums = joined_apart(others.select("pattern", "instance"), scores, ["instance"], "d", total).where("score IS NOT NULL").groupBy("pattern").agg(F.sum("score").alias("others"))
+        sums = written(sums, "sums")
+        drop_written(patterns, scores)
+        used.append(sums)
 
 
 def _salted(df: DataFrame) -> DataFrame:
@@ -126,7 +145,7 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _places(source: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The base spans (doc_id, th, span) and the places of all instances (doc_id, th, kind, start, end, instance, seed, patterns)."""
+    """The base spans (doc_id, th, span) and the places of all instances (doc_id, th, kind, start, end, instance as its hash, seed, patterns)."""
     found = source.select(*KEY, F.explode(F.concat(*[_matches(F.col("text"), k) for k in range(len(KINDS))])).alias("x")).select(*KEY, "x.*")
     hits = written(found.dropDuplicates([*KEY, "kind", "i"]), "hits")
     run = Window.partitionBy(*KEY, "kind").orderBy("i")
@@ -146,7 +165,7 @@ def _places(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = [*KEY, "kind", "start", "end", "instance", "before", "after"]
     both = tokens.select(*names).unionByName(placed.where("kind < 4").withColumn("instance", F.col("hit")).select(*names)).where("length(instance) > 0")
     seed = (F.col("kind") < 4) | F.col("instance").rlike(SECRET)
-    return base, written(both.select(*names[:6], seed.alias("seed"), _patterns(F.col("before"), F.col("instance"), F.col("after")).alias("patterns")), "places")
+    return base, written(both.select(*names[:5], F.xxhash64("instance").alias("instance"), seed.alias("seed"), _patterns(F.col("before"), F.col("instance"), F.col("after")).alias("patterns")), "places")
 
 
 def _edges(places: DataFrame) -> DataFrame:
@@ -156,7 +175,7 @@ def _edges(places: DataFrame) -> DataFrame:
 def recovered(docs: DataFrame, one_in: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """kind, n_held, n_found: of the distinct seeds of each kind (context: secrets) every one_in-th by hash is held out, so it seeds nothing; found are those that the others' contexts bring back. What is held out counts against a pattern until it is found, so a large part can't be."""
     _, places = _places(_source(docs, id_col, text_col))
-    held = F.pmod(F.xxhash64("instance"), F.lit(one_in)) == 0
+    held = F.pmod("instance", F.lit(one_in)) == 0
     seeds = places.where("seed").select("instance", "kind").distinct()
     known, _ = _bootstrap(_edges(places), seeds.where(~held).select("instance").distinct())
     out = seeds.where(held).join(by_key(known.select("instance", F.lit(1).alias("found"))), "instance", "left")
