@@ -277,6 +277,60 @@ def test_pii_bootstrap_equals_brute_force(spark):
     assert ({r.instance for r in known.collect()}, {r.pattern for r in confident.collect()}) == expected and len(expected[0]) > 0
 
 
+def test_pii_bootstrap_splits_hot_keys(spark, monkeypatch):
+    """A pattern of nearly all instances and an instance of nearly all patterns; heavy is what has over a twentieth of the edges, so both joins are taken both ways."""
+    monkeypatch.setattr("verdigris.llm.common.HEAVY", 20)
+    rng = random.Random(11)
+    edges = {(0, f"i{k}") for k in range(400)} | {(p, "i0") for p in range(1, 150)} | {(p, f"i{k}") for p in range(1, 150) for k in rng.sample(range(400), rng.randrange(1, 14))}
+    edges |= {(200, f"i{k}") for k in range(30)} | {(201, f"i{k}") for k in [*range(12), 390, 391]} | {(202, f"i{k}") for k in [*range(40), 390, 392]}
+    seeds = {f"i{k}" for k in range(1, 40)}
+    known, confident = pii._bootstrap(spark.createDataFrame(sorted(edges), "pattern long, instance string"), spark.createDataFrame([(x,) for x in sorted(seeds)], "instance string"))
+    expected = brute_bootstrap(edges, seeds)
+    assert ({r.instance for r in known.collect()}, {r.pattern for r in confident.collect()}) == expected and "i0" in expected[0] and 0 not in expected[1]
+    nothing = spark.createDataFrame([], "instance string")
+    known, confident = pii._bootstrap(spark.createDataFrame(sorted(edges), "pattern long, instance string"), nothing)
+    assert known.count() == confident.count() == 0
+
+
+def test_pii_bootstrap_finds_kinds_that_no_base_pattern_has(spark):
+    """Addresses at hosts without a dot and account numbers of 13 digits stand where the e-mail addresses and cards of other rows do; the same forms elsewhere stay clean."""
+    rng = random.Random(12)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = [(i, f"{name()} contact him via {name()}@{name()}.org for more {name()}") for i in range(60)]
+    rows += [(100 + i, f"{name()} my card number is {_card(i)} and so {name()}") for i in range(60)]
+    planted = {200 + i: f"{name()}.{name()}@home" for i in range(3)}  # few, so that the seeds outweigh
+    rows += [(i, f"{name()} contact him via {x} for more {name()}") for i, x in planted.items()]
+    accounts = {300 + i: "-".join(str(rng.randrange(10**3, 10**4)) for _ in range(3)) + f"-{i}" for i in range(5)}
+    rows += [(i, f"{name()} my card number is {x} and so {name()}") for i, x in accounts.items()]
+    rows += [(400 + i, f"{name()} on page {rng.randrange(10**3, 10**4)} of {name()}@home {name()} in {name()}") for i in range(40)]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, DOCS)).collect()}
+    texts = dict(rows)
+    for i, x in [*planted.items(), *accounts.items()]:
+        at = texts[i].index(x)
+        assert not base_spans(texts[i]) and got[i].spans == f"context:{at}:{at + len(x)}", (texts[i], got[i].spans)
+    assert all(got[i].n_spans == 0 for i in range(400, 440))
+
+
+def test_pii_held_out_base_spans_come_back_by_context(spark):
+    rows = [(i, f"reach me under {'abcdefghij'[i % 10]}{i:03d}@site.example.com from now on") for i in range(200)]
+    rows += [(1000 + i, f"the host at 10.{i % 10}.{i // 10}.77 did not answer") for i in range(200)]
+    back = {r.kind: (r.n_held, r.n_found) for r in pii.recovered(spark.createDataFrame(rows, DOCS)).collect()}
+    assert back["email"][0] > 3 and back["email"][1] == back["email"][0] and back["ip"][0] > 3 and back["ip"][1] == back["ip"][0]
+
+
+def test_pii_of_a_very_long_text(spark):
+    """A text of two million characters: its spans lie where plain search finds them."""
+    rng = random.Random(13)
+    parts = []
+    for i in range(3000):
+        parts.append(" ".join(rng.choice(["alpha", "beta", "gamma", "d\u00e9lta"]) for _ in range(100)))
+        parts.append(rng.choice([f"u{i}@mail.example.com", f"10.0.{i % 256}.{i % 99}", "+1 (555) 123-4567", "no"]))
+    text = " ".join(parts)
+    (row,) = pii.find_pii(spark.createDataFrame([(1, text)], DOCS)).collect()
+    expected = ",".join(x for _, _, x in base_spans(text))
+    assert len(text) > 1_500_000 and row.base_sha256 == hashlib.sha256(expected.encode()).hexdigest() and row.n_email > 500
+
+
 def test_pii_secrets_need_a_context(spark):
     rng = random.Random(7)
     secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
