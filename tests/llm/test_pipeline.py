@@ -1,5 +1,7 @@
 import glob
+import hashlib
 import os
+from fractions import Fraction
 
 import duckdb
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from test_text_operators import brute_components, brute_severity
 
 import corpus_pipeline
-from verdigris.llm import toxicity
+from verdigris.llm import mixing, toxicity
 from verdigris.llm import queries as Q
 
 
@@ -60,6 +62,62 @@ def test_stages_row_by_row(spark, sf, tmp_path):
     assert sorted(repr(r.doc_id) for r in packed) == sorted(repr(r.doc_id) for r in rows)
 
 
+def plain_split(budget, children):
+    """Parts of an integer budget, from (capacity, weight) by name: children that their share fills are full, the others take whole tokens by their weights."""
+    order = sorted(children, key=lambda k: (children[k][0] / children[k][1], k))
+    out, open_weight = {}, sum(w for _, w in children.values())
+    for at, k in enumerate(order):
+        capacity, weight = children[k]
+        if (budget - sum(out.values())) * weight <= capacity * open_weight:
+            rest, upto = budget - sum(out.values()), Fraction(0)
+            for k in order[at:]:
+                out[k] = rest * (upto + children[k][1]) // open_weight - rest * upto // open_weight
+                upto += children[k][1]
+            return out
+        out[k] = capacity
+        open_weight -= weight
+    return out
+
+
+def test_mix_stage_row_by_row(spark, sf):
+    """The rows that plain loops take: budgets from level to level, then each leaf's documents in the seeded order. One text has 600,000 words, one is empty, one null, one has no source."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    first = docs.limit(1)
+    odd = [first.withColumns({"doc_id": F.lit(9_000_000 + i).cast("long"), "text": F.lit(t).cast("string")}) for i, t in enumerate(["", None])]
+    odd += [first.withColumns({"doc_id": F.lit(9_000_010).cast("long"), "text": F.repeat(F.lit("word "), F.lit(600_000))}), first.withColumns({"doc_id": F.lit(9_000_011).cast("long"), "source": F.lit(None).cast("string")})]
+    for more in odd:
+        docs = docs.unionByName(more)
+    levels = ["domain", "lang", "source"]
+    rows = [r.asDict() for r in docs.select("doc_id", "text", Q.domain_of(F.col("source")).alias("domain"), "lang", "source").collect()]
+    for r in rows:
+        r["n"] = len(r["text"].split()) if r["text"] else 0
+        r["path"] = tuple(mixing.MISSING if r[c] is None else r[c] for c in levels)
+    weight = lambda level, k: Fraction(str(Q.WEIGHTS.get(levels[level], {}).get(k, 1)))
+    is_open = lambda path: all(weight(i, k) > 0 for i, k in enumerate(path))
+    tokens = {}
+    for r in rows:
+        for depth in range(4):
+            if depth == 0 or is_open(r["path"]):
+                tokens[r["path"][:depth]] = tokens.get(r["path"][:depth], 0) + r["n"]
+    budgets = {(): min(int(tokens[()] * corpus_pipeline.MIX_SHARE), sum(t for p, t in tokens.items() if len(p) == 3))}
+    for depth in range(3):
+        for node in [p for p in budgets if len(p) == depth]:
+            children = {p[-1]: (Fraction(t), weight(depth, p[-1])) for p, t in tokens.items() if len(p) == depth + 1 and p[:-1] == node}
+            budgets |= {(*node, k): int(b) for k, b in plain_split(budgets[node], children).items()}
+    expected = []
+    for path in {r["path"] for r in rows}:
+        start, budget = 0, budgets.get(path, 0)
+        leaf = [r for r in rows if r["path"] == path]
+        for r in sorted(leaf, key=lambda r: hashlib.md5(f"{Q.MIX_SEED}:0:{r['doc_id']}".encode()).hexdigest()):
+            if start < budget or budget == sum(x["n"] for x in leaf):
+                expected.append(r["doc_id"])
+            start += r["n"]
+    got = corpus_pipeline.mix_sources(spark, docs, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(expected) and 0 < len(expected) < len(rows)
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    assert all(r.text == texts[r.doc_id] for r in got)
+
+
 def severe_by(model, text):
     return 1 - brute_mass_of_none(model, text) >= toxicity.REJECT_AT
 
