@@ -146,3 +146,62 @@ def test_recall_where_codes_are_coarse(spark):
 
 def test_codes_tied_at_the_cut_stay():
     assert ann.smallest(np.array([3.0, 1.0, 2.0, 2.0, 2.0]), 2).tolist() == [1, 2, 3, 4]
+
+
+def nearest_rows(ids, x, own, k=10):
+    """(vec_id, score) of the k nearest by plain loops over components."""
+    total = np.zeros(len(x))
+    for part in (x.astype(float) - x[own].astype(float)).T:
+        total += part * part
+    score = np.sqrt(total)
+    order = [i for i in np.lexsort((ids, score)) if ids[i] != ids[own]][:k]
+    return [(ids[i], score[i]) for i in order]
+
+
+def other_rows(kind):
+    r = np.random.default_rng(7)
+    x, asked = r.standard_normal((6000, 48)), np.arange(6000) % 100 == 0
+    if kind == "queries in a narrow group":
+        group = asked | (r.random(6000) < 0.02)
+        x[group] = r.standard_normal(48) + 0.01 * r.standard_normal((group.sum(), 48))
+    elif kind == "lengths over many powers":
+        x *= np.exp(3 * r.standard_normal((6000, 1)))
+    elif kind == "a seventh very long":
+        x[3::7] *= 1e15
+    elif kind == "far from zero":
+        x += 1e6
+    elif kind == "many ties":
+        x = r.integers(-1, 2, (6000, 10)).astype(float)
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize("kind", ["queries in a narrow group", "lengths over many powers", "a seventh very long", "far from zero", "many ties"])
+def test_no_near_vector_is_missed_on_other_rows(spark, kind):
+    """Rows that no sample of the table speaks for: every query's nearest are exact all the same."""
+    x, ids = other_rows(kind), np.arange(6000)
+    keep = [i for i in ids if x[i].any()]
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in map(int, keep)], "vec_id long, embedding array<float>")
+    got = ann.search(df, df.where("vec_id % 100 = 0")).toPandas()
+    for own in (i for i, q in enumerate(keep) if q % 100 == 0):
+        rows = got[got.query_id == keep[own]].sort_values("rank")
+        assert list(zip(rows.vec_id, rows.score)) == nearest_rows(ids[keep], x[keep], own)
+
+
+def test_near_vectors_through_small_blocks_and_a_poor_start(spark, monkeypatch):
+    for name, value in {"LISTS": 1, "CODES": 1, "BLOCK": 50, "QUERY_BLOCK": 7, "AT_ONCE": 3, "CENTROIDS": 2}.items():
+        monkeypatch.setattr(ann, name, value)
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.standard_normal((700, 6)), r.integers(1, 3, (300, 6))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id % 20 = 0")).toPandas()
+    for own in range(0, 1000, 20):
+        rows = got[got.query_id == own].sort_values("rank")
+        assert list(zip(rows.vec_id, rows.score)) == nearest_rows(np.arange(1000), x, own)
+
+
+def test_equal_vectors_under_ids_that_repeat(spark):
+    """A query whose own id fills its group of equal vectors still finds the group's others."""
+    same, rest = [(0, [1.0, 2.0])] * 15 + [(i, [1.0, 2.0]) for i in (4, 5, 6)], [(i, [float(i), 0.0]) for i in range(10, 30)]
+    df = spark.createDataFrame(same + rest, "vec_id long, embedding array<float>")
+    got = ann.search(df, df.where("vec_id in (0, 4)"), k=4).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 4), (0, 5), (0, 6), (0, 10), (4, 0), (4, 0), (4, 0), (4, 0)]

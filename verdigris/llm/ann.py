@@ -1,20 +1,24 @@
-"""Approximate nearest neighbours: an inverted file with product-quantised residuals and exact reranking.
+"""Nearest neighbours: an inverted file with product-quantised residuals, exact reranking and bounds on what coding loses.
 
 Vectors go to the list of their nearest coarse centroid; the residual is coded
-by one centroid number for each of PARTS subspaces. A query probes its nearest
-lists, adds up asymmetric distances from a table for each list (its own
-residual against every centroid of every subspace), keeps the nearest codes up
-to a depth, all codes tied there too, and orders these by exact distance.
+by one centroid number for each of PARTS subspaces. Beside its code a row keeps
+its distance from what the code stands for, and each list its radius. Distances
+between queries and codes come from a table for each list (a query's residual
+against every centroid of every subspace).
+
+A query first probes its nearest lists and reranks the nearest codes there by
+exact distance; its k-th distance so far is a bound on the true one. Then it
+goes to every list that its radius doesn't keep beyond the bound, and there
+reranks every code whose distance less the row's own loss is within the bound.
+By the triangle inequality no other row can be among the k nearest. So a fit
+that suits the rows or queries badly costs work and not results.
 
 Centroids and codebooks are fitted on a bounded sample; every row is indexed.
 Equal vectors share one code, and of each such group only the k + 1 smallest
 ids can be among k nearest (ties go to the smaller id, a query is not its own
 neighbour), so a group of any size takes one place. Lists meet queries in
-blocks of at most about BLOCK codes and QUERY_BLOCK queries, joined by list and
-block, so a long list is dealt to many tasks. How many lists a
-query probes and how deep it reranks is set on TRIALS queries of the sample:
-their k nearest of all rows are found exactly, and lists and depth are the
-fewest that hold AIM of these. So both grow with the rows as they must.
+blocks of at most about BLOCK codes (fewer of long vectors: BLOCK_BYTES) and
+QUERY_BLOCK queries, so a long list is dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -26,45 +30,41 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from verdigris.llm.common import by_key, written
+from verdigris.llm.common import by_key, drop_written, written
 
-FIT_ROWS, MAX_LISTS, PARTS, CENTROIDS, TRIALS, AIM = 20_000, 1024, 16, 256, 100, 0.97
-BLOCK, QUERY_BLOCK = 16_384, 256
+FIT_ROWS, MAX_LISTS, PARTS, CENTROIDS = 20_000, 1024, 16, 256
+#: What a query probes for its first bound: so many lists, more until they hold so many codes, and so many codes of a block.
+LISTS, CODES, DEPTH = 8, 1000, 64
+BLOCK, BLOCK_BYTES, QUERY_BLOCK, AT_ONCE = 16_384, 4 << 20, 4096, 128
+#: Rounding moves a distance by less than this part of the lengths it is computed from; of direct sums of squares, of FINE.
+ROUGH, FINE = 1e-6, 1e-9
 
 
 @dataclass
 class Index:
+    center: np.ndarray  # (d,), subtracted from every vector, so that sums of squares keep their digits
     coarse: np.ndarray  # (lists, d)
     books: list[np.ndarray]  # a (centroids, width) for each subspace
-    probes: int = 0
-    depth: int = 0
 
     def edges(self) -> np.ndarray:
         return np.concatenate([[0], np.cumsum([b.shape[1] for b in self.books])])
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lists, codes, distances from the list's centroid and from what the code stands for."""
+        x, e = x - self.center, self.edges()
         lists = nearest(x, self.coarse)
-        rest, e = x - self.coarse[lists], self.edges()
-        return lists, np.stack([nearest(rest[:, a:b], book) for a, b, book in zip(e, e[1:], self.books)], 1).astype(np.uint8)
+        rest = x - self.coarse[lists]
+        codes = np.stack([nearest(rest[:, a:b], book) for a, b, book in zip(e, e[1:], self.books)], 1).astype(np.uint8)
+        return lists, codes, length(rest), length(rest - np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], 1))
 
-    def decode(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        return self.coarse[lists] + np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], 1)
-
-    def tables(self, q: np.ndarray, at: int) -> np.ndarray:
-        """(queries, subspaces, centroids) squared distances of the queries' residuals in list `at`."""
-        rest, e = q - self.coarse[at], self.edges()
-        out = np.full((len(q), len(self.books), max(len(b) for b in self.books)), np.inf)
+    def distances(self, rest: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """(queries, codes) distances of residuals of queries, added up from a table for each subspace."""
+        out, e = np.zeros((len(codes), len(rest))), self.edges()
         for k, (a, b, book) in enumerate(zip(e, e[1:], self.books)):
-            out[:, k, : len(book)] = squared(rest[:, a:b], book)
-        return out
-
-    def distances(self, q: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        tables = self.tables(q, at)
-        out = np.zeros((len(q), len(codes)))
-        for k in range(codes.shape[1]):
-            out += tables[:, k][:, codes[:, k]]
-        return out
+            out += squared(book, rest[:, a:b])[codes[:, k]]
+        return np.sqrt(np.ascontiguousarray(out.T))
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,6 +75,10 @@ def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.concatenate([squared(x[s : s + 4096], centers).argmin(1) for s in range(0, len(x), 4096)]) if len(x) else np.zeros(0, int)
 
 
+def length(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", x, x))
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
     r = np.random.default_rng(seed)
     x = np.unique(x, axis=0)
@@ -96,61 +100,37 @@ def smallest(d: np.ndarray, k: int) -> np.ndarray:
 
 def fit_index(sample: np.ndarray, rows: int) -> Index:
     """sample: distinct vectors. The number of lists follows the root of `rows`, up to MAX_LISTS and an eighth of the sample: lists long enough that a query's table for one costs less than its codes."""
+    center = np.median(sample, 0)
+    sample = sample - center
     lists = max(1, min(MAX_LISTS, int(rows**0.5 / 2), len(sample) // 8))
     coarse = kmeans(sample, lists)
     rest = sample - coarse[nearest(sample, coarse)]
     widths = np.array_split(np.arange(sample.shape[1]), min(PARTS, sample.shape[1]))
-    return Index(coarse, [kmeans(rest[:, w], min(CENTROIDS, len(sample))) for w in widths])
+    return Index(center, coarse, [kmeans(rest[:, w], min(CENTROIDS, len(sample))) for w in widths])
 
 
-def set_reach(index: Index, reps: DataFrame, codes: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int) -> None:
-    """Sets the fewest lists that hold half of what AIM leaves, then the depth that holds AIM, of the k nearest of all `reps` to the vectors `asked` (rows of reps with these ids)."""
-    near = squared(asked, index.coarse).argsort(1, kind="stable").argsort(1)  # (queries, lists): the list's place
+def rerank(x: np.ndarray, q: np.ndarray, ids: np.ndarray, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the k rows of x nearest to q (ties to the smaller id) that are within the bound, and their distances, squares added in order."""
+    diff = x - q
+    about = length(diff)
+    near = np.flatnonzero(~(about > bound * (1 + FINE)))
+    if len(near) > k:
+        near = near[about[near] <= np.partition(about[near], k - 1)[k - 1] * (1 + FINE)]
+    total = np.zeros(len(near))
+    for part in diff[near].T:
+        total += part * part
+    exact = np.sqrt(total)
+    first = np.lexsort((ids[near], exact))
+    first = first[exact[first] <= bound][:k]
+    return near[first], exact[first]
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, asked.shape[1])))] * len(asked)
-        for b in batches:
-            if b.num_rows:
-                x, own = _matrix(b.column("v")), b.column("vec_id").to_numpy()
-                for q, d in enumerate(squared(asked, x)):
-                    d[own == ids[q]] = np.inf
-                    few = smallest(d, k)
-                    few = few[np.isfinite(d[few])]
-                    d, i, v = (np.concatenate(p) for p in zip(best[q], (d[few], own[few], x[few])))
-                    first = np.lexsort((i, d))[:k]
-                    best[q] = d[first], i[first], v[first]
-        for q, (d, i, v) in enumerate(best):
-            if len(d):
-                lists, own_codes = index.encode(v)
-                guess = squared(asked[q : q + 1], index.decode(lists, own_codes))[0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), q, np.int32)), pa.array(i), pa.array(d), pa.array(near[q, lists].astype(np.int32)), pa.array(guess)], ["q", "rep", "near", "place", "guess"])
-
-    by_distance = Window.partitionBy("q").orderBy("near", "rep")
-    truth = reps.mapInArrow(exact, "q int, rep long, near double, place int, guess double").withColumn("at", F.row_number().over(by_distance)).where(F.col("at") <= k).collect()  # at most TRIALS * k rows
-    index.probes, index.depth = len(index.coarse), k
-    if not truth:
-        return
-    place = np.array([r["place"] for r in truth])
-    index.probes = int(np.quantile(place, (1 + AIM) / 2, method="higher")) + 1
-    # What rounding can move a sum by doesn't change who comes first.
-    bounds = [np.sort([r["guess"] for r in truth if r["q"] == q and r["place"] < index.probes]) * (1 + 1e-9) + 1e-9 for q in range(len(asked))]
-
-    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        under = [np.zeros(len(t), np.int64) for t in bounds]
-        for b in batches:
-            if b.num_rows:
-                lists = b.column("list").to_numpy()
-                own = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(lists), -1)
-                for q, d in enumerate(squared(asked, index.decode(lists, own))):
-                    at = np.searchsorted(bounds[q], d[near[q, lists] < index.probes])
-                    under[q] += np.bincount(at, minlength=len(bounds[q]) + 1)[:-1].cumsum()
-        for q, counts in enumerate(under):
-            if len(counts):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), q, np.int32)), pa.array(np.arange(len(counts), dtype=np.int32)), pa.array(counts)], ["q", "at", "under"])
 
-    found = codes.mapInArrow(ranks, "q int, at int, under long").groupBy("q", "at").agg(F.sum("under").alias("under")).collect()  # at most TRIALS * k rows
-    depths = np.sort([r["under"] for r in found])
-    index.depth = max(k, int(depths[min(len(depths), int(np.ceil(AIM * len(truth)))) - 1]))
+def _within(near: np.ndarray, loss: np.ndarray, rest: np.ndarray, rows: np.ndarray, limit: np.ndarray) -> list[np.ndarray]:
+    """For each query the positions of rows within the limit: those that its distance to their codes doesn't rule out, by their distance up to rounding."""
+    open_ = ~(near - loss > limit)
+    some = np.flatnonzero(open_.any(0))
+    open_[:, some] &= ~(np.sqrt(squared(rest, rows[some])) > limit)
+    return [np.flatnonzero(o) for o in open_]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -158,8 +138,55 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
+def _unpacked(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def meet(asks: DataFrame, codes: DataFrame, index: Index, k: int, kind: str, depth: int | None) -> DataFrame:
+    """query_id, own, first, score: of each block of codes the k nearest to each query that asks for its list, within the query's bound.
+
+    asks: query_id, list, q, bound. depth: how many codes of a block are
+    reranked, None: all that the bound doesn't rule out. first: the smallest id
+    of the row's group that is not the query's.
+    """
+    size = max(1, min(BLOCK, BLOCK_BYTES // (np.dtype(kind).itemsize * len(index.center))))
+    blocks = lambda df, n, name: df.groupBy("list").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    counts = written(blocks(asks, QUERY_BLOCK, "asking").join(blocks(codes, size, "asked"), "list"), "blocks", rows=MAX_LISTS)
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        """Each row in a block of its own side, for each block of the other side."""
+        at = df.join(F.broadcast(counts), "list").withColumn(f"{own}_block", F.pmod(F.xxhash64(key), own).cast("int"))  # at most MAX_LISTS rows
+        return at.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop(own, other)
+
+    def scan(key: tuple, asks: pa.Table, codes: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if asks.num_rows and codes.num_rows:
+            x, code, loss = _unpacked(codes["v"], kind).astype(float), _unpacked(codes["code"], "u1"), codes["loss"].to_numpy()
+            group, rep, other = (codes[c].to_numpy() for c in ("own", "rep", "other"))
+            q, ids, bounds = _unpacked(asks["q"], "f8"), asks["query_id"].to_numpy(), asks["bound"].to_numpy()
+            at = index.coarse[key[0].as_py()]
+            rows = x - index.center - at
+            reach = codes["far"].to_numpy().max() + loss.max()
+            for s in range(0, len(q), AT_ONCE):
+                z = q[s : s + AT_ONCE] - index.center
+                rest = z - at
+                slack = ROUGH * (length(rest) + reach) + ROUGH**2 * (length(z) + length(at[None])[0])
+                near, limit = index.distances(rest, code), (bounds[s : s + AT_ONCE] + slack)[:, None]
+                wanted = [smallest(d, depth) for d in near] if depth else _within(near, loss, rest, rows, limit)
+                for i, few in enumerate(wanted, s):
+                    first = np.where(rep[few] == ids[i], other[few], rep[few])
+                    few, first = few[first != ids[i]], first[first != ids[i]]
+                    best, score = rerank(x[few], q[i], first, k, bounds[i])
+                    found.append((np.full(len(best), ids[i]), group[few[best]], first[best], score))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found)], names=["query_id", "own", "first", "score"])
+
+    keys = ["list", "asking_block", "asked_block"]
+    left, right = dealt(asks, "query_id", "asking", "asked"), dealt(codes, "own", "asked", "asking")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "query_id long, own long, first long, score double")
+
+
 def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k nearest of `vectors` found, by Euclidean distance, ties to the smaller id.
+    """query_id, rank, vec_id, score: each query's k nearest of `vectors` by Euclidean distance, ties to the smaller id.
 
     queries: rows of vectors, repeated ones asked once; of several vectors with
     one id the smallest by its components is the query. Vectors that are null, all zeros, of another
@@ -177,61 +204,60 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     d = dims[0]["d"]
     rows, asked = rows.where(F.size("v") == d), clean(queries).where(F.size("v") == d).groupBy("vec_id").agg(F.min("v").alias("v"))
 
-    # Groups of equal vectors: the k + 1 smallest ids, the first of which stands for all.
-    same = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
-    members = written(rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).withColumn("rep", F.first("vec_id").over(same)).select("vec_id", "v", "nth", "rep"), "members")
-    reps = members.where("nth = 1").select("vec_id", "v")
-    sample = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()
-    fitted = np.array([r["v"] for r in sample])
-    index = fit_index(fitted, reps.count())
+    # Groups of equal vectors: the k + 1 smallest ids, k rows of each; the first stands for all. An id may have several vectors, so groups have numbers of their own.
+    same = Window.partitionBy(F.xxhash64("v"), "v")
+    few = rows.withColumn("nth", F.dense_rank().over(same.orderBy("vec_id"))).where(F.col("nth") <= k + 1)
+    few = few.withColumn("copy", F.row_number().over(Window.partitionBy(F.xxhash64("v"), "v", "vec_id").orderBy("nth"))).where(F.col("copy") <= k)
+    few = few.withColumn("own", F.monotonically_increasing_id()).withColumn("own", F.min("own").over(same)).withColumn("rep", F.min("vec_id").over(same))
+    members = few.withColumn("other", F.coalesce(F.min(F.when(F.col("nth") == 2, F.col("vec_id"))).over(same), "rep"))
+    members, asked = written(members, "members"), written(asked, "asked")
+    reps = members.where("nth = 1 AND copy = 1").select("own", "rep", "other", "v")
+    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).collect()
+    index = fit_index(np.array([r["v"] for r in sample]), reps.count())
+    kind = "f4" if vectors.schema[vector_col].dataType.elementType == FloatType() else "f8"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                lists, codes = index.encode(_matrix(b.column("v")))
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["rep", "list", "code"])
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                x = _matrix(b.column("v"))
+                lists, codes, far, loss = index.encode(x)
+                packed = [pa.array([row.tobytes() for row in m], pa.binary()) for m in (codes, x.astype(kind))]
+                yield pa.RecordBatch.from_arrays([b.column("own"), b.column("rep"), b.column("other"), pa.array(lists.astype(np.int32)), *packed, pa.array(far), pa.array(loss)], ["own", "rep", "other", "list", "code", "v", "far", "loss"])
+
+    codes = written(reps.mapInArrow(encode, "own long, rep long, other long, list int, code binary, v binary, far double, loss double"), "codes")
+    size, radius = np.zeros(len(index.coarse), int), np.full(len(index.coarse), -np.inf)
+    for r in codes.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # at most MAX_LISTS rows
+        size[r["list"]], radius[r["list"]] = r["n"], r["far"]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Without a bound to the nearest lists, else to all that the bound doesn't rule out."""
         for b in batches:
             if b.num_rows:
                 q = _matrix(b.column("v"))
-                lists = squared(q, index.coarse).argsort(1, kind="stable")[:, : index.probes]
-                at = np.repeat(np.arange(len(q)), lists.shape[1])
-                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(at)), pa.array(lists.ravel().astype(np.int32)), pa.array([q[i].tobytes() for i in at], pa.binary())], ["query_id", "list", "q"])
-
-    codes = written(reps.mapInArrow(encode, "rep long, list int, code binary"), "codes")
-    trials = np.random.default_rng(2).permutation(len(sample))[:TRIALS]
-    set_reach(index, reps, codes, np.array([sample[i]["vec_id"] for i in trials]), fitted[trials], k)
-    asks = written(asked.mapInArrow(probe, "query_id long, list int, q binary"), "asks")
-
-    def blocks(df: DataFrame, key: str, size: int, what: str) -> DataFrame:
-        counts = df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
-        return df.join(F.broadcast(counts), "list").withColumn(f"{what}_block", F.pmod(F.xxhash64(key), "blocks").cast("int"))  # at most MAX_LISTS rows
-
-    dealt = written(blocks(codes, "rep", BLOCK, "data").groupBy("list", "data_block", "blocks").agg(F.sort_array(F.collect_list(F.struct("rep", "code"))).alias("codes")), "data")
-    wanted = blocks(asks, "query_id", QUERY_BLOCK, "query").groupBy("list", "query_block").agg(F.collect_list(F.struct("query_id", "q")).alias("asks"))
-    # Each block of queries goes to every block of its list.
-    sent = written(wanted, "wanted").join(F.broadcast(dealt.select("list", "blocks").distinct()), "list").withColumn("data_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # at most MAX_LISTS rows
-    pairs = sent.select("list", "data_block", "asks").join(by_key(dealt.select("list", "data_block", "codes")), ["list", "data_block"]).select("list", "codes", "asks")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at, own, asks in zip(b.column("list").to_pylist(), b.column("codes"), b.column("asks")):
-                reps = own.values.field(0).to_numpy()
-                codes = np.frombuffer(b"".join(own.values.field(1).to_pylist()), np.uint8).reshape(len(reps), -1)
-                q = np.frombuffer(b"".join(asks.values.field(1).to_pylist())).reshape(-1, d)
-                ids = asks.values.field(0).to_numpy()
-                dist = index.distances(q, at, codes)
-                # one place more, for the query itself
-                best = [smallest(row, index.depth + 1) for row in dist]
-                who = np.repeat(ids, [len(x) for x in best])
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(reps[np.concatenate(best)]), pa.array(np.concatenate([row[x] for row, x in zip(dist, best)]))], ["query_id", "rep", "near"])
-
-    found = pairs.mapInArrow(scan, "query_id long, rep long, near double")
-    by_code = Window.partitionBy("query_id").orderBy("near")
-    few = written(found.withColumn("at", F.rank().over(by_code)).where(F.col("at") <= index.depth + 1).select("query_id", "rep").distinct(), "few")
-    target = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    exact = few.join(members.select("rep", "vec_id", "v"), "rep").where("vec_id <> query_id").join(target, "query_id")
-    scored = exact.select("query_id", "vec_id", F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)).alias("score"))
+                z = q - index.center
+                apart = np.sqrt(squared(z, index.coarse))
+                if "bound" in b.schema.names:
+                    bounds = b.column("bound").to_numpy()
+                    slack = ROUGH * (length(z)[:, None] + length(index.coarse) + np.maximum(radius, 0))
+                    wanted = (size > 0) & ~(apart - radius > bounds[:, None] + slack)
+                else:
+                    bounds, order = np.full(len(q), np.inf), apart.argsort(1, kind="stable")
+                    before = size[order].cumsum(1) - size[order]
+                    wanted = np.zeros(apart.shape, bool)
+                    np.put_along_axis(wanted, order, (np.arange(len(size)) < LISTS) | (before < CODES), 1)
+                who, lists = wanted.nonzero()
+                packed = pa.array([row.tobytes() for row in q], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(who)), pa.array(lists.astype(np.int32)), packed.take(pa.array(who)), pa.array(bounds[who])], ["query_id", "list", "q", "bound"])
+
+    sent = "query_id long, list int, q binary, bound double"
+    nearby = written(asked.mapInArrow(send, sent), "nearby")
+    by_score = Window.partitionBy("query_id").orderBy("score", "first")
+    placed = lambda df: df.withColumn("at", F.row_number().over(by_score))
+    bounds = placed(meet(nearby, codes, index, k, kind, DEPTH)).where(F.col("at") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    bounded = written(asked.join(by_key(bounds), "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))), "bounded")
+    within = written(bounded.mapInArrow(send, sent), "within")
+    best = written(placed(meet(within, codes, index, k, kind, None)).where(F.col("at") <= k).select("query_id", "own", "score"), "best")
+    drop_written(asked, codes, nearby, bounded, within)
+    scored = best.join(by_key(members.select("own", "vec_id")), "own").where("vec_id <> query_id")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
